@@ -10,9 +10,10 @@ incomplete, less than one per class, are strung together on the driver (one row
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ CAPACITY = 4096
 LEAST_CUT = 64
 #: Id that ends every document.
 END_ID = 2
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
+_END = END_ID.to_bytes(4, "little")
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 #: Text in these characters only is split into words here; any other text goes through the tokenizer whole.
 _PLAIN = re.compile(r"[^\t\n\r -~¡-ɏ]")
@@ -39,7 +42,7 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼½¾]|[^
 
 
 class WordIds(dict):
-    """Token ids of a text: words are encoded by the tokenizer once and remembered.
+    """Token ids of a text, as little-endian 32-bit bytes: words are encoded by the tokenizer once and remembered.
 
     The vocabulary's words never cross the borders that its own pre-tokenizer draws, so the ids of a text are those of its words.
     """
@@ -50,18 +53,56 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[word] = ids = self._encode(word)
         return ids
 
-    def ids(self, text: str | None) -> list[int]:
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes new words in one call."""
+        if len(self) + len(words) > CACHE_WORDS:
+            self.clear()
+        new = list(words)
+        for word, one in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = one.ids
+            self[word] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def all_ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text; the new words of some texts at a time are learned together."""
+        for at in range(0, len(texts), 100):
+            made: list[tuple] = []
+            new: set[str] = set()
+            for text in texts[at : at + 100]:
+                if not text or _PLAIN.search(text) or "<|" in text:
+                    made.append((text, None, None))
+                    continue
+                words = _WORD.findall(text.lower())
+                ids = list(map(self.get, words))
+                if None in ids:
+                    new.update([w for w, i in zip(words, ids, strict=True) if i is None])
+                    ids = None
+                made.append((text, words, ids))
+            if new:
+                self.learn(new)
+            for text, words, ids in made:
+                yield self.ids(text) if words is None else b"".join(ids or map(self.__getitem__, words))
+
+    def ids(self, text: str | None) -> bytes:
         if not text:
-            return []
+            return b""
         if _PLAIN.search(text) or "<|" in text:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.__getitem__, _WORD.findall(text.lower()))))
+            return self._encode(text)
+        return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for a worker process, so that its later tasks know the words already."""
+    return WordIds(path)
 
 
 def cuts(n: int, capacity: int = CAPACITY, least: int = LEAST_CUT) -> list[int]:
@@ -84,16 +125,16 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, worker, seen = WordIds(tokenizer), TaskContext.get().partitionId(), {}
+        words, worker, seen = word_ids(tokenizer), TaskContext.get().partitionId(), {}
         for piece in slices(batches, 1):
             rows = []
-            for doc, body in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                ids = np.array([*words.ids(body), END_ID], "<u4")
+            for doc, ids in zip(piece.column(0).to_pylist(), words.all_ids(piece.column(1).to_pylist()), strict=True):
+                ids += _END
                 at = 0
-                for n in cuts(len(ids), capacity):
-                    own = ids[at : at + n]
+                for n in cuts(len(ids) // 4, capacity):
+                    own = ids[4 * at : 4 * (at + n)]
                     seen[n] = (k := seen.get(n, -1) + 1)
-                    rows.append((doc, at, n, zlib.crc32(own.tobytes()), len(ids), worker, k) + ((own.tolist(),) if keep_ids else ()))
+                    rows.append((doc, at, n, zlib.crc32(own), len(ids) // 4, worker, k) + ((np.frombuffer(own, "<u4").tolist(),) if keep_ids else ()))
                     at += n
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
