@@ -30,6 +30,8 @@ TREES, HASHES = 16, 96
 LEVELS, HUB_LEVEL = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96), 4
 #: Classes in a node that is compared exhaustively, and members sampled to find a hub.
 SMALL, SAMPLE = 24, 64
+#: Hubs are sought in one of so many trees at a time; a group of near copies is a large node of all of them.
+HUB_TREES = 4
 #: Pairs whose sketches agree less are not confirmed: more than four standard deviations below the threshold.
 SKETCH_MARGIN = 0.18
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(i), 1) | 1 for i in range(HASHES)], np.uint64)
@@ -114,15 +116,14 @@ def agreement(pairs: DataFrame, left: str, right: str, keep: list[str]) -> DataF
     return _mapped(pairs.select(*(F.col(k).cast("long") for k in keep), left, right), schema, rows)
 
 
-def _node(level: int) -> Column:
-    """Name of the node that a class is in, at a level of the tree: the tree and its least shingles so far."""
-    hashes = [F.expr(f"substring(sketch, 4 * ((6 * tree + {d}) % {HASHES}) + 1, 4)") for d in range(level)]
-    return F.xxhash64(F.col("tree"), F.lit(level), F.concat(*hashes))
+def _path(levels: int) -> Column:
+    """A class's way down its tree: its least shingles under the hashes of so many levels, 4 bytes each."""
+    return F.concat(*(F.expr(f"substring(sketch, 4 * ((6 * tree + {d}) % {HASHES}) + 1, 4)") for d in range(levels))).alias("path")
 
 
 def _sized(rows: DataFrame, level: int) -> DataFrame:
-    """id, tree, node and the size of the node, for nodes of two or more."""
-    named = rows.select("id", "tree", _node(level).alias("node"))
+    """rows (id, tree, path) with node, the name of the node they are in at a level, and its size, for nodes of two or more."""
+    named = rows.select("id", "tree", "path", F.xxhash64("tree", F.lit(level), F.substring("path", 1, 4 * level)).alias("node"))
     sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return named.join(sizes, "node")
 
@@ -218,16 +219,16 @@ def near_duplicates(docs: DataFrame, staged: Staged, words: int = WORDS, percent
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
 
     # first levels: what is alone ends, what is small is paired, what is large branches on
-    rows = classes.select("id", "sketch", trees)
-    candidates = large = None
+    rows = classes.select("id", "sketch", trees).select("id", "tree", _path(HUB_LEVEL))
+    candidates, levels = None, []
     for level in (x for x in LEVELS if x <= HUB_LEVEL):
-        sized = staged.keep(_sized(rows, level))
-        found = _pairs(sized.filter(f"size <= {SMALL}"))
+        levels.append(staged.keep(_sized(rows, level)))
+        found = _pairs(levels[-1].filter(f"size <= {SMALL}"))
         candidates = found if candidates is None else candidates.unionByName(found)
-        large = sized.filter(f"size > {SMALL}")
-        rows = large.select("id", "tree").join(classes, "id")
+        rows = large = levels[-1].filter(f"size > {SMALL}")
     least = percent / 100 - SKETCH_MARGIN
     edges = staged.keep(_sketched(candidates.distinct(), classes, least))
+    staged.drop(*levels[:-1])
     needed = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
     texts = staged.keep(plain.join(needed, "id").join(by_key.select(F.col("class").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
 
@@ -237,11 +238,11 @@ def near_duplicates(docs: DataFrame, staged: Staged, words: int = WORDS, percent
         if not _some(large):
             break
         if i:
-            rows = large.select("id", "tree").join(classes, "id")
+            rows = large.select("id", "tree").join(classes, "id").select("id", "tree", _path(level))
             sized = staged.keep(_mixed(_sized(rows, level), labels))
             edges = edges.unionByName(staged.keep(_sketched(_pairs(sized.filter(f"size <= {SMALL}")), classes, least)))
             large = sized.filter(f"size > {SMALL}")
-        stars = staged.keep(confirm(hubs(large, classes), texts, words, percent))
+        stars = staged.keep(confirm(hubs(large.filter(f"tree % {HUB_TREES} = {i % HUB_TREES}"), classes), texts, words, percent))
         links = stars if links is None else links.unionByName(stars)
         labels = components(links, staged)
         large = staged.keep(_mixed(large, labels))
@@ -275,9 +276,9 @@ def _apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _mixed(sized: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of nodes whose members are in more than one component."""
-    own = sized.join(labels, "id", "left").select("id", "tree", "node", "size", F.coalesce("component", "id").alias("c"))
+    own = sized.join(labels, "id", "left").select("id", "tree", "path", "node", "size", F.coalesce("component", "id").alias("c"))
     mixed = own.groupBy("node").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("node")
-    return own.join(mixed, "node").select("id", "tree", "node", "size")
+    return own.join(mixed, "node").select("id", "tree", "path", "node", "size")
 
 
 def drop_near_duplicates(docs: DataFrame, staged: Staged, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
