@@ -30,6 +30,9 @@ CAPACITY = 4096
 LEAST_CUT = 64
 #: Id that ends every document.
 END_ID = 2
+#: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
+_PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
 _END = END_ID.to_bytes(4, "little")
 #: Distinct words whose ids a worker remembers.
@@ -56,46 +59,15 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = ids = self._encode(word)
-        return ids
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes new words in one call."""
-        if len(self) + len(words) > CACHE_WORDS:
-            self.clear()
-        new = list(words)
-        for word, one in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = one.ids
-            self[word] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
-
-    def all_ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text; the new words of some texts at a time are learned together."""
-        for at in range(0, len(texts), 100):
-            made: list[tuple] = []
-            new: set[str] = set()
-            for text in texts[at : at + 100]:
-                if not text or _PLAIN.search(text) or "<|" in text:
-                    made.append((text, None, None))
-                    continue
-                words = _WORD.findall(text.lower())
-                ids = list(map(self.get, words))
-                if None in ids:
-                    new.update([w for w, i in zip(words, ids, strict=True) if i is None])
-                    ids = None
-                made.append((text, words, ids))
-            if new:
-                self.learn(new)
-            for text, words, ids in made:
-                yield self.ids(text) if words is None else b"".join(ids or map(self.__getitem__, words))
+        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        self[word] = packed = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+        return packed
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _PLAIN.search(text) or "<|" in text:
-            return self._encode(text)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
 
 
@@ -128,8 +100,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         words, worker, seen = word_ids(tokenizer), TaskContext.get().partitionId(), {}
         for piece in slices(batches, 1):
             rows = []
-            for doc, ids in zip(piece.column(0).to_pylist(), words.all_ids(piece.column(1).to_pylist()), strict=True):
-                ids += _END
+            for doc, body in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                ids = words.ids(body) + _END
                 at = 0
                 for n in cuts(len(ids) // 4, capacity):
                     own = ids[4 * at : 4 * (at + n)]
