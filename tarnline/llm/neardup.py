@@ -13,6 +13,7 @@ similarity 0.8 stays together for d levels in one of TREES trees with probabilit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,12 @@ from .common import Staged, add_struct, slices
 
 #: Words of a shingle; least similarity, in hundredths, of linked documents. A contract may ask for others.
 WORDS, PERCENT = 5, 80
-TREES, HASHES = 16, 96
-#: Levels at which nodes are looked at; from HUB_LEVEL on large nodes are compared to hubs.
-LEVELS, HUB_LEVEL = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96), 4
+TREES, HASHES = 12, 96
+#: Levels at which nodes are looked at, and those at which large nodes are compared to hubs (the last: sets that no hash tells apart).
+LEVELS, HUB_LEVELS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96), (4, 8, 16, 96)
+HUB_LEVEL = HUB_LEVELS[0]
 #: Classes in a node that is compared exhaustively, and members sampled to find a hub.
 SMALL, SAMPLE = 24, 64
-#: Hubs are sought in one of so many trees at a time; a group of near copies is a large node of all of them.
-HUB_TREES = 4
 #: Pairs whose sketches agree less are not confirmed: more than four standard deviations below the threshold.
 SKETCH_MARGIN = 0.18
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(i), 1) | 1 for i in range(HASHES)], np.uint64)
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, staged: Staged, words: int = WORDS, percent
     component. Rows with a null id are linked with nothing, have a null component and are kept. Rows that share an id but not a
     text are looked up each by its own set. An empty table gives no rows. Other columns are left out.
     """
+    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     signed = staged.keep(sets(plain, "s", words).select("id", "s.n", "s.key", "s.sketch"))
     full = signed.filter("id is not null and n > 0")
@@ -233,25 +234,32 @@ def near_duplicates(docs: DataFrame, staged: Staged, words: int = WORDS, percent
     texts = staged.keep(plain.join(needed, "id").join(by_key.select(F.col("class").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
 
     # large nodes: hubs, then deeper levels for those that the hubs' links don't join
-    links = confirmed = None
-    for i, level in enumerate(x for x in LEVELS if x >= HUB_LEVEL):
+    links, labels = None, spark.createDataFrame([], "id long, component long")
+
+    def joined_by_hubs(large: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        stars = staged.keep(confirm(hubs(large, classes), texts, words, percent))
+        known = stars if links is None else links.unionByName(stars)
+        found = components(known, staged)
+        return known, found, _mixed(large, found)
+
+    if _some(large):
+        links, labels, large = joined_by_hubs(large)
+    deep, reach = [], HUB_LEVEL
+    for level in (x for x in LEVELS if x > HUB_LEVEL):
+        if level > reach:
+            reach = min(HASHES, 6 * reach)
+            large = large.select("id", "tree").join(classes, "id").select("id", "tree", _path(reach))
+        sized = staged.keep(_mixed(_sized(large, level), labels))
+        deep.append(_pairs(sized.filter(f"size <= {SMALL}")))
+        large = sized.filter(f"size > {SMALL}")
         if not _some(large):
             break
-        if i:
-            rows = large.select("id", "tree").join(classes, "id").select("id", "tree", _path(level))
-            sized = staged.keep(_mixed(_sized(rows, level), labels))
-            edges = edges.unionByName(staged.keep(_sketched(_pairs(sized.filter(f"size <= {SMALL}")), classes, least)))
-            large = sized.filter(f"size > {SMALL}")
-        stars = staged.keep(confirm(hubs(large.filter(f"tree % {HUB_TREES} = {i % HUB_TREES}"), classes), texts, words, percent))
-        links = stars if links is None else links.unionByName(stars)
-        labels = components(links, staged)
-        large = staged.keep(_mixed(large, labels))
+        if level in HUB_LEVELS:
+            links, labels, large = joined_by_hubs(large)
+    edges = edges.unionByName(_sketched(reduce(DataFrame.unionByName, deep).distinct(), classes, least))
 
     # pairs: for each document its first and its closest partner, then all pairs that these links leave apart
-    edges = edges.groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    if links is not None:
-        edges = _apart(edges, labels)
-    edges = staged.keep(edges)
+    edges = staged.keep(_apart(edges.distinct(), labels))
     first = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     closest = edges.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
     confirmed = staged.keep(confirm(first.unionByName(closest).distinct(), texts, words, percent))
