@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmlcut, imatch, licences, neardup, packing, secretscan, toxicity
+from . import chat, decontam, htmlcut, imatch, licences, neardup, packing, secretscan, suffixdedup, toxicity
 from .common import Staged, sha256_hex, table
 
 
@@ -62,6 +62,11 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlcut.extract_pages(pages, "main").select("page_id", "url", F.col("main.text").alias("text"), F.col("main.n_chars").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_toxicity, op3_licence_scan, op4_chat_format, op5_imatch, op6_secret_scan, op7_decontaminate, op8_near_duplicates, op9_main_text)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), Staged(spark, "op10"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_toxicity, op3_licence_scan, op4_chat_format, op5_imatch, op6_secret_scan, op7_decontaminate, op8_near_duplicates, op9_main_text, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {"op3_licence_scan": licences.oracle()}

@@ -4,10 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnline.llm import imatch, neardup
+from tarnline.llm import imatch, neardup, suffixdedup
 from tarnline.llm.common import Staged
 
 SCHEMA = "doc_id long, text string, id long, a string"
@@ -118,3 +119,38 @@ def test_lexicon_is_the_band(spark):
     docs = spark.createDataFrame([(i, "all " + ("some " if i % 20 == 0 else "") + f"only{i}", 1, "") for i in range(400)], SCHEMA)
     band = {r.h for r in imatch.lexicon(docs).collect()}
     assert band == {spark.range(1).select(F.xxhash64(F.lit("some"))).first()[0]}
+
+
+def test_suffix_arrays():
+    rng = random.Random(1)
+    for _ in range(300):
+        n, k = rng.randint(1, 150), rng.choice([1, 2, 3, 8])
+        s = [rng.randint(1, k) for _ in range(n)] + [0]
+        assert suffixdedup.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(n + 1), key=lambda i: s[i:])  # noqa: B023
+
+
+def test_repeated_bytes(spark):
+    own = [(r.doc_id + 10, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()]
+    rng = random.Random(2)
+    line = "".join(rng.choices("abcdef é", k=75))
+    own += [(1000 + i, "".join(rng.choices("uvwxyz ", k=rng.randint(0, 90))) + line + "".join(rng.choices("uvwxyz ", k=rng.randint(0, 90)))) for i in range(60)]
+    own += [(1, None), (2, ""), (3, line[:20]), (9, "z" * 49), (8, "z" * 3000), (7, "z" * 60), (2000, line[10:]), (2001, line[:-10]), (2001, line[:-10]), (2001, "other " + line[5:65] + " end"), (None, line), (2002, "ab" * 400), (2003, "b" + "ab" * 30)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in own], SCHEMA)
+    first = {}
+    for doc, text in own:
+        b = (text or "").encode()
+        for i in range(len(b) - 49) if doc is not None else ():
+            first[b[i : i + 50]] = min(doc, first.get(b[i : i + 50], doc))
+    want = Counter()
+    for doc, text in own:
+        b = (text or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - 49) if doc is not None else ():
+            if first[b[i : i + 50]] < doc:
+                gone[i : i + 50] = True
+        spans = int((gone & ~np.append(False, gone[:-1])).sum())
+        want[(doc, len(b), int(gone.sum()), spans, bytes(x for x, g in zip(b, gone[:-1], strict=True) if not g))] += 1
+    got = suffixdedup.remove_repeats(docs, Staged(spark, "t")).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
+    assert sum(k[2] > 0 for k in want) > 40
+    assert suffixdedup.remove_repeats(docs.limit(0), Staged(spark, "t")).count() == 0
