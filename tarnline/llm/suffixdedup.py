@@ -74,10 +74,21 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def _packed(version: int, start: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One number for 16 bits of version, where the surroundings start, the bytes before the anchor, and all their bytes."""
+    return version << 46 | start << 13 | lead << 7 | size
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    size = F.expr("cast(place & 127 as int)")
+    start = F.expr("cast(shiftright(place, 13) & 8589934591 as int)")
+    return rows.select("doc", F.expr("shiftright(place, 46)").alias("version"), start.alias("start"), F.expr("cast(shiftright(place, 7) & 63 as int)").alias("lead"), (start + size).alias("stop"), "gram", "around", "text_doc", "mixed")
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """doc, version, start and stop of the surroundings (of the first of equal ones in the document), gram and around (hashes)."""
+    """Of every anchor: doc, place (where its surroundings are, packed), gram and around (hashes)."""
 
-    kinds = {"doc": "int64", "version": "int64", "start": "int32", "stop": "int32", "gram": "int64", "around": "int64"}
+    kinds = ("doc", "place", "gram", "around")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 2):
@@ -92,12 +103,12 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 around = _mix(np.uint64(1) * (stop - start).astype(np.uint64) * _P[1] + (at - start).astype(np.uint64))
                 for k in range(0, LENGTH + LENGTH - GRAM, 16):  # 16-byte hashes cover the surroundings; the last ones end with them
                     around = _mix(around * _P[0] + prefix[np.minimum(start + k, stop - 16)])
-                for c, x in zip(cols, (np.full(len(at), doc), np.full(len(at), version), start, stop, gram.view(np.int64), around.view(np.int64)), strict=True):
+                for c, x in zip(cols, (np.full(len(at), doc), _packed(version, start, at - start, stop - start), gram.view(np.int64), around.view(np.int64)), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=list(kinds))
 
-    return docs.mapInArrow(run, "doc long, version long, start int, stop int, gram long, around long")
+    return docs.mapInArrow(run, "doc long, place long, gram long, around long")
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -258,11 +269,11 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
     rows = anchor_rows(docs)
     by_text, by_gram = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
     met = rows.withColumn("text_doc", F.min("doc").over(by_text)).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), (F.min("around").over(by_gram) != F.max("around").over(by_gram)).alias("mixed"))
-    met = staged.keep(met.filter("low < high"))
+    met = _unpacked(staged.keep(met.filter("low < high and (doc > text_doc or mixed)").select("doc", "place", "gram", "around", "text_doc", "mixed")))
     # a text seen in an earlier document as a whole goes; the first documents of texts under one gram are compared window by window
     whole = met.filter("doc > text_doc").select("doc", "version", F.array(F.struct("start", "stop")).alias("runs"))
-    open_ = met.filter("mixed and doc = text_doc").select("doc", "version", "start", "stop", "gram", "around")
-    wanted = open_.groupBy("doc", "version").agg(F.collect_list(F.struct("gram", "around", "start", "stop")).alias("a"))
+    open_ = met.filter("mixed and doc = text_doc").select("doc", "version", "start", "lead", "stop", "gram")
+    wanted = open_.groupBy("doc", "version").agg(F.collect_list(F.struct("gram", "start", "lead", "stop")).alias("a"))
     arounds = wanted.join(docs, ["doc", "version"]).select("doc", "version", "a", "text")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,33 +281,48 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
             out = []
             for doc, version, own, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 b = text.encode("utf-8", "replace")
-                out += [(x["gram"], x["around"], doc, version, x["start"], b[x["start"] : x["stop"]]) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["gram", "around", "doc", "version", "start", "body"])
+                out += [(x["gram"], doc, version, x["start"], x["lead"], b[x["start"] : x["stop"]]) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["gram", "doc", "version", "start", "lead", "body"])
 
-    texts = arounds.mapInArrow(cut_out, "gram long, around long, doc long, version long, start int, body binary").repartition(F.col("gram")).sortWithinPartitions("gram", "around", "doc")
+    texts = arounds.mapInArrow(cut_out, "gram long, doc long, version long, start int, lead int, body binary").repartition(F.col("gram")).sortWithinPartitions("gram")
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[tuple]) -> pa.RecordBatch:
             bodies: dict[bytes, int] = {}
-            for _, doc, _, _, body in held:
+            for doc, _, _, _, body in held:
                 bodies[body] = min(doc, bodies.get(body, doc))
             found = dict(zip(bodies, least_documents(list(bodies), np.fromiter(bodies.values(), np.int64)), strict=True))
             out = []
-            for _, doc, version, start, body in held:
+            for doc, version, start, _, body in held:
                 if runs := _runs(found[body] < doc, start):
                     out.append((doc, version, [{"start": a, "stop": b} for a, b in runs]))
             run_type = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("stop", pa.int32())]))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], run_type)], names=["doc", "version", "runs"])
 
-        held, size = [], 0
+        def comparable(own: list[tuple]) -> list[tuple]:
+            """Of the texts under one gram those that share the bytes next to it with another text, on either side: a common window needs half of its other bytes on one side."""
+            beside: dict[tuple, set] = {}
+            half, keys = (LENGTH - GRAM) // 2, []
+            for _, _, _, lead, body in own:
+                both = [(0, body[lead - half : lead])] * (lead >= half) + [(1, body[lead + GRAM : lead + GRAM + half])] * (len(body) >= lead + GRAM + half)
+                keys.append(both)
+                for k in both:
+                    beside.setdefault(k, set()).add(body)
+            return [row for row, both in zip(own, keys, strict=True) if any(len(beside[k]) > 1 for k in both)]
+
+        held, size, own, last = [], 0, [], None
         for batch in batches:
-            gram, _, doc, version, start, body = (c.to_pylist() for c in batch.columns)
-            for row in zip(gram, doc, version, start, body, strict=True):
-                if size > SHARD_BYTES and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4]) + 1
+            for gram, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if gram != last and own:
+                    held += (some := comparable(own))
+                    size += sum(len(r[4]) + 1 for r in some)
+                    own = []
+                    if size > SHARD_BYTES:
+                        yield solve(held)
+                        held, size = [], 0
+                last = gram
+                own.append(tuple(row))
+        held += comparable(own)
         if held:
             yield solve(held)
 
@@ -310,7 +336,7 @@ def remove_repeats(docs: DataFrame, staged: Staged, id_col: str = "doc_id", text
     Null texts are empty. Rows with one id are one document as to each other: they take nothing from one another. Rows
     with a null id take nothing and lose nothing. An empty table gives no rows. Other columns are left out.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("version"), F.col(text).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc"), (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) % 65536).alias("version"), F.col(text).alias("text"))
     known = plain.filter("doc is not null")
     runs = repeated_runs(known, staged)
     joined = plain.join(runs, ["doc", "version"], "left").select("doc", "text", "runs")
