@@ -23,7 +23,7 @@ from .common import Staged, slices
 
 LENGTH, GRAM = 50, 20
 #: Bytes of shard text that one suffix array covers at least, unless the task has less; a gram's texts stay together.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 500_000
 _P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
 
 
@@ -123,6 +123,7 @@ def _types(s: np.ndarray) -> np.ndarray:
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All suffixes from leftmost-smaller ones in order: larger suffixes bucket by bucket upwards, then smaller ones downwards."""
     n, heads = len(s), np.concatenate([[0], ends[:-1]])
+    s = s.astype(np.uint16)  # sorted by radix
     array = np.full(n, -1, np.int64)
 
     def put(items: np.ndarray, fill: np.ndarray, step: int) -> None:
@@ -130,9 +131,13 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray)
         order = np.argsort(c, kind="stable")
         c, items = c[order], items[order]
         first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        rank = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
-        array[fill[c] + step * rank] = items
-        np.add.at(fill, c[first], step * np.diff(np.append(first, len(c))))
+        size = np.diff(np.append(first, len(c)))
+        own = c[first]
+        if step > 0:
+            array[np.repeat(fill[own] - first, size) + np.arange(len(c))] = items
+        else:
+            array[np.repeat(fill[own] + first, size) - np.arange(len(c))] = items
+        fill[own] += step * size
 
     fill = ends - 1
     put(lms[::-1], fill, -1)
@@ -202,16 +207,30 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 def _by_doubling(s: np.ndarray) -> np.ndarray:
-    rank, k, n = s.astype(np.int64), 1, len(s)
+    """By prefix doubling: first as many characters as a whole number holds, then only among suffixes that are still tied."""
+    n, bits = len(s), int(s.max()).bit_length()
+    k = max(1, 62 // bits)
+    padded = np.append(s, np.zeros(k, np.int64))
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key = key << bits | padded[j : j + n]
+    order = np.argsort(key)
+    places, key = np.arange(n), key[order]
+    rank = np.empty(n, np.int64)
+    items = order
     while True:
-        key = rank * (n + 1) + np.append(rank[k:] + 1, np.zeros(min(k, n), np.int64))
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1]))
-        if new[order[-1]] == n - 1:
+        new = np.append(True, key[1:] != key[:-1])
+        rank[items] = np.maximum.accumulate(np.where(new, places, 0))
+        tied = ~(new & np.append(new[1:], True))
+        if not tied.any():
             return order
-        rank, k = new, 2 * k
+        places, items = places[tied], items[tied]
+        after = np.where(items + k < n, rank[np.minimum(items + k, n - 1)] + 1, 0)
+        key = rank[items] * (n + 1) + after
+        sub = np.argsort(key)
+        key, items = key[sub], items[sub]
+        order[places] = items
+        k *= 2
 
 
 def common_prefixes(text: np.ndarray, array: np.ndarray, valid: np.ndarray) -> np.ndarray:
