@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that a Python worker handles at once; longer batches are sliced.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

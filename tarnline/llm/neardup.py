@@ -48,7 +48,7 @@ class Shingler:
 
     def hash(self, word: bytes) -> int:
         if (h := self.known.get(word)) is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 250_000:
                 self.known.clear()
             self.known[word] = h = xxhash.xxh64_intdigest(word)
         return h

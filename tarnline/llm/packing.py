@@ -36,7 +36,7 @@ _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
 _END = END_ID.to_bytes(4, "little")
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 
 #: Text in these characters only is split into words here; any other text goes through the tokenizer whole.
 _PLAIN = re.compile(r"[^\t\n\r -~¡-ɏ]")

@@ -147,14 +147,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 
 class _Weights(dict):
-    """Word to weight, remembered; at most a million words."""
+    """Word to weight, remembered; at most 250,000 words."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.table = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = zlib.crc32(word.encode()) % SPACE
         self[word] = out = (h, self.table.get(h, 0.0))
