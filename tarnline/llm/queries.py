@@ -69,4 +69,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_toxicity, op3_licence_scan, op4_chat_format, op5_imatch, op6_secret_scan, op7_decontaminate, op8_near_duplicates, op9_main_text, op10_suffix_dedup)}
 
-ORACLES: dict[str, str] = {"op3_licence_scan": licences.oracle()}
+_CHAT = r"""WITH turns AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (SELECT *, length(role) + length(text) + 23 + len(regexp_extract_all(role || ' ' || text, '[<\[]\\*(?:\||/?s>|</?SYS>>|/?INST\]|/?SYSTEM_PROMPT\]|/?AVAILABLE_TOOLS\]|/?TOOL_RESULTS\]|TOOL_CALLS\])')) AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id"""
+
+ORACLES: dict[str, str] = {"op3_licence_scan": licences.oracle(), "op4_chat_format": _CHAT}
