@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ["route_profile_stats", "route_zones", "route_peaks", "route_climbs", "steep_sections", "difficulty_rating", "segment_metrics", "edge_usage", "running_weight", "routing_weight", "connectivity", "nearest_nodes", "tile_lookup", "jaccard_pairs", "fitness_terms", "survivors", "shortest_distances", "evolve_routes"]
+HEADLINE = ["route_profile_stats", "route_zones", "route_peaks", "route_climbs", "steep_sections", "difficulty_rating", "segment_metrics", "edge_usage", "running_weight", "routing_weight", "connectivity", "nearest_nodes", "tile_lookup", "jaccard_pairs", "fitness_terms", "survivors", "shortest_distances"]
 
 
 def main() -> None:
