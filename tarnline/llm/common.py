@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that a Python worker handles at once; longer batches are sliced.
 SLICE_BYTES = 8_000_000
+#: Bytes of an Arrow batch on its way to a Python worker; a batch ends with the row that passes this. Not changed where the session names its own.
+BATCH_BYTES = "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts reach Python workers in batches of bounded bytes, whatever the number of rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 class Staged:
     """Intermediate tables of one query in the shared folder. A table cuts the lineage: its readers survive lost executors."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        bound_batches(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -60,6 +71,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Gives memory that Arrow holds free back; workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the text column of each piece has at most SLICE_BYTES, or is one row."""
     for batch in batches:
@@ -92,6 +109,8 @@ def add_struct(df: DataFrame, text: str, name: str, fields: StructType, make: Ca
             out = score(piece.column(at).to_pylist())
             made = pa.StructArray.from_arrays([pa.array(out[f.name], f.type) for f in arrow], fields=list(arrow))
             yield pa.RecordBatch.from_arrays([*piece.columns, made], names=[*piece.schema.names, name])
+        del score
+        release()
 
     return df.mapInArrow(run, schema)
 

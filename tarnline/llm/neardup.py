@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import Staged, add_struct, slices
+from .common import Staged, add_struct, release, slices
 
 #: Words of a shingle; least similarity, in hundredths, of linked documents. A contract may ask for others.
 WORDS, PERCENT = 5, 80
@@ -98,9 +98,10 @@ def _mapped(df: DataFrame, schema: StructType, rows) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                out = rows(*(c.to_pylist() for c in batch.slice(at, 4000).columns))
+            for at in range(0, batch.num_rows, 1000):
+                out = rows(*(c.to_pylist() for c in batch.slice(at, 1000).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -177,6 +178,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 if 100 * both >= percent * (len(held) + len(other) - both):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        del shingler, held
+        release()
 
     return joined.mapInArrow(run, "a long, b long").distinct()
 
