@@ -1,5 +1,6 @@
 import pytest
 
+import tarnline.plans.search  # noqa: F401  registers its queries
 from tarnline.plans.queries import ORACLES, QUERIES
 from tests.parity import differences
 
