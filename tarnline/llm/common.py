@@ -45,7 +45,6 @@ class Staged:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
-        bound_batches(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1

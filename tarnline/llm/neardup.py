@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import Staged, add_struct, release, slices
+from .common import Staged, add_struct, bound_batches, release, slices
 
 #: Words of a shingle; least similarity, in hundredths, of linked documents. A contract may ask for others.
 WORDS, PERCENT = 5, 80
@@ -215,6 +215,7 @@ def near_duplicates(docs: DataFrame, staged: Staged, words: int = WORDS, percent
     text are looked up each by its own set. An empty table gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     signed = staged.keep(sets(plain, "s", words).select("id", "s.n", "s.key", "s.sketch"))
     full = signed.filter("id is not null and n > 0")
