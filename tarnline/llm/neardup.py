@@ -3,17 +3,17 @@
 Texts become sets of hashed word shingles; equal sets are one class from then on. Every tree of the join branches the
 classes recursively: at each level a class goes to the child named by its least shingle under that level's hash, so two
 sets stay together with the probability of their Jaccard similarity. Nodes of one class end; small nodes are compared
-exhaustively, first by their minwise sketches; large nodes branch on. What keeps together in large nodes after a few
-levels is mostly one group of near copies: its members are compared to a hub, the member closest to what most of a
-sample agree on, and a node whose members are linked through their hubs needs no more branching. All links are
-confirmed on whole sets read from the texts, and independent trees are repeated to reach the target recall: a pair at
-similarity 0.8 stays together for d levels in one of TREES trees with probability 1 - (1 - 0.8^d)^TREES.
+exhaustively, first by their minwise sketches; large nodes branch on. What keeps together in large nodes at the last
+level is mostly one group of near copies: its members are compared to a hub, the member closest to what most of a
+sample agree on, and a node whose members are linked through their hubs needs nothing more. The classes of all other
+such nodes are joined exactly, by a prefix filter on whole sets. All links are confirmed on whole sets read from the
+texts, and the trees, which share no hash, are repeated to reach the target recall: a pair at similarity 0.8 stays
+together down to the last level, 4, in one of TREES trees with probability 1 - (1 - 0.8^4)^TREES = 0.998.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,10 @@ from .common import Staged, add_struct, bound_batches, release, slices
 #: Words of a shingle; least similarity, in hundredths, of linked documents. A contract may ask for others.
 WORDS, PERCENT = 5, 80
 TREES, HASHES = 12, 96
-#: Levels at which nodes are looked at, and those at which large nodes are compared to hubs (the last: sets that no hash tells apart).
-LEVELS, HUB_LEVELS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96), (4, 8, 16, 96)
-HUB_LEVEL = HUB_LEVELS[0]
+#: Levels at which nodes are looked at; at the last one large nodes are compared to hubs, and what these leave apart is joined exactly.
+LEVELS = (2, 3, 4)
+#: Counters of shingles for the order of the exact join: shingles that share one only cost candidates, never links.
+BUCKETS = 1 << 18
 #: Classes in a node that is compared exhaustively, and members sampled to find a hub.
 SMALL, SAMPLE = 24, 64
 #: Pairs whose sketches agree less are not confirmed: more than four standard deviations below the threshold.
@@ -184,6 +185,64 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(20)).astype(np.int64) % BUCKETS
+
+
+def prefix_pairs(texts: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs a < b of different components that can reach the similarity (a prefix filter: none that does is left out).
+
+    With the shingles of every set in one order, rarest first, sets that are similar enough share one of their first
+    n - ceil(n * percent / 100) + 1; their sizes and the place of the shared shingle bound the similarity from above.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, counts = Shingler(words), np.zeros(BUCKETS, np.int64)
+        for piece in slices(batches, 1):
+            for text in piece.column(1).to_pylist():
+                counts += np.bincount(_bucket(shingler(text)), minlength=BUCKETS) if text else 0
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+        del shingler
+        release()
+
+    found = texts.select("id", "text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(BUCKETS, np.int64)
+    frequency[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    order = texts.sparkSession.sparkContext.broadcast(frequency)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for piece in slices(batches, 1):
+            for id_, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                own = shingler(text)
+                n = len(own)
+                first = own[np.lexsort((own, order.value[_bucket(own)]))][: n + percent * -n // 100 + 1] if n else own
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(len(first), id_)), pa.array(np.arange(len(first))), pa.array(np.full(len(first), n))], names=["token", "id", "at", "n"])
+        del shingler
+        release()
+
+    own = texts.select("id", "text").mapInArrow(prefixes, "token long, id long, at long, n long").join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    lists = own.groupBy("token").agg(F.collect_list(F.struct("id", "c", "at", "n")).alias("x"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("x.id", "x.c", "x.at", "x.n")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in zip(*batch.columns, strict=True):
+                id_, c, at, n = (x.values.to_numpy() for x in columns)
+                by = np.argsort(id_, kind="stable")
+                id_, c, at, n = id_[by], c[by], at[by], n[by]
+                out = []
+                for i in range(len(id_) - 1):
+                    most = np.minimum(n[i] - at[i], n[i + 1 :] - at[i + 1 :])  # shingles that the two can share from here on, the first shared one here
+                    able = (c[i + 1 :] != c[i]) & (id_[i + 1 :] != id_[i]) & (100 * most >= percent * (n[i] + n[i + 1 :] - most))
+                    out.append(np.stack((np.full(able.sum(), id_[i]), id_[i + 1 :][able])))
+                a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return lists.mapInArrow(meet, "a long, b long").distinct()
+
+
 def components(links: DataFrame, staged: Staged) -> DataFrame:
     """id and component (least id that links reach) of all linked ids, by alternating large and small stars."""
     edges = staged.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -224,9 +283,9 @@ def near_duplicates(docs: DataFrame, staged: Staged, words: int = WORDS, percent
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
 
     # first levels: what is alone ends, what is small is paired, what is large branches on
-    rows = classes.select("id", "sketch", trees).select("id", "tree", _path(HUB_LEVEL))
+    rows = classes.select("id", "sketch", trees).select("id", "tree", _path(LEVELS[-1]))
     candidates, levels = None, []
-    for level in (x for x in LEVELS if x <= HUB_LEVEL):
+    for level in LEVELS:
         levels.append(staged.keep(_sized(rows, level)))
         found = _pairs(levels[-1].filter(f"size <= {SMALL}"))
         candidates = found if candidates is None else candidates.unionByName(found)
@@ -237,30 +296,15 @@ def near_duplicates(docs: DataFrame, staged: Staged, words: int = WORDS, percent
     needed = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
     texts = staged.keep(plain.join(needed, "id").join(by_key.select(F.col("class").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
 
-    # large nodes: hubs, then deeper levels for those that the hubs' links don't join
+    # large nodes: hubs, then an exact join of those that the hubs' links don't join
     links, labels = None, spark.createDataFrame([], "id long, component long")
-
-    def joined_by_hubs(large: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        stars = staged.keep(confirm(hubs(large, classes), texts, words, percent))
-        known = stars if links is None else links.unionByName(stars)
-        found = components(known, staged)
-        return known, found, _mixed(large, found)
-
     if _some(large):
-        links, labels, large = joined_by_hubs(large)
-    deep, reach = [], HUB_LEVEL
-    for level in (x for x in LEVELS if x > HUB_LEVEL):
-        if level > reach:
-            reach = min(HASHES, 6 * reach)
-            large = large.select("id", "tree").join(classes, "id").select("id", "tree", _path(reach))
-        sized = staged.keep(_mixed(_sized(large, level), labels))
-        deep.append(_pairs(sized.filter(f"size <= {SMALL}")))
-        large = sized.filter(f"size > {SMALL}")
-        if not _some(large):
-            break
-        if level in HUB_LEVELS:
-            links, labels, large = joined_by_hubs(large)
-    edges = edges.unionByName(_sketched(reduce(DataFrame.unionByName, deep).distinct(), classes, least))
+        links = staged.keep(confirm(hubs(large, classes), texts, words, percent))
+        labels = staged.keep(components(links, staged))
+        rest = staged.keep(_mixed(large, labels).select("id").distinct())
+        if _some(rest):
+            own = staged.keep(texts.join(rest, "id", "left_semi"))
+            edges = edges.unionByName(_sketched(prefix_pairs(own, labels, words, percent), classes, least))
 
     # pairs: for each document its first and its closest partner, then all pairs that these links leave apart
     edges = staged.keep(_apart(edges.distinct(), labels))

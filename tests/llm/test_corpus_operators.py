@@ -65,6 +65,17 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in brute_components(own, 5, 80)})
 
 
+def test_near_duplicates_in_crowded_nodes(spark):
+    rng = random.Random(7)
+    shared, own = [f"s{i}" for i in range(400)], []
+    for i in range(300):  # pairs at about 0.81, all of them at about 0.68 to each other: nodes stay large for many levels, no hub joins them
+        tail = [f"t{rng.randint(0, 10**9)}" for _ in range(90)]
+        own += [(2 * i, " ".join(shared + tail)), (2 * i + 1, " ".join(shared + tail[:43] + [f"t{rng.randint(0, 10**9)}" for _ in range(47)]))]
+    got = neardup.near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in own], SCHEMA), Staged(spark, "t")).collect()
+    want = brute_components(own, 5, 80)
+    assert sum(r.kept for r in got) == 300 and Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_near_duplicates_of_odd_tables(spark):
     rows = [(None, "a b c d e f", 1, ""), (1, "a b c d e f", 1, ""), (1, "other words in this row here", 1, ""), (2, "a b c d e f", None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
