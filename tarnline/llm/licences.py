@@ -1,6 +1,7 @@
 """Licence scans by sentence-rule recognition.
 
 Texts are cut into sentences and normalised (lower case, runs of other characters than a-z and 0-9 to one space).
+A sentence that goes over several lines, or is cut at an abbreviation, is known as a whole; otherwise each line is looked up.
 Known licence sentences become their identifiers, all others the gap 0; the sequence of identifiers is matched
 against licence rules in their order, longer evidence first, and what a rule has matched no later rule sees.
 Everything is a chain of SQL functions over one row: no shuffle, no Python.
@@ -53,6 +54,8 @@ RULES = [
 ]
 #: Ends of sentences.
 BREAK = r"[.!?;:]+[\x20\x09-\x0D]+|[.!?;:]*[\x0A\x0D]+|[.!?;:]+$"
+#: Of these, the ends of sentences in wrapped text: not single line breaks, blank lines before a URL, 'v. 2' and 'free software: you'.
+WRAPPED = r"(?!(?<=\bv)\.\s+[0-9]|(?<=\bfree software)[:;]\s+you\b)[.!?;:]+[\x20\x09-\x0D]+|\r?\n[\x20\t#*/;-]*\r?\n(?![\s#*/;-]*https?:)"
 
 
 def scan_licences(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
@@ -61,10 +64,15 @@ def scan_licences(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     Null and empty texts have no sentences and no licences. Repeated rows each get their result; other columns pass through.
     """
     known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (v, str(k))))
-    plain = F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BREAK), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
-    ids = F.transform(plain, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("0")))
+    normal = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+    identifier = lambda s: F.try_element_at(known, s)
+    # list markers count as sentences, but leave no gap
+    line = lambda s: F.coalesce(identifier(s), F.when(s.rlike("^([0-9]{1,2}|[a-z])$"), F.lit("")).otherwise(F.lit("0")))
+    lines = lambda s: F.transform(F.filter(F.transform(F.split(s, BREAK), normal), lambda x: x != ""), line)
+    pieces = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WRAPPED)
+    ids = F.flatten(F.transform(pieces, lambda s: F.when(identifier(normal(s)).isNotNull(), F.array(F.coalesce(identifier(normal(s)), F.lit("0")))).otherwise(lines(s))))
     # identifiers stand between commas of their own, so that neighbouring matches share none: ,1,,2,,0,
-    sequence = F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit(","), i, F.lit(","))))
+    sequence = F.concat_ws("", F.transform(F.filter(ids, lambda i: i != ""), lambda i: F.concat(F.lit(","), i, F.lit(","))))
     names = [free for free in (f"_{name}_{k}" for k in ("ids", "seq", "hits"))]
     out = docs.withColumn(names[0], ids).withColumn(names[1], sequence)
     left, hits = F.col(names[1]), []
@@ -78,7 +86,7 @@ def scan_licences(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     some = F.col(names[1]).rlike("[1-9]")
     none = F.array().cast("array<struct<licence:string,n:bigint>>")
     out = out.withColumn(names[2], F.filter(F.when(some, found).otherwise(none), lambda x: x["n"] > 0))
-    ids_known = F.filter(F.col(names[0]), lambda i: i != "0")
+    ids_known = F.filter(F.col(names[0]), lambda i: ~i.isin("0", ""))
     result = F.struct(
         F.size(F.col(names[0])).cast("long").alias("n_sentences"), F.size(ids_known).cast("long").alias("n_known"),
         F.aggregate(F.col(names[2]), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_rules"),

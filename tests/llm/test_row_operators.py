@@ -185,6 +185,23 @@ def test_licences(spark, docs, nothing):
     assert (one.licences, one.identifiers, one.n_rules) == ("Apache-2.0,BSD-3-Clause", "4,5,8,9,10,11,3", 2)
 
 
+def test_licences_over_several_lines(spark):
+    import textwrap
+
+    fill = lambda s, lead="": "\n".join(lead + x for x in textwrap.wrap(s, 60))
+    own = licences.SENTENCES
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    apache = "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n"
+    texts = [
+        ("MIT", "MIT License\n\n" + fill(own[1] + ":") + "\n\n" + fill(own[2] + ".") + "\n\n" + fill(own[3] + ".")),
+        ("BSD-3-Clause", fill(own[8] + ":") + "".join(f"\n\n{i - 8}. " + fill(own[i] + ".") for i in (9, 10, 11))),
+        ("GPL-3.0-or-later", "\n *\n".join(fill(x, " * ") for x in (gpl, own[13] + ".", own[14] + "."))),
+        ("Apache-2.0", apache + fill(own[7] + ".", "# ")), ("ISC", fill(own[15] + ".")), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. More"),
+    ]
+    got = licences.scan_licences(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"), "l").orderBy("doc_id").collect()
+    assert [(r.l.licences, r.l.n_rules) for r in got] == [(name, 1) for name, _ in texts]
+
+
 def test_main_text(spark, nothing):
     rows = [(1, None), (2, ""), (3, "no markup &amp; more"), (4, "<nav><li><a href=x>Home</a></li></nav><article><h1>Title</h1><p>One  two\n three&hellip;<p>Four five six.</article><div class=comments><p>Me too!</p></div><footer>(c)</footer><script>x<"), (5, "<p>" * 3000 + "deep")]
     pages = spark.createDataFrame([(*r, "n") for r in rows], "page_id long, html string, text string")
