@@ -51,10 +51,14 @@ def unescape(text: str) -> str:
 
 
 class PartVisitor:
-    """Flattens content parts in order. first: the ordinal of the next attachment in the conversation."""
+    """Flattens content parts in order. first: the ordinal of the next attachment in the conversation.
+
+    Texts that adjoin are escaped as one, so that no control string arises between them.
+    """
 
     def __init__(self, first: int = 0, patch: int = 14, tokens_a_second: float = 25.0, tokens_a_page: int = 1024) -> None:
         self.out: list[str] = []
+        self.plain: list[str] = []
         self.attachments: list[dict] = []
         self.first, self.patch, self.tokens_a_second, self.tokens_a_page = first, patch, tokens_a_second, tokens_a_page
 
@@ -63,7 +67,7 @@ class PartVisitor:
             getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.plain.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         self._attach(part, ceil((part.get("width") or 0) / self.patch) * ceil((part.get("height") or 0) / self.patch))
@@ -76,13 +80,22 @@ class PartVisitor:
 
     def visit_unknown(self, part: dict) -> None:
         """Unknown types keep their text, if any; their type is part of it, so that nothing is lost unseen."""
-        self.out.append(escape(f"({part['type']}) {part.get('text') or ''}"))
+        self.plain.append(f"({part['type']}) {part.get('text') or ''}")
 
     def _attach(self, part: dict, tokens: int) -> None:
         n = self.first + len(self.attachments)
         self.attachments.append({"ordinal": n, "type": part["type"], "ref": part.get("ref"), "tokens": tokens})
+        self._settle()
         self.out.append(f"<|{part['type']}:{n}|>")
 
+    def _settle(self) -> None:
+        self.out.append(escape("".join(self.plain)))
+        self.plain.clear()
+
+    def flattened(self) -> str:
+        self._settle()
+        return "".join(self.out)
+
 
 def text_parts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with a parts column of one text part made from a plain text column (null: empty)."""
@@ -113,7 +126,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                     for part in parts or []:
                         visitor.visit(part)
                     seen += len(visitor.attachments)
-                    head, body = f"{ROLE}{escape(role or '')}{TEXT}", "".join(visitor.out)
+                    head, body = f"{ROLE}{escape(role or '')}{TEXT}", visitor.flattened()
                     mask = (len(head), len(head) + len(body)) if role == "assistant" else (None, None)
                     rows.append((c, ordinal, f"{head}{body}{END}", *mask, visitor.attachments))
                     ordinal += 1
