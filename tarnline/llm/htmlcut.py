@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +20,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import add_struct
 
+# attributes as far as the tag goes; nothing in it is tried twice, so a tag that never ends is read once, to the end of the page
+_INSIDE = r"""(?:[\s/]++|=|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|template|svg|iframe|textarea|select)(?=[\s/>]){_INSIDE}>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_INSIDE})(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -54,6 +57,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     # an open element: tag, kind bits, own number
     stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    open_: Counter[str] = Counter()
     buffer: list[str] = []
     linked = numbers = in_link = 0
 
@@ -88,9 +92,9 @@ def blocks(page: str) -> list[Block]:
         flush()
         in_link = 0
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while open_[name]:
+                open_[closed := stack.pop()[0]] -= 1
+                if closed == name:
                     break
             continue
         if name in _VOID or m[4].endswith("/"):
@@ -98,9 +102,9 @@ def blocks(page: str) -> list[Block]:
         if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") or name in _PARAGRAPHS:
             closes = ("p",) if name in _PARAGRAPHS else (name, "p")
             while len(stack) > 1 and stack[-1][0] in closes:
-                stack.pop()
+                open_[stack.pop()[0]] -= 1
         elif stack[-1][0] == "p":
-            stack.pop()
+            open_[stack.pop()[0]] -= 1
         bits, inside = stack[-1][1], stack[-1][1] & 2
         kind = _KINDS.get(name, 0)
         if kind and not (kind == 3 and inside):  # a header within the article is its heading
@@ -121,6 +125,7 @@ def blocks(page: str) -> list[Block]:
                     bits |= 2
         numbers += 1
         stack.append((name, bits, numbers))
+        open_[name] += 1
     buffer.append(page[at:])
     flush()
     return out
@@ -155,6 +160,9 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
         labels.extend([label] * n)
 
     some = lambda p: rng.random() < p
+    if some(0.08):  # nothing but the text
+        holder, k = rng.choice(["div", "article", "section"]), rng.randint(1, 3)
+        return f"<html><body><{holder}>" + "".join(f"<p>{words(3, 60)}.</p>" for _ in range(k)) + f"</{holder}></body></html>", [True] * k
     if some(0.7):
         put(f"<head><title>{words(2, 12)}</title></head>", False)
     if some(0.5):
