@@ -82,6 +82,17 @@ def choose_features(positive: list, unlabelled: list, least: int = 4, z_least: f
     return np.sort(np.argsort(-z, kind="stable")[: min(most, int((z > 0).sum()))])
 
 
+def risk(w: np.ndarray, p: _Rows, u: _Rows, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of weights (the last is the bias) and its gradient; where the corrected part is negative, the gradient that climbs out of it."""
+    zp, zu = p.dot(w[:-1]) + w[-1], u.dot(w[:-1]) + w[-1]
+    correction = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if correction >= 0:
+        gp, gu = -prior / p.n * (_sigmoid(-zp) + _sigmoid(zp)), _sigmoid(zu) / u.n
+    else:
+        gp, gu = prior / p.n * _sigmoid(zp), -_sigmoid(zu) / u.n
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, correction), np.append(p.back(gp) + u.back(gu), gp.sum() + gu.sum())
+
+
 def fit(positive: list, unlabelled: list, prior: float, epochs: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> Model:
     """The classifier of least non-negative risk, by Adam over whole samples. Without positives every logit is that of the prior."""
     prior = min(max(prior, 1e-4), 0.9)
@@ -94,13 +105,8 @@ def fit(positive: list, unlabelled: list, prior: float, epochs: int = 300, rate:
     w[-1] = start
     m, v = np.zeros_like(w), np.zeros_like(w)
     for e in range(1, epochs + 1):
-        zp, zu = p.dot(w[:-1]) + w[-1], u.dot(w[:-1]) + w[-1]
-        correction = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if correction >= 0:
-            gp, gu = -prior / p.n * (_sigmoid(-zp) + _sigmoid(zp)), _sigmoid(zu) / u.n
-        else:
-            gp, gu = prior / p.n * _sigmoid(zp), -_sigmoid(zu) / u.n
-        g = np.append(p.back(gp) + u.back(gu) + ridge * w[:-1], gp.sum() + gu.sum())
+        _, g = risk(w, p, u, prior)
+        g[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**e)) / (np.sqrt(v / (1 - 0.99**e)) + 1e-8)
     return Model(features, w[:-1], float(w[-1]))
@@ -124,6 +130,14 @@ def rescale(model: Model, rows: list, labels: np.ndarray) -> Model:
     return model
 
 
+def least_hashes(rows: DataFrame, salt: int, n: int) -> DataFrame:
+    """The n rows (id, part) with the least hashes of their ids. Hashes far over those that n rows need are left out before the sort, so no task sees n rows of every partition; where one id fills most rows, fewer may be left."""
+    share = min(1.0, (2 * n + 1000) / max(1, rows.count()))
+    hashed_ = rows.withColumn("h", F.xxhash64(F.col("id"), F.lit(salt)))
+    low = hashed_.filter(F.col("h") < int(-(2**63) + share * 2**64)) if share < 1 else hashed_
+    return low.orderBy("h", "id").limit(n).select("id", "part")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_scale: int = MAX_SCALE) -> Model:
     """Samples ids by hash, hashes the words of their texts on the executors and fits on the driver.
 
@@ -131,10 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
     prior = known.agg(F.avg("y")).first()[0] or 0.0
-    key = F.xxhash64(F.col("id"), F.lit(1))
-    first = lambda df, n, part: df.select("id", key.alias("h")).orderBy("h", "id").limit(n).select("id", F.lit(part).alias("part"))
-    chosen = first(known.filter("y = 1"), max_positive, 1).unionByName(first(docs.select(F.col(id_col).alias("id")).filter("id is not null"), max_unlabelled, 0))
-    scale = known.select("id", "y", F.xxhash64(F.col("id"), F.lit(2)).alias("h")).orderBy("h", "id").limit(max_scale).select("id", (F.col("y") + 2).alias("part"))
+    toxic, others = known.filter("y = 1").withColumn("part", F.lit(1)), docs.select(F.col(id_col).alias("id"), F.lit(0).alias("part")).filter("id is not null")
+    chosen = least_hashes(toxic, 1, max_positive).unionByName(least_hashes(others, 1, max_unlabelled))
+    scale = least_hashes(known.select("id", (F.col("y") + 2).alias("part")), 2, max_scale)
     picked = F.broadcast(chosen.unionByName(scale).groupBy("id").agg(F.collect_set("part").alias("parts")))  # bounded by the three parameters
     name = free_name(docs, "words")
     sample = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(picked, "id")
