@@ -87,6 +87,14 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """text of the same length, with spaces for what sorted spans cover."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    upto = lambda acc, s: F.greatest(acc["at"], s["start"])
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, upto(acc, s) - acc["at"]), F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - upto(acc, s)))).alias("out"))
+    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def joined(spans: Column) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -95,22 +103,22 @@ def joined(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, name: str, table: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with a struct column: base and spans (arrays of start, end, rank of the kind; code points, end exclusive), sorted by start and kind.
 
-    spans holds base and, where no base span is touched, the tokens that the Markov models call random. Null and empty
-    texts have none. Repeated rows each get their result; other columns pass through.
+    spans holds base and the tokens that the Markov models call random; base spans end a token, and what is left of it on
+    either side is a token of its own. Null and empty texts have none. Repeated rows each get their result; other columns pass through.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    a, b, c, d = (f"_{name}_{k}" for k in ("rules", "tokens", "scored", "all"))
+    a, b, c, d, m = (free_name(docs, f"_{name}_{k}") for k in ("rules", "tokens", "scored", "all", "rest"))
     short = lambda spans, kind: F.filter(spans, lambda s: F.length(s["value"]) >= LEAST[kind])
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["rank"]))
     rules = F.array_sort(bare(F.concat(short(_spans(body, ASSIGN, "assign", 2), "assign"), short(_spans(body, ACCESS, "access"), "access"), _spans(body, HEX, "hex"))))
     by_kind = F.array_sort(F.transform(rules, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
-    out = docs.withColumn(a, by_kind).withColumn(b, _spans(body, CANDIDATE, "markov"))
-    lone = F.filter(F.col(b), lambda t: ~F.exists(F.col(a), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    out = docs.withColumn(a, by_kind)
+    out = out.withColumn(m, F.when(F.size(a) > 0, _blanked(body, F.col(a))).otherwise(body)).withColumn(b, _spans(F.col(m), CANDIDATE, "markov"))
     ratios = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")  # constant: folded into one literal
-    out = out.withColumn(c, F.filter(lone, lambda t: likelihood_ratio(t["value"], ratios) >= threshold))
+    out = out.withColumn(c, F.filter(F.col(b), lambda t: likelihood_ratio(t["value"], ratios) >= threshold))
     added = F.transform(F.col(c), lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end")))
     out = out.withColumn(d, F.array_sort(F.concat(F.col(a), added)))
-    return out.withColumn(name, F.struct(F.col(a).alias("base"), F.col(d).alias("spans"))).drop(a, b, c, d)
+    return out.withColumn(name, F.struct(F.col(a).alias("base"), F.col(d).alias("spans"))).drop(a, b, c, d, m)
 
 
 def counted(spans: Column, kind: str) -> Column:
