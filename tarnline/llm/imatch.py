@@ -19,8 +19,8 @@ LEAST_SHARE, MOST_SHARE = 1 / 1000, 1 / 10
 RATES, SEEDS = 5, 16
 #: Lexicon terms up to which it is broadcast (16 bytes each).
 BROADCAST_TERMS = 2_000_000
-#: Ranges of ids in which neighbours are looked up.
-RANGES = 64
+#: Bytes of text in a range of ids in which neighbours are looked up.
+RANGE_BYTES = 8_000_000
 
 
 def terms(text: Column) -> Column:
@@ -81,17 +81,21 @@ def fingerprints(texts: DataFrame, lexicon_: DataFrame, key: list[str], bodies:
     return gathered.select(*key, *keep, *bodies)
 
 
-def next_in_order(docs: DataFrame, id_col: str, carry: str, ranges: int = RANGES) -> DataFrame:
+def next_in_order(docs: DataFrame, id_col: str, carry: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The id and carried column, with next_<carry> of the row with the next id; after the last comes the first. Also part (range of ids), place in it, and ghost.
 
-    Ids are cut into ranges at approximate quantiles. The first row of a range is also dealt to the range before it, as a
+    Ids are cut into ranges of about so many bytes at approximate quantiles, so their number grows with the input. The first row of a range is also dealt to the range before it, as a
     ghost (ghost > 0) at its end, so every range is a window of its own and no task sees all rows. Null ids come first; ties go by the carried column.
     """
     key = F.col(id_col)
-    found = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 10000).alias("q"), F.min(id_col).alias("low"), F.count_if(key.isNull()).alias("nulls")).first()
-    cut = sorted({q for q in found["q"] or [] if q != found["low"]})
+    ranges = 1 + (docs.agg(F.sum(F.octet_length(carry))).first()[0] or 0) // range_bytes
+    quantiles = [i / ranges for i in range(1, ranges)] or [0.5]
+    found = docs.agg(F.percentile_approx(id_col, quantiles, max(10_000, 20 * ranges)).alias("q"), F.min(id_col).alias("low"), F.count_if(key.isNull()).alias("nulls")).first()
+    cut = sorted({q for q in found["q"] or [] if q != found["low"]}) if ranges > 1 else []
     splits = F.array(*map(F.lit, cut)).cast("array<bigint>")
-    part = F.when(key.isNull(), 0).otherwise(F.size(F.filter(splits, lambda s: s <= key)))
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(len(cut).bit_length())))).cast("array<int>")
+    below = F.aggregate(halves, F.lit(0), lambda n, h: F.when(F.try_element_at(splits, n + h) <= key, n + h).otherwise(n))  # how many splits are not over the id, by halving
+    part = F.when(key.isNull(), 0).otherwise(below)
     first = key.isNull() if found["nulls"] else key == F.lit(found["low"])
     place = lambda p, g: F.struct(p.cast("int").alias("part"), F.lit(g).alias("ghost"))
     places = F.array(place(part, 0), F.when(F.array_contains(splits, key), place(part - 1, 1)), F.when(first, place(F.lit(len(cut)), 2)))
