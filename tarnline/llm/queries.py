@@ -50,7 +50,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "hits")
     hits = F.col("hits")
     named = found.select("doc_id", hits["n_words"].alias("n_words"), decontam.n_hit(hits).alias("n_hit"), F.size(hits["items"]).cast("long").alias("n_items"), F.array_join(hits["items"], ",").alias("items"), hits["longest_words"].alias("longest_words"), hits["longest_item"].alias("longest_item"), hits["longest_at"].alias("longest_at"))
-    return named.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return named.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_words", "longest_item", "longest_at")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
