@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one is made only where none is named (tests)."""
+    """The cluster's shared scratch folder. A session on one machine (tests) that names none gets a folder of its own; a cluster that names none raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
