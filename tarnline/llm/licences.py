@@ -1,7 +1,8 @@
 """Licence scans by sentence-rule recognition.
 
 Texts are cut into sentences and normalised (lower case, runs of other characters than a-z and 0-9 to one space).
-A sentence that goes over several lines, or is cut at an abbreviation, is known as a whole; otherwise each line is looked up.
+A sentence that goes over several lines, or is cut at an abbreviation, is known as a whole; otherwise each line is looked
+up, and what is not known as a line (SPDX identifiers are) sentence by sentence.
 Known licence sentences become their identifiers, all others the gap 0; the sequence of identifiers is matched
 against licence rules in their order, longer evidence first, and what a rule has matched no later rule sees.
 Everything is a chain of SQL functions over one row: no shuffle, no Python.
@@ -9,9 +10,13 @@ Everything is a chain of SQL functions over one row: no shuffle, no Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Known sentences in normal form, by identifier (fixed values).
 SENTENCES = {
     1: "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -45,17 +50,25 @@ SENTENCES = {
     29: "this is free and unencumbered software released into the public domain",
     30: "all rights reserved",
 }
-#: Rules in the order of matching: licence, identifiers that follow each other (fixed values).
+#: Licences that an SPDX line may name; their identifiers follow from SPDX_FIRST (fixed values).
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "Zlib", "MPL-2.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SPDX_FIRST = 101
+SENTENCES |= {SPDX_FIRST + i: "spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower()) for i, name in enumerate(SPDX)}
+#: Headings that name a licence by themselves, by identifier (fixed values).
+HEADINGS = {201: ("MIT", "the mit license"), 202: ("MIT", "the mit license mit"), 203: ("MIT", "mit license"), 204: ("BSD-2-Clause", "bsd 2 clause license"), 205: ("BSD-3-Clause", "bsd 3 clause license"), 206: ("ISC", "isc license"), 207: ("MPL-2.0", "mozilla public license version 2 0"), 208: ("Apache-2.0", "apache license version 2 0")}
+SENTENCES |= {k: text for k, (_, text) in HEADINGS.items()}
+#: Rules in the order of matching: licence, identifiers that follow each other (fixed values). SPDX lines and headings come last, each a rule of its own.
 RULES = [
     ("Apache-2.0", (4, 5, 6, 7)), ("MIT", (1, 2, 3)), ("BSD-3-Clause", (8, 9, 10, 11)), ("GPL-3.0-or-later", (12, 13, 14)), ("BSD-2-Clause", (8, 9, 10)),
     ("Apache-2.0", (4, 5)), ("MIT", (1, 2)), ("GPL-3.0-or-later", (12, 13)), ("MPL-2.0", (28,)), ("GPL-3.0-or-later", (12,)), ("MIT", (1,)), ("ISC", (15,)), ("Apache-2.0", (4,)),
     ("Apache-2.0", (16,)), ("MIT", (17,)), ("MIT", (18,)), ("CC-BY-NC-4.0", (19,)), ("CC-BY-4.0", (20,)), ("CC-BY-SA-4.0", (21,)), ("GPL-3.0-only", (22,)), ("GPL-3.0-only", (23,)),
     ("GPL-2.0-only", (24,)), ("CC-BY-4.0", (25,)), ("CC-BY-NC-4.0", (26,)), ("MPL-2.0", (27,)), ("Unlicense", (29,)), ("Proprietary", (30,)),
+    *((name, (SPDX_FIRST + i,)) for i, name in enumerate(SPDX)), *((name, (k,)) for k, (name, _) in HEADINGS.items()),
 ]
 #: Ends of sentences.
 BREAK = r"[.!?;:]+[\x20\x09-\x0D]+|[.!?;:]*[\x0A\x0D]+|[.!?;:]+$"
-#: Of these, the ends of sentences in wrapped text: not single line breaks, blank lines before a URL, 'v. 2' and 'free software: you'.
-WRAPPED = r"(?!(?<=\bv)\.\s+[0-9]|(?<=\bfree software)[:;]\s+you\b)[.!?;:]+[\x20\x09-\x0D]+|\r?\n[\x20\t#*/;-]*\r?\n(?![\s#*/;-]*https?:)"
+#: Of these, the ends of sentences in wrapped text: not single line breaks, blank lines before a URL, 'v. 2', 'free software: you' and what an SPDX line names.
+WRAPPED = r"(?!(?<=\bv)\.\s+[0-9]|(?<=\bfree software)[:;]\s+you\b|(?<=\bspdx-license-identifier):)[.!?;:]+[\x20\x09-\x0D]+|\r?\n[\x20\t#*/;-]*\r?\n(?![\s#*/;-]*https?:)"
 
 
 def scan_licences(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
@@ -65,15 +78,16 @@ def scan_licences(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     """
     known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (v, str(k))))
     normal = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    identifier = lambda s: F.try_element_at(known, s)
+    looked_up = lambda parts: F.transform(F.transform(parts, lambda s: F.struct(s.alias("raw"), normal(s).alias("plain"))), lambda x: F.struct(x["raw"], x["plain"], F.try_element_at(known, x["plain"]).alias("id")))
     # list markers count as sentences, but leave no gap
-    line = lambda s: F.coalesce(identifier(s), F.when(s.rlike("^([0-9]{1,2}|[a-z])$"), F.lit("")).otherwise(F.lit("0")))
-    lines = lambda s: F.transform(F.filter(F.transform(F.split(s, BREAK), normal), lambda x: x != ""), line)
-    pieces = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WRAPPED)
-    ids = F.flatten(F.transform(pieces, lambda s: F.when(identifier(normal(s)).isNotNull(), F.array(F.coalesce(identifier(normal(s)), F.lit("0")))).otherwise(lines(s))))
+    sentence = lambda x: F.coalesce(x["id"], F.when(x["plain"].rlike("^([0-9]{1,2}|[a-z])$"), F.lit("")).otherwise(F.lit("0")))
+    sentences = lambda s: F.transform(F.filter(looked_up(F.split(s, BREAK)), lambda x: x["plain"] != ""), sentence)
+    lines = lambda s: F.flatten(F.transform(looked_up(F.split(s, "[\\x0A\\x0D]+")), lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(sentences(x["raw"]))))
+    pieces = looked_up(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WRAPPED))
+    ids = F.flatten(F.transform(pieces, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(lines(x["raw"]))))
     # identifiers stand between commas of their own, so that neighbouring matches share none: ,1,,2,,0,
     sequence = F.concat_ws("", F.transform(F.filter(ids, lambda i: i != ""), lambda i: F.concat(F.lit(","), i, F.lit(","))))
-    names = [free for free in (f"_{name}_{k}" for k in ("ids", "seq", "hits"))]
+    names = [free_name(docs, f"_{name}_{k}") for k in ("ids", "seq", "hits")]
     out = docs.withColumn(names[0], ids).withColumn(names[1], sequence)
     left, hits = F.col(names[1]), []
     for licence, rule in RULES:

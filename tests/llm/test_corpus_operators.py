@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import re
+import struct
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tarnline.llm import imatch, neardup, suffixdedup
@@ -120,6 +123,57 @@ def test_fingerprints(spark, many):
     assert one.near_next == 1.0
 
 
+def signed(n):
+    return n - 2**64 if n >= 2**63 else n
+
+
+def hashed(values, seed=42):
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, np.int32) else "<q", int(v))
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return signed(seed)
+
+
+def test_fingerprints_by_hand(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 300}" for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    terms = {d: sorted({w for w in re.split(r"[^a-z0-9]+", t) if w}) for d, t in rows}
+    df = Counter(w for own in terms.values() for w in own)
+    band = {w for w, n in df.items() if 2 <= n <= 30}
+
+    def fingerprint(own):
+        known = sorted(hashed([w]) for w in own if w in band)
+        if not known:
+            return "x" + f"{hashed(own) & (2**64 - 1):x}"
+        out, subsets = [f"{hashed(known) & (2**64 - 1):x}"], [known] * imatch.SEEDS
+        for r in range(1, imatch.RATES + 1):
+            subsets = [[h for h in x if (hashed([h, np.int32(s)]) & (2**64 - 1)) >> 2 * r & 3 == 0] for s, x in enumerate(subsets)]
+            out += ["" if not x else f"{hashed(x) & 0xFFFF:x}" for x in subsets]
+        return "-".join(out)
+
+    def alike(a, b):
+        if a == b or "x" in (a[0], b[0]):
+            return float(a == b)
+        pairs = [(x, y) for x, y in zip(a.split("-"), b.split("-"), strict=True) if x or y]
+        return sum(x == y for x, y in pairs) / len(pairs)
+
+    got = imatch.fingerprint_with_edits(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)).collect()
+    want = {d: fingerprint(own) for d, own in terms.items()}
+    assert len(got) == 300 and {r.doc_id: r.fingerprint for r in got} == want
+    for r in got:
+        assert r.near_next == pytest.approx(alike(want[r.doc_id], want[(r.doc_id + 1) % 300]))
+        assert r.near_edited == pytest.approx(alike(r.fingerprint, r.edited_fingerprint))
+
+
+@pytest.mark.parametrize("range_bytes", [150, 1000, 10**6])
+def test_next_in_order_over_ranges(spark, range_bytes):
+    ids = [*range(0, 90, 3), 5, 5, 5, *range(100, 140)]
+    rows = [(i, f"text {i} {k}") for k, i in enumerate(ids)]
+    got = imatch.next_in_order(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", range_bytes).filter("ghost = 0").collect()
+    order = sorted(rows)
+    assert {r.text: r.next_text for r in got} == {order[i][1]: order[(i + 1) % len(order)][1] for i in range(len(order))} and len(got) == len(rows)
+
+
 def test_fingerprint_order_with_null_ids(spark):
     docs = spark.createDataFrame([(None, "first one", 1, ""), (1, "second", 1, ""), (2, "last word", 1, "")], SCHEMA)
     got = {r.doc_id: r.edited_sha256 for r in imatch.fingerprint_with_edits(docs).collect()}
