@@ -82,12 +82,13 @@ def scan_licences(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     # list markers count as sentences, but leave no gap
     sentence = lambda x: F.coalesce(x["id"], F.when(x["plain"].rlike("^([0-9]{1,2}|[a-z])$"), F.lit("")).otherwise(F.lit("0")))
     sentences = lambda s: F.transform(F.filter(looked_up(F.split(s, BREAK)), lambda x: x["plain"] != ""), sentence)
-    lines = lambda s: F.flatten(F.transform(looked_up(F.split(s, "[\\x0A\\x0D]+")), lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(sentences(x["raw"]))))
+    by_line = lambda s: F.flatten(F.transform(looked_up(F.split(s, "[\\x0A\\x0D]+")), lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(sentences(x["raw"]))))
+    lines = lambda s: F.when(s.contains("spdx-license-identifier:"), by_line(s)).otherwise(sentences(s))
     pieces = looked_up(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WRAPPED))
     ids = F.flatten(F.transform(pieces, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(lines(x["raw"]))))
-    # identifiers stand between commas of their own, so that neighbouring matches share none: ,1,,2,,0,
-    sequence = F.concat_ws("", F.transform(F.filter(ids, lambda i: i != ""), lambda i: F.concat(F.lit(","), i, F.lit(","))))
     names = [free_name(docs, f"_{name}_{k}") for k in ("ids", "seq", "hits")]
+    # identifiers stand between commas of their own, so that neighbouring matches share none: ,1,,2,,0,
+    sequence = F.concat_ws("", F.transform(F.filter(names[0], lambda i: i != ""), lambda i: F.concat(F.lit(","), i, F.lit(","))))
     out = docs.withColumn(names[0], ids).withColumn(names[1], sequence)
     left, hits = F.col(names[1]), []
     for licence, rule in RULES:
