@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -73,9 +74,11 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def release() -> None:
-    """Gives memory that Arrow holds free back; workers are used again by later stages."""
+    """Gives memory that Arrow and the C library hold free back; workers are used again by later stages."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:

@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import add_struct, free_name
+from .common import add_struct, free_name, release
 
 #: Hashed word space.
 SPACE = 1 << 20
@@ -58,11 +60,12 @@ class _Rows:
 
     def __init__(self, rows: list, features: np.ndarray) -> None:
         self.n = len(rows)
-        flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        at = np.searchsorted(features, flat)
-        ok = features[np.minimum(at, max(0, len(features) - 1))] == flat if len(features) else np.zeros(len(flat), bool)
-        self.at, self.owner, self.width = at[ok], owner[ok], len(features)
+        flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
+        place = np.full(SPACE, -1, np.int32)
+        place[features] = np.arange(len(features), dtype=np.int32)
+        at = place[flat]
+        self.at, self.owner, self.width = at[at >= 0], owner[at >= 0], len(features)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, w[self.at], self.n) if self.n else np.zeros(0)
@@ -73,7 +76,7 @@ class _Rows:
 
 def choose_features(positive: list, unlabelled: list, least: int = 4, z_least: float = 2.0, most: int = 20000) -> np.ndarray:
     """Words seen often enough whose rates differ between the toxic and the unlabelled texts."""
-    counts = lambda rows: np.bincount(np.concatenate([np.asarray(r, np.int64) for r in rows] or [np.zeros(0, np.int64)]), minlength=SPACE)
+    counts = lambda rows: np.bincount(np.concatenate([np.asarray(r, np.int32) for r in rows] or [np.zeros(0, np.int32)]), minlength=SPACE)
     p, u = counts(positive), counts(unlabelled)
     rate = (p + u) / max(1, len(positive) + len(unlabelled))
     spread = np.sqrt(np.maximum(1e-12, rate * (1 - rate)) * (1 / max(1, len(positive)) + 1 / max(1, len(unlabelled))))
@@ -139,7 +142,7 @@ def least_hashes(rows: DataFrame, salt: int, n: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_scale: int = MAX_SCALE) -> Model:
-    """Samples ids by hash, hashes the words of their texts on the executors and fits on the driver.
+    """Samples ids by hash, hashes the words of their texts and fits in one task on the sample, whose size the parameters bound.
 
     Labels are taken only from rows that held_out() leaves; rows with a null id or label are passed over. The class prior is the share of toxic rows among all those.
     """
@@ -151,12 +154,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     picked = F.broadcast(chosen.unionByName(scale).groupBy("id").agg(F.collect_set("part").alias("parts")))  # bounded by the three parameters
     name = free_name(docs, "words")
     sample = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(picked, "id")
-    rows = add_struct(sample, "text", name, StructType([StructField("w", ArrayType(IntegerType()))]), lambda: lambda texts: {"w": [hashed(t) for t in texts]}).select("parts", F.col(name)["w"].alias("w")).toArrow()
-    parts, w = rows.column("parts").to_pylist(), [x.values.to_numpy() for x in rows.column("w")]
+    rows = add_struct(sample, "text", name, StructType([StructField("w", ArrayType(IntegerType()))]), lambda: lambda texts: {"w": [hashed(t) for t in texts]}).select("parts", F.col(name)["w"].alias("w"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, w = [], []
+        for batch in batches:
+            parts += batch.column(0).to_pylist()
+            w += [x.values.to_numpy() for x in batch.column(1)]
+        m = _learned(parts, w, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([m.features.astype(np.int32)]), pa.array([m.weights]), *(pa.array([float(x)]) for x in (m.bias, m.centre, m.slope))], names=["features", "weights", "bias", "centre", "slope"])
+        del parts, w
+        release()
+
+    # one task sees the sample, which the parameters bound; the driver gets the weights alone
+    found = rows.repartition(1).mapInArrow(learn, "features array<int>, weights array<double>, bias double, centre double, slope double").first()
+    if found is None:
+        return _learned([], [], prior)
+    return Model(np.array(found["features"], np.int64), np.array(found["weights"], float), found["bias"], found["centre"], found["slope"])
+
+
+def _learned(parts: list, w: list, prior: float) -> Model:
+    """The model of a sample: parts of each row (0 unlabelled, 1 toxic, 2 and 3 for the scale of the score) and its words."""
     of = lambda k: [x for p, x in zip(parts, w, strict=True) if k in p]
-    model = fit(of(1), of(0), prior)
     bad, good = of(3), of(2)
-    return rescale(model, bad + good, np.array([1] * len(bad) + [0] * len(good)))
+    return rescale(fit(of(1), of(0), prior), bad + good, np.array([1] * len(bad) + [0] * len(good)))
 
 
 class _Weights(dict):
