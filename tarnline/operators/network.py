@@ -118,3 +118,199 @@ def shortest_distances(edges: DataFrame, start: int, cutoff: float, keep, most_r
 def distance_band(distances: DataFrame, target: float, tolerance: float = 0.3, k: int = 20) -> DataFrame:
     """The k nodes closest to a distance, within a tolerance."""
     return distances.filter(F.col("dist").between(target * (1 - tolerance), target * (1 + tolerance))).withColumn("off", F.abs(F.col("dist") - target)).orderBy("off", "node_id").limit(k)
+
+
+#: Kinds of way, of ground and of access that a running network keeps or leaves out (fixed values).
+RUNNABLE = ("primary", "secondary", "tertiary", "residential", "path", "living_street", "unclassified")
+NOT_RUNNABLE = ("motorway", "trunk", "motorway_link", "trunk_link", "footway", "cycleway")
+SOFT_GROUND, CLOSED = ("sand", "mud", "gravel"), ("private",)
+#: Kinds of node that are intersections whatever is near them (fixed values).
+REAL_CROSSINGS = ("crossing", "traffic_signals", "stop", "mini_roundabout")
+
+
+def runnable(edges: DataFrame, with_footways: bool = False) -> DataFrame:
+    """Edges of a running network, by highway, access and surface; words may stand anywhere in the value, a missing one excludes nothing but a missing highway."""
+    barred = tuple(k for k in NOT_RUNNABLE if not (with_footways and k in ("footway", "cycleway")))
+    kept = RUNNABLE + (("footway", "cycleway") if with_footways else ())
+    none_of = lambda c, words: F.coalesce(~F.col(c).rlike("|".join(words)), F.lit(True))
+    return edges.filter(F.col("highway").rlike("|".join(kept)) & none_of("highway", barred) & none_of("access", CLOSED) & none_of("surface", SOFT_GROUND))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Edges in both directions, each pair once by its shortest."""
+    turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "length")
+    return edges.select("u", "v", "length").unionByName(turned).groupBy("u", "v").agg(F.min("length").alias("length"))
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes."""
+    own = nodes.select("node_id").distinct()
+    return edges.join(own.withColumnRenamed("node_id", "u"), "u", "left_semi").join(own.withColumnRenamed("node_id", "v"), "v", "left_semi")
+
+
+def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: counts, heights, and grades in percent (edges with grade) over 5 and 10."""
+    n = nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.min("elevation").alias("low"), F.max("elevation").alias("high"), (F.max("elevation") - F.min("elevation")).alias("range"), F.avg("elevation").alias("mean"))
+    e = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.sum("length").alias("length"), F.max("grade").alias("max_grade"), F.avg("grade").alias("mean_grade"), F.count_if(F.col("grade") > 5).alias("over_5"), F.count_if(F.col("grade") > 10).alias("over_10"))
+    return n.crossJoin(F.broadcast(e))  # one row each
+
+
+def start_node(nodes: DataFrame, lat: float, lon: float, wanted: int | None = None) -> DataFrame:
+    """The wanted node, or the nearest to a place (ties by id), as one row; a wanted node that isn't there raises."""
+    if wanted is not None:
+        found = nodes.filter(F.col("node_id") == wanted)
+        if found.isEmpty():
+            raise ValueError(f"no node {wanted}")
+        return found.select("node_id", F.lit(0.0).alias("dist_m")).limit(1)
+    d = haversine(F.lit(lat), F.lit(lon), F.col("y"), F.col("x"))
+    return nodes.agg(F.min(F.struct(d.alias("d"), "node_id")).alias("x")).select("x.node_id", F.col("x.d").alias("dist_m"))
+
+
+def intersections(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+    """The first nodes by id that aren't of degree 2, with degree."""
+    return degrees(nodes, edges).filter("degree <> 2").orderBy("node_id").limit(most)
+
+
+def best_start(nodes: DataFrame, edges: DataFrame, lat: float, lon: float, at_intersections: bool = True) -> DataFrame:
+    """The nearest of the first intersections, or of all nodes."""
+    return start_node(intersections(nodes, edges) if at_intersections else nodes, lat, lon)
+
+
+def node_frame(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with degree and defaults: elevation 0, highway empty."""
+    highway = F.coalesce("highway", F.lit("")) if "highway" in nodes.columns else F.lit("")
+    return degrees(nodes, edges).select("node_id", "x", "y", F.coalesce("elevation", F.lit(0.0)).alias("elevation"), highway.alias("highway"), "degree")
+
+
+def edge_frame(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with the coordinates of their ends."""
+    at = lambda end: nodes.select(F.col("node_id").alias(end), F.col("x").alias(f"{end}_x"), F.col("y").alias(f"{end}_y"))
+    return edges.join(at("u"), "u").join(at("v"), "v").select("u", "v", F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("highway", F.lit("")).alias("highway"), "u_x", "u_y", "v_x", "v_y")
+
+
+def nearby_planar(nodes: DataFrame, lat: float, lon: float, km: float = 2.0, k: int = 50) -> DataFrame:
+    """The k nodes nearest to a place among those less than km / 111 degrees away in the plane of coordinates; ties by id."""
+    r = km / 111.0
+    box = nodes.filter(F.col("y").between(lat - r, lat + r) & F.col("x").between(lon - r, lon + r))
+    inside = box.filter((F.col("x") - lon) * (F.col("x") - lon) + (F.col("y") - lat) * (F.col("y") - lat) < r * r)
+    return inside.withColumn("dist_m", haversine(F.lit(lat), F.lit(lon), F.col("y"), F.col("x"))).orderBy("dist_m", "node_id").limit(k)
+
+
+def within_road_distance(candidates: DataFrame, distances: DataFrame, start: int, most: float) -> DataFrame:
+    """Candidates (node_id) that a distance map reaches within so many metres; the start always stays."""
+    near = distances.filter(F.col("dist") <= most).select("node_id")
+    return candidates.join(near, "node_id", "left_semi").unionByName(candidates.filter(F.col("node_id") == start)).distinct()
+
+
+def close_pairs(points: DataFrame, metres: float) -> DataFrame:
+    """a < b: points (node_id, x, y) less than so many metres apart, by an equi-join on grid cells of that size."""
+    from math import cos, radians
+
+    dy = metres / 111_000
+    lat = points.agg(F.max(F.abs("y"))).first()[0] or 0.0
+    dx = dy / max(0.01, cos(radians(min(89.0, lat))))
+    own = points.select("node_id", "x", "y", F.floor(F.col("x") / dx).alias("cx"), F.floor(F.col("y") / dy).alias("cy"))
+    spread = own.select("node_id", "x", "y", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy").select("node_id", "x", "y", "cx", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"))
+    met = own.select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy").join(spread.withColumnsRenamed({"node_id": "b", "x": "bx", "y": "by"}), ["cx", "cy"]).filter("a < b")
+    return met.filter(haversine(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx")) < metres).select("a", "b")
+
+
+def thinned(nodes: DataFrame, edges: DataFrame, keep, metres: float = 20.0) -> DataFrame:
+    """node_id and kind of intersections: real ones (by highway) all stay; of the others those stay, in the order of ids, that are near no real one and none that stays.
+
+    A round settles every node whose nearer ones with lesser ids are settled; rounds end when all are.
+    """
+    own = degrees(nodes, edges).filter("degree <> 2")
+    real = F.coalesce(F.col("highway").isin(*REAL_CROSSINGS), F.lit(False))
+    marked = keep(own.select("node_id", "x", "y", real.alias("real")))
+    pairs = keep(close_pairs(marked, metres))
+    by_real = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(marked.filter("real").select(F.col("node_id").alias("a")), "a", "left_semi").select(F.col("b").alias("node_id")).distinct()
+    left = keep(marked.filter("not real").select("node_id").join(by_real, "node_id", "left_anti"))
+    kept = marked.filter("real").select("node_id", F.lit("real").alias("kind"))
+    open_ = keep(pairs.join(left.withColumnRenamed("node_id", "a"), "a", "left_semi").join(left.withColumnRenamed("node_id", "b"), "b", "left_semi"))
+    while not left.isEmpty():
+        free = keep(left.join(open_.select(F.col("b").alias("node_id")), "node_id", "left_anti"))
+        kept = kept.unionByName(free.withColumn("kind", F.lit("other")))
+        gone = open_.join(free.select(F.col("node_id").alias("a")), "a", "left_semi").select(F.col("b").alias("node_id")).distinct()
+        left = keep(left.join(free, "node_id", "left_anti").join(gone, "node_id", "left_anti"))
+        open_ = keep(open_.join(left.withColumnRenamed("node_id", "a"), "a", "left_semi").join(left.withColumnRenamed("node_id", "b"), "b", "left_semi"))
+    return kept
+
+
+def simplified(edges: DataFrame, keep, fixed: DataFrame | None = None) -> DataFrame:
+    """Edges with every chain through nodes of two neighbours made one: u, v, length, inner (nodes left out). Nodes of fixed (node_id) stay; rings without any other node vanish.
+
+    Chains are followed by pointer doubling: the number of rounds is the logarithm of the longest chain.
+    """
+    steps = keep(both_ways(edges).filter("u <> v"))
+    middle = steps.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(F.col("u").alias("node_id"))
+    if fixed is not None:
+        middle = middle.join(fixed.select("node_id"), "node_id", "left_anti")
+    middle = keep(middle)
+    inner = F.col("m").isNotNull()
+    chain = keep(steps.select(F.col("u").alias("s0"), F.col("v").alias("s1"), F.col("u").alias("e0"), F.col("v").alias("e1"), "length", F.lit(0).cast("long").alias("inner")))
+    for _ in range(64):
+        ends = chain.join(middle.select(F.col("node_id").alias("e1"), F.lit(1).alias("m")), "e1", "left")
+        nxt = chain.select(F.col("s0").alias("n0"), F.col("s1").alias("n1"), F.col("e0").alias("t0"), F.col("e1").alias("t1"), F.col("length").alias("more"), F.col("inner").alias("also"))
+        grown = ends.join(nxt, inner & (F.col("e1") == F.col("n0")) & (F.col("e0") != F.col("n1")), "left")
+        go = F.col("t1").isNotNull()
+        new = keep(grown.select("s0", "s1", F.coalesce("t0", "e0").alias("e0"), F.coalesce("t1", "e1").alias("e1"), (F.col("length") + F.coalesce("more", F.lit(0.0))).alias("length"), (F.col("inner") + F.when(go, F.col("also") + 1).otherwise(0)).alias("inner"), go.alias("go"), F.col("length").alias("was")))
+        chain = new.drop("go", "was")
+        open_ = new.join(middle.select(F.col("node_id").alias("e1")), "e1", "left_semi").join(middle.select(F.col("node_id").alias("s0")), "s0", "left_anti")
+        if open_.isEmpty():
+            break
+    starts = chain.join(middle.select(F.col("node_id").alias("s0")), "s0", "left_anti").join(middle.select(F.col("node_id").alias("e1")), "e1", "left_anti")
+    return starts.groupBy(F.col("s0").alias("u"), F.col("e1").alias("v")).agg(F.min(F.struct("length", "inner")).alias("x")).select("u", "v", "x.length", "x.inner")
+
+
+def consolidated(nodes: DataFrame, keep, metres: float = 10.0) -> DataFrame:
+    """node_id and cluster (least id of nodes linked by steps of less than so many metres), with the cluster's mean place: x, y, n."""
+    label = keep(nodes.select("node_id", F.col("node_id").alias("cluster")))
+    pairs = keep(close_pairs(nodes, metres))
+    both = keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    while True:
+        near = both.join(label.select(F.col("node_id").alias("a"), F.col("cluster").alias("c")), "a").groupBy(F.col("b").alias("node_id")).agg(F.min("c").alias("c"))
+        stepped = label.join(near, "node_id", "left").select("node_id", F.least("cluster", "c").alias("new"), "cluster")
+        jump = stepped.join(label.select(F.col("node_id").alias("new"), F.col("cluster").alias("far")), "new").select("node_id", F.least("new", "far").alias("new"), "cluster")
+        after = keep(jump)
+        label = after.select("node_id", F.col("new").alias("cluster"))
+        if after.filter("new <> cluster").isEmpty():
+            break
+    placed = nodes.select("node_id", "x", "y").join(label, "node_id")
+    centre = placed.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    return label.join(centre, "cluster").select("node_id", "cluster", "x", "y", "n")
+
+
+def validated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: numbers of nodes and edges, of those that lack what they need, and whether the network can be used."""
+    lacks = F.col("x").isNull() | F.col("y").isNull() | F.col("elevation").isNull()
+    n = nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(lacks).alias("bad_nodes"))
+    e = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("length").isNull()).alias("bad_edges"))
+    return n.crossJoin(F.broadcast(e)).withColumn("valid", (F.col("n_nodes") > 0) & (F.col("bad_nodes") == 0) & (F.col("bad_edges") == 0))  # one row each
+
+
+def route_bounds(route: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The box of every route's known nodes; zeros without any."""
+    on = route.join(nodes.select("node_id", "x", "y"), "node_id", "left")
+    return on.groupBy("route_id").agg(*(F.coalesce(f(c), F.lit(0.0)).alias(n) for n, f, c in (("south", F.min, "y"), ("north", F.max, "y"), ("west", F.min, "x"), ("east", F.max, "x"))))
+
+
+def adjacent(route: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of every route (route_id, ord, node_id): its steps, those that no edge allows, and whether it is connected."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("route_id").orderBy("ord")
+    steps = route.withColumn("u", F.lag("node_id").over(w)).join(edges.select("u", F.col("v").alias("node_id"), F.lit(1).alias("ok")).distinct(), ["u", "node_id"], "left")
+    return steps.groupBy("route_id").agg(F.count("u").alias("steps"), F.count_if(F.col("u").isNotNull() & F.col("ok").isNull()).alias("missing")).withColumn("connected", F.col("missing") == 0)
+
+
+def route_statistics(route: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Network distance over the edges there are, gain, loss, net, heights and number of nodes of every route."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("route_id").orderBy("ord")
+    hop = edges.groupBy("u", "v").agg(F.min("length").alias("length"))
+    on = route.join(nodes.select("node_id", "elevation"), "node_id")
+    steps = on.withColumn("u", F.lag("node_id").over(w)).withColumn("rise", F.col("elevation") - F.lag("elevation").over(w)).withColumnRenamed("node_id", "v").join(hop, ["u", "v"], "left")
+    up, down = F.sum(F.greatest(F.coalesce("rise", F.lit(0.0)), F.lit(0.0))), F.sum(F.greatest(-F.coalesce("rise", F.lit(0.0)), F.lit(0.0)))
+    return steps.groupBy("route_id").agg(F.coalesce(F.sum("length"), F.lit(0.0)).alias("length"), up.alias("gain"), down.alias("loss"), (up - down).alias("net"), F.max("elevation").alias("high"), F.min("elevation").alias("low"), F.count(F.lit(1)).alias("n_nodes"))

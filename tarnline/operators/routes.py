@@ -199,13 +199,6 @@ def hamming_to_next(route: DataFrame) -> DataFrame:
     return pairs.select("route_id", (F.greatest("n", "m") - F.coalesce("same", F.lit(0))).alias("hamming"))
 
 
-def novelty(pairs: DataFrame, k: int = 15) -> DataFrame:
-    """Mean of the k largest distances of every route."""
-    both = pairs.select(F.col("a").alias("route_id"), "distance").unionByName(pairs.select(F.col("b").alias("route_id"), "distance"))
-    top = both.withColumn("i", F.row_number().over(Window.partitionBy("route_id").orderBy(F.desc("distance")))).filter(F.col("i") <= k)
-    return top.groupBy("route_id").agg(r(F.avg("distance"), 6).alias("novelty"))
-
-
 def survivors(scored: DataFrame, score: str, rate: float = 0.8, least: float = 0.1) -> DataFrame:
     """Individuals over a threshold (the best one if none is), best first, a share of them. scored: gen, route_id, score."""
     w = Window.partitionBy("gen")

@@ -13,7 +13,7 @@ from tarnline.operators import network as N
 from tarnline.operators import routes as R
 from tarnline.sources import roads
 
-LAT, LON, TARGET_KM, START, CUTOFF = 37.1340, -80.4000, 7.0, 110, 1500.0
+LAT, LON, TARGET_KM, START, CUTOFF = 46.2340, 7.4000, 7.0, 110, 1500.0
 
 
 def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
@@ -42,7 +42,7 @@ def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return _HAV.format(lat1=lat1, lon1=lon1, lat2=lat2, lon2=lon2)
 
 
-NODE = """node AS (SELECT p_partkey AS node_id, -80.4094::DOUBLE + (p_partkey % 20) * 0.001::DOUBLE AS x, 37.1299::DOUBLE + (p_partkey // 20) * 0.001::DOUBLE AS y, 580.0::DOUBLE + (p_retailprice - 900.0::DOUBLE) + p_size * 0.5::DOUBLE AS elevation FROM part)"""
+NODE = """node AS (SELECT p_partkey AS node_id, 7.3906::DOUBLE + (p_partkey % 20) * 0.001::DOUBLE AS x, 46.2299::DOUBLE + (p_partkey // 20) * 0.001::DOUBLE AS y, 580.0::DOUBLE + (p_retailprice - 900.0::DOUBLE) + p_size * 0.5::DOUBLE AS elevation FROM part)"""
 EDGE = f"""pair AS (SELECT a.node_id AS u, b.node_id AS v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, a.elevation AS ue, b.elevation AS ve, least(a.node_id, b.node_id) AS lo, greatest(a.node_id, b.node_id) AS hi FROM node a JOIN node b ON (b.node_id = a.node_id + 1 AND a.node_id % 20 < 19) OR (b.node_id = a.node_id - 1 AND a.node_id % 20 > 0) OR b.node_id = a.node_id + 20 OR b.node_id = a.node_id - 20),
 edge AS (SELECT u, v, ue, ve, round({hav("uy", "ux", "vy", "vx")} * (1.0::DOUBLE + ((lo * 31 + hi * 17) % 10) / 20.0::DOUBLE), 3) AS length, CASE (lo * 7 + hi) % 6 WHEN 0 THEN 'footway' WHEN 1 THEN 'primary' WHEN 2 THEN 'path' WHEN 3 THEN 'tertiary' ELSE 'residential' END AS highway FROM pair)"""
 ROUTE = """size AS (SELECT count(*) // 20 AS h FROM part),
@@ -131,10 +131,10 @@ def routing_weight(spark: SparkSession, sf: str) -> DataFrame:
 @add("footway_filter", NET + ", k AS (SELECT u, v FROM edge WHERE highway <> 'footway') SELECT node_id, (SELECT count(*) FROM k) AS n_edges FROM node WHERE node_id IN (SELECT u FROM k UNION SELECT v FROM k)")
 def footway_filter(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = N.without_footways(roads.nodes(spark, sf), roads.edges(spark, sf))
-    return nodes.select("node_id", F.lit(edges.count()).alias("n_edges"))
+    return nodes.select("node_id").crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("n_edges"))))  # one row
 
 
-@add("nearest_nodes", f"WITH {NODE}, k AS (SELECT node_id, {hav('37.1340::DOUBLE', '-80.4000::DOUBLE', 'y', 'x')} AS m FROM node) SELECT node_id, round(m, 3) AS dist_m FROM k WHERE m <= 2000 ORDER BY m, node_id LIMIT 50")
+@add("nearest_nodes", f"WITH {NODE}, k AS (SELECT node_id, {hav('46.2340::DOUBLE', '7.4000::DOUBLE', 'y', 'x')} AS m FROM node) SELECT node_id, round(m, 3) AS dist_m FROM k WHERE m <= 2000 ORDER BY m, node_id LIMIT 50")
 def nearest_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return N.nearest(roads.nodes(spark, sf), LAT, LON).select("node_id", F.round("dist_m", 3).alias("dist_m"))
 
@@ -142,7 +142,7 @@ def nearest_nodes(spark: SparkSession, sf: str) -> DataFrame:
 _DEG = ", dg AS (SELECT node_id, x, y, coalesce(n, 0) AS degree FROM node LEFT JOIN (SELECT u, count(*) AS n FROM edge GROUP BY u) ON u = node_id)"
 
 
-@add("nodes_within_distance", NET + _DEG + f" SELECT node_id, degree FROM dg WHERE (degree <> 2 OR node_id = {START}) AND {hav('37.1340::DOUBLE', '-80.4000::DOUBLE', 'y', 'x')} <= 1500")
+@add("nodes_within_distance", NET + _DEG + f" SELECT node_id, degree FROM dg WHERE (degree <> 2 OR node_id = {START}) AND {hav('46.2340::DOUBLE', '7.4000::DOUBLE', 'y', 'x')} <= 1500")
 def nodes_within_distance(spark: SparkSession, sf: str) -> DataFrame:
     return N.nodes_within(roads.nodes(spark, sf), roads.edges(spark, sf), LAT, LON, 1.5, START).select("node_id", "degree")
 
@@ -157,17 +157,19 @@ def connectivity(spark: SparkSession, sf: str) -> DataFrame:
     return N.connectivity(roads.nodes(spark, sf), roads.edges(spark, sf))
 
 
-@add("bbox_nodes", f"WITH {NODE} SELECT node_id, elevation FROM node WHERE y BETWEEN 37.1315::DOUBLE AND 37.1365::DOUBLE AND x BETWEEN -80.4065::DOUBLE AND -80.3965::DOUBLE")
+@add("bbox_nodes", f"WITH {NODE} SELECT node_id, elevation FROM node WHERE y BETWEEN 46.2315::DOUBLE AND 46.2365::DOUBLE AND x BETWEEN 7.3935::DOUBLE AND 7.4035::DOUBLE")
 def bbox_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return roads.nodes(spark, sf).filter(F.col("y").between(37.1315, 37.1365) & F.col("x").between(-80.4065, -80.3965)).select("node_id", "elevation")
+    return roads.nodes(spark, sf).filter(F.col("y").between(46.2315, 46.2365) & F.col("x").between(7.3935, 7.4035)).select("node_id", "elevation")
 
 
-@add("tile_lookup", f"WITH {NODE}, tile AS (SELECT printf('t%d_%d_%d', res, i, j) AS tile_path, res AS resolution, -80.41::DOUBLE + i * 0.007::DOUBLE * res AS west, -80.41::DOUBLE + (i + 1) * 0.007::DOUBLE * res AS east, 37.129::DOUBLE + j * 0.007::DOUBLE * res AS south, 37.129::DOUBLE + (j + 1) * 0.007::DOUBLE * res AS north FROM (VALUES (1), (3)) r(res), range(2) a(i), range(12) b(j)) SELECT node_id, min_by(tile_path, (resolution, tile_path)) AS tile_path, min(resolution) AS resolution FROM node JOIN tile ON x BETWEEN west AND east AND y BETWEEN south AND north GROUP BY node_id")
+@add("tile_lookup", f"WITH {NODE}, cells AS (SELECT DISTINCT res, floor((x - 7.39::DOUBLE) / (0.007::DOUBLE * res))::BIGINT AS i, floor((y - 46.229::DOUBLE) / (0.007::DOUBLE * res))::BIGINT AS j FROM node, (VALUES (1), (3)) r(res)), tile AS (SELECT printf('t%d_%d_%d', res, i, j) AS tile_path, res AS resolution, 7.39::DOUBLE + i * 0.007::DOUBLE * res AS west, 7.39::DOUBLE + (i + 1) * 0.007::DOUBLE * res AS east, 46.229::DOUBLE + j * 0.007::DOUBLE * res AS south, 46.229::DOUBLE + (j + 1) * 0.007::DOUBLE * res AS north FROM cells) SELECT node_id, min_by(tile_path, (resolution, tile_path)) AS tile_path, min(resolution) AS resolution FROM node JOIN tile ON x BETWEEN west AND east AND y BETWEEN south AND north GROUP BY node_id")
 def tile_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    at = spark.range(48).select(F.when(F.col("id") < 24, 1).otherwise(3).alias("resolution"), (F.col("id") % 2).alias("i"), F.expr("(id div 2) % 12").alias("j"))
+    own = roads.nodes(spark, sf)
+    cell = lambda c, base: F.floor((F.col(c) - base) / (F.lit(0.007) * F.col("resolution")))
+    at = own.withColumn("resolution", F.explode(F.array(F.lit(1), F.lit(3)))).select("resolution", cell("x", 7.39).alias("i"), cell("y", 46.229).alias("j")).distinct()
     box = lambda base, k: F.lit(base) + k * F.lit(0.007) * F.col("resolution")
-    tiles = at.select(F.format_string("t%d_%d_%d", "resolution", "i", "j").alias("tile_path"), "resolution", box(-80.41, F.col("i")).alias("west"), box(-80.41, F.col("i") + 1).alias("east"), box(37.129, F.col("j")).alias("south"), box(37.129, F.col("j") + 1).alias("north"))
-    return N.covering_tile(roads.nodes(spark, sf), tiles)
+    tiles = at.select(F.format_string("t%d_%d_%d", "resolution", "i", "j").alias("tile_path"), "resolution", box(7.39, F.col("i")).alias("west"), box(7.39, F.col("i") + 1).alias("east"), box(46.229, F.col("j")).alias("south"), box(46.229, F.col("j") + 1).alias("north"))
+    return N.covering_tile(own, tiles)
 
 
 @add("hybrid_elevation", f"WITH {NODE}, h AS (SELECT node_id, CASE WHEN node_id % 7 = 0 THEN NULL WHEN node_id % 13 = 0 THEN 0 ELSE elevation END AS a, CASE WHEN node_id % 11 = 0 THEN NULL ELSE elevation + 3 END AS b FROM node) SELECT node_id, coalesce(nullif(a, 0), b, 0) AS elevation, CASE WHEN nullif(a, 0) IS NOT NULL THEN 'primary' WHEN b IS NOT NULL THEN 'fallback' ELSE 'none' END AS source FROM h")
@@ -181,8 +183,8 @@ def hybrid_elevation(spark: SparkSession, sf: str) -> DataFrame:
 @add("elevation_sources", f"WITH t AS ({ORACLES['hybrid_elevation']}) SELECT source, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 3) AS percent FROM t GROUP BY source")
 def elevation_sources(spark: SparkSession, sf: str) -> DataFrame:
     counted = hybrid_elevation(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n")).first()[0]
-    return counted.withColumn("percent", F.round(F.col("n") / F.lit(total) * 100, 3))
+    total = counted.agg(F.sum("n").alias("total"))
+    return counted.crossJoin(F.broadcast(total)).select("source", "n", F.round(F.col("n") / F.col("total") * 100, 3).alias("percent"))  # one row
 
 
 @add("elevation_compare", f"WITH {NODE}, t AS (SELECT abs(elevation - CASE WHEN node_id % 3 = 0 THEN elevation ELSE elevation + node_id % 5 END) AS d FROM node) SELECT count(*) FILTER (d = 0) AS identical, round(avg(d) FILTER (d <> 0), 6) AS mean_diff, round(max(d) FILTER (d <> 0), 6) AS max_diff, round(min(d) FILTER (d <> 0), 6) AS min_diff FROM t")
@@ -202,9 +204,6 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return R.jaccard_pairs(roads.routes(spark, sf))
 
 
-@add("novelty", _JAC + ", u AS (SELECT a AS route_id, distance FROM jac UNION ALL SELECT b, distance FROM jac), t AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY distance DESC) AS i FROM u) SELECT route_id, round(avg(distance), 6) AS novelty FROM t WHERE i <= 15 GROUP BY route_id")
-def novelty(spark: SparkSession, sf: str) -> DataFrame:
-    return R.novelty(R.jaccard_pairs(roads.routes(spark, sf)))
 
 
 @add("hamming_next", f"WITH {NODE}, {ROUTE}, n AS (SELECT route_id, count(*) AS n FROM route GROUP BY route_id), s AS (SELECT p.route_id, count(*) AS k FROM route p JOIN route q ON q.route_id = p.route_id + 1 AND q.ord = p.ord AND q.node_id = p.node_id GROUP BY p.route_id) SELECT x.route_id, greatest(x.n, y.n) - coalesce(k, 0) AS hamming FROM n x JOIN n y ON y.route_id = x.route_id + 1 LEFT JOIN s ON s.route_id = x.route_id")

@@ -36,7 +36,7 @@ def graph_path(base: str, lat: float, lon: float, radius_m: int, kind: str = "al
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
-    return part.select(k.alias("node_id"), (F.lit(-80.4094) + (k % WIDTH) * F.lit(0.001)).alias("x"), (F.lit(37.1299) + F.floor(k / WIDTH) * F.lit(0.001)).alias("y"), (F.lit(580.0) + (F.col("p_retailprice") - 900.0) + F.col("p_size") * 0.5).alias("elevation"))
+    return part.select(k.alias("node_id"), (F.lit(7.3906) + (k % WIDTH) * F.lit(0.001)).alias("x"), (F.lit(46.2299) + F.floor(k / WIDTH) * F.lit(0.001)).alias("y"), (F.lit(580.0) + (F.col("p_retailprice") - 900.0) + F.col("p_size") * 0.5).alias("elevation"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
