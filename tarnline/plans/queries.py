@@ -249,6 +249,3 @@ def route_gpx(spark: SparkSession, sf: str) -> DataFrame:
     return roads.gpx(roads.points(spark, sf))
 
 
-@add("route_geojson")
-def route_geojson(spark: SparkSession, sf: str) -> DataFrame:
-    return roads.geojson(roads.points(spark, sf))
