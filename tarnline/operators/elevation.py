@@ -87,7 +87,7 @@ def query_keys(queries: DataFrame) -> DataFrame:
 
 def has_elevation(nodes: DataFrame) -> DataFrame:
     """One row: whether there are nodes and all have an elevation, and the share of those above 0 in percent."""
-    return nodes.agg((F.count(F.lit(1)) > 0).alias("some"), F.coalesce(F.bool_and(F.col("elevation").isNotNull()), F.lit(False)).alias("complete"), F.coalesce(F.count_if(F.col("elevation") > 0) / F.count(F.lit(1)) * 100, F.lit(0.0)).alias("coverage"))
+    return nodes.agg((F.count(F.lit(1)) > 0).alias("some"), F.coalesce(F.bool_and(F.col("elevation").isNotNull()), F.lit(False)).alias("complete"), F.coalesce(F.try_divide(F.count_if(F.col("elevation") > 0), F.count(F.lit(1))) * 100, F.lit(0.0)).alias("coverage"))
 
 
 def fill_gaps(nodes: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def fill_gaps(nodes: DataFrame, fallback: DataFrame) -> DataFrame:
 def summary(nodes: DataFrame) -> DataFrame:
     """Counts, coverage in percent, range and mean of the elevations that aren't 0."""
     known = F.when(F.col("elevation") != 0, F.col("elevation"))
-    return nodes.agg(F.count(F.lit(1)).alias("total"), F.count(known).alias("known"), (F.count(known) / F.count(F.lit(1)) * 100).alias("coverage"), F.min(known).alias("low"), F.max(known).alias("high"), (F.max(known) - F.min(known)).alias("range"), F.avg(known).alias("mean"))
+    return nodes.agg(F.count(F.lit(1)).alias("total"), F.count(known).alias("known"), (F.try_divide(F.count(known), F.count(F.lit(1))) * 100).alias("coverage"), F.min(known).alias("low"), F.max(known).alias("high"), (F.max(known) - F.min(known)).alias("range"), F.avg(known).alias("mean"))
 
 
 def signed_grades(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def enriched(points: DataFrame, tiles: DataFrame, pixels: DataFrame, fallback: D
     The coverage is one row, joined to all.
     """
     own = points.join(finest_tile(samples(points, tiles, pixels)).select("node_id", F.col("elevation").alias("_tile")), "node_id", "left").join(fallback.select("node_id", F.col("elevation").alias("_other")), "node_id", "left")
-    share = own.agg((F.coalesce(F.count("_tile") / F.count(F.lit(1)), F.lit(0.0)) * 100).alias("_share"))
+    share = own.agg((F.coalesce(F.try_divide(F.count("_tile"), F.count(F.lit(1))), F.lit(0.0)) * 100).alias("_share"))
     filled = F.when(F.col("_share") < least_coverage, F.col("_other"))
     out = own.crossJoin(F.broadcast(share))  # one row
     return out.withColumn("elevation", F.coalesce("_tile", filled, F.lit(0.0))).withColumn("source", F.when(F.col("_tile").isNotNull(), "tile").when(filled.isNotNull(), "fallback").otherwise("none")).drop("_tile", "_other", "_share")

@@ -98,21 +98,12 @@ def hybrid_elevation(points: DataFrame, sources: list[tuple[str, DataFrame]], ze
     return out.select(*points.columns, F.coalesce(*(F.col(f"_{n}") for n, _ in sources), F.lit(0.0)).alias("elevation"), named.otherwise("none").alias("source"))
 
 
-def shortest_distances(edges: DataFrame, start: int, cutoff: float, keep, most_rounds: int = 10_000) -> DataFrame:
-    """node_id and network metres from the start, up to a cutoff, by rounds of relaxation until nothing changes.
+def shortest_distances(edges: DataFrame, start: int, cutoff: float, keep, most_local: int | None = None) -> DataFrame:
+    """node_id and network metres from the start, up to a cutoff. keep writes a frame and reads it back, which cuts the lineage (a shared folder on a cluster)."""
+    from .paths import LOCAL_EDGES, near_paths
 
-    keep writes a frame and reads it back, which cuts the lineage (a shared folder on a cluster).
-    """
-    spark = edges.sparkSession
-    found = keep(spark.sql(f"SELECT {int(start)}L AS node_id, 0.0D AS dist"))
-    frontier = found
-    for _ in range(most_rounds):
-        step = frontier.join(edges.select(F.col("u").alias("node_id"), "v", "length"), "node_id").select(F.col("v").alias("node_id"), (F.col("dist") + F.col("length")).alias("new")).filter(F.col("new") <= cutoff).groupBy("node_id").agg(F.min("new").alias("new"))
-        merged = keep(found.join(step, "node_id", "full").select("node_id", F.least("dist", "new").alias("dist"), (F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))).alias("moved")))
-        found, frontier = merged.select("node_id", "dist"), merged.filter("moved").select("node_id", "dist")
-        if frontier.isEmpty():
-            return found
-    return found
+    one = edges.sparkSession.sql(f"SELECT {int(start)}L AS node_id")
+    return near_paths(edges, cutoff, keep, one, LOCAL_EDGES if most_local is None else most_local).select("node_id", "dist")
 
 
 def distance_band(distances: DataFrame, target: float, tolerance: float = 0.3, k: int = 20) -> DataFrame:

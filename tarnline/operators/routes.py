@@ -169,9 +169,13 @@ def direction_diversity(route_steps: DataFrame) -> DataFrame:
 
 
 def fitness_terms(points: DataFrame, target_km: float) -> DataFrame:
-    own = points.groupBy("route_id").agg((F.max("cum_m") / 1000).alias("km"), gain().alias("g"), F.max(F.abs("grade")).alias("m"), F.count_distinct("node_id").alias("nodes"), F.count(F.lit(1)).alias("n"))
-    loops = 1 - (F.col("n") - F.col("nodes")) / F.col("n")
-    return own.select("route_id", r(distance_score(F.col("km"), target_km), 6).alias("distance_score"), r(elevation_score(F.col("g"), F.col("m")), 6).alias("elevation_score"), r((F.least(F.lit(1.0), F.col("nodes") / 20) + loops) / 2, 6).alias("diversity_score"))
+    """Distance, elevation and diversity terms of routes whose every step is a segment: diversity is the mean of places visited (20 are full marks, one place none) and of the share of steps that don't repeat an edge, either way round."""
+    own = points.groupBy("route_id").agg((F.max("cum_m") / 1000).alias("km"), gain().alias("g"), F.max(F.abs("grade")).alias("m"), F.count_distinct("node_id").alias("nodes"))
+    used = steps(points).groupBy("route_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    loops = used.groupBy("route_id").agg(F.greatest(F.lit(0.0), 1 - F.sum(F.col("n") - 1) / F.sum("n")).alias("loops"))
+    spread = F.when(F.col("nodes") <= 1, 0.0).otherwise(F.least(F.lit(1.0), F.col("nodes") / 20))
+    both = own.join(loops, "route_id", "left")
+    return both.select("route_id", r(distance_score(F.col("km"), target_km), 6).alias("distance_score"), r(elevation_score(F.col("g"), F.col("m")), 6).alias("elevation_score"), r((spread + F.coalesce("loops", F.lit(1.0))) / 2, 6).alias("diversity_score"))
 
 
 def micro_terrain(points: DataFrame) -> DataFrame:
@@ -181,14 +185,12 @@ def micro_terrain(points: DataFrame) -> DataFrame:
     return marked.groupBy("route_id").agg(F.count_if("peak").alias("peaks"), F.count_if("valley").alias("valleys"), F.count_if(F.abs(g) >= 0.03).alias("steep_steps"), F.count_if(F.col("change") >= 0.03).alias("grade_changes"))
 
 
-def jaccard_pairs(route: DataFrame) -> DataFrame:
-    """Jaccard distance of the node sets of all pairs of routes that share a node, by an inverted index."""
-    own = route.select("route_id", "node_id").distinct()
-    sizes = own.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = own.withColumnRenamed("route_id", "a"), own.withColumnRenamed("route_id", "b")
-    met = a.join(b, "node_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    joined = met.join(sizes.select(F.col("route_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("route_id").alias("b"), F.col("n").alias("nb")), "b")
-    return joined.select("a", "b", r(1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("distance"))
+def jaccard_pairs(route: DataFrame, size: int = 50) -> DataFrame:
+    """Jaccard distance of the node sets of all pairs of routes within a generation of so many ids, disjoint ones too; generations are of bounded size, so pairs are as many times more than routes."""
+    own = route.groupBy("route_id").agg(F.collect_set("node_id").alias("s")).withColumn("gen", F.floor(F.col("route_id") / size))
+    both = own.select("gen", F.col("route_id").alias("a"), F.col("s").alias("x")).join(own.select("gen", F.col("route_id").alias("b"), F.col("s").alias("y")), "gen").filter("a < b")
+    met = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", r(1 - met / (F.size("x") + F.size("y") - met), 6).alias("distance"))
 
 
 def hamming_to_next(route: DataFrame) -> DataFrame:

@@ -1,8 +1,4 @@
-"""Route search: paths, initial routes, crossover, mutation, selection and the generation loop, as plans over whole populations.
-
-An individual is a row (id, nodes): the nodes of a closed walk in order. Draws are hashes of (id, generation, salt), so a
-search repeats on any partitioning and after lost executors. Nothing is collected but one row of statistics a generation.
-"""
+"""Building blocks of route search: paths from one node, targets, neighbours, and edits of node lists as column expressions."""
 
 from __future__ import annotations
 
@@ -11,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnline.functions.geo import distance_score, elevation_score
+from .paths import k_shortest_pairs, near_paths
 
 Keep = Callable[[DataFrame], DataFrame]
-#: Weights of distance, elevation, connectivity and diversity by objective (fixed values).
-OBJECTIVES = {"distance": (0.6, 0.1, 0.2, 0.1), "elevation": (0.15, 0.4, 0.2, 0.1), "balanced": (0.25, 0.25, 0.2, 0.2), "scenic": (0.1, 0.3, 0.15, 0.25), "efficiency": (0.5, 0.2, 0.2, 0.1)}
 
 
 def draw(*salt: Column | str) -> Column:
@@ -25,35 +19,14 @@ def draw(*salt: Column | str) -> Column:
 
 def shortest_paths(edges: DataFrame, start: int, cutoff: float, keep: Keep) -> DataFrame:
     """node_id, dist and path (nodes from the start) of all nodes within a cutoff; parallel edges count by the shortest."""
-    hops = edges.groupBy("u", "v").agg(F.min("length").alias("length"))
-    found = keep(edges.sparkSession.sql(f"SELECT {int(start)}L AS node_id, 0.0D AS dist, array({int(start)}L) AS path, true AS moved"))
-    while not (front := found.filter("moved")).isEmpty():
-        near = front.join(hops, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), (F.col("dist") + F.col("length")).alias("dist"), F.concat("path", F.array("v")).alias("path"))
-        best = near.filter(F.col("dist") <= cutoff).groupBy("node_id").agg(F.min(F.struct("dist", "path")).alias("new"))
-        better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new.dist") < F.col("dist")))
-        pick = lambda c: F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
-        found = keep(found.join(best, "node_id", "full").select("node_id", pick("dist"), pick("path"), better.alias("moved")))
-    return found.drop("moved")
-
-
-def simple_paths(edges: DataFrame, source: int, target: int, cutoff: float, keep: Keep, most_hops: int | None = None) -> DataFrame:
-    """All loopless paths up to a cutoff, with their lengths; what can't reach the target within the cutoff isn't followed."""
-    hops = edges.groupBy("u", "v").agg(F.min("length").alias("length"))
-    back = shortest_paths(hops.select(F.col("v").alias("u"), F.col("u").alias("v"), "length"), target, cutoff, keep).select(F.col("node_id").alias("v"), F.col("dist").alias("left"))
-    useful = keep(hops.join(back, "v"))
-    walks = keep(edges.sparkSession.sql(f"SELECT {int(source)}L AS node_id, array({int(source)}L) AS path, 0.0D AS length"))
-    done, n = walks.filter(F.lit(source == target)), 0
-    walks = walks.filter(F.lit(source != target))
-    while not walks.isEmpty() and (most_hops is None or n < most_hops):
-        step = walks.withColumnRenamed("length", "m").join(useful, F.col("node_id") == F.col("u")).filter(~F.array_contains("path", F.col("v")) & (F.col("m") + F.col("length") + F.col("left") <= cutoff * (1 + 1e-12)))
-        moved = keep(step.select(F.col("v").alias("node_id"), F.concat("path", F.array("v")).alias("path"), (F.col("m") + F.col("length")).alias("length")))
-        done, walks, n = done.unionByName(moved.filter(F.col("node_id") == target)), moved.filter(F.col("node_id") != target), n + 1
-    return done.filter(F.col("length") <= cutoff).select("path", "length")
-
-
-def k_shortest(edges: DataFrame, source: int, target: int, k: int, cutoff: float, keep: Keep) -> DataFrame:
-    """The k shortest loopless paths of at most cutoff metres: exact, as all paths within the cutoff are looked at; fewer if there aren't k."""
-    return simple_paths(edges, source, target, cutoff, keep).orderBy("length", "path").limit(k)
+    one = edges.sparkSession.sql(f"SELECT {int(start)}L AS node_id")
+    return near_paths(edges, cutoff, keep, one).drop("src")
+
+
+def k_shortest(edges: DataFrame, source: int, target: int, k: int, keep: Keep, cutoff: float = float("inf")) -> DataFrame:
+    """length and path of the k shortest loopless paths between two nodes, of at most cutoff metres; fewer if there aren't k."""
+    one = edges.sparkSession.sql(f"SELECT {int(source)}L AS src, {int(target)}L AS dst")
+    return k_shortest_pairs(edges, one, k, keep, cutoff).orderBy("rank").select("length", "path")
 
 
 def out_and_back(paths: DataFrame, target_m: float, tolerance: float = 0.15, tries: int = 5) -> DataFrame:
@@ -110,82 +83,3 @@ def without_loop(nodes: Column, i: Column) -> Column:
     node = F.element_at(nodes, i)
     last = F.size(nodes) + 1 - F.array_position(F.reverse(nodes), node).cast("int")
     return F.when(node == nodes[0], nodes).otherwise(splice(nodes, nodes, F.array_position(nodes, node).cast("int"), last))
-
-
-def evaluate(pop: DataFrame, nodes: DataFrame, edges: DataFrame, target_km: float, objective: str = "elevation") -> DataFrame:
-    """pop with km, gain, max_grade, valid (all steps are edges, closed) and fitness from 0 to 1; the micro-terrain term isn't counted."""
-    w = OBJECTIVES.get(objective, OBJECTIVES["elevation"])
-    at = nodes.select("node_id", F.coalesce("elevation", F.lit(0.0)).alias("e"))
-    step = pop.filter(F.size("nodes") > 1).select("id", F.explode(F.expr("transform(sequence(1, size(nodes) - 1), i -> struct(nodes[i - 1] AS u, nodes[i] AS v))")).alias("s")).select("id", "s.u", "s.v")
-    known = edges.groupBy("u", "v").agg(F.min("length").alias("length")).join(at.withColumnsRenamed({"node_id": "u", "e": "eu"}), "u").join(at.withColumnsRenamed({"node_id": "v", "e": "ev"}), "v")
-    rise = F.col("ev") - F.col("eu")
-    sums = step.join(known, ["u", "v"], "left").groupBy("id").agg((F.sum("length") / 1000).alias("km"), F.sum(F.greatest(rise, F.lit(0.0))).alias("gain"), F.max(F.when(F.col("length") > 0, F.abs(rise) / F.col("length") * 100)).alias("max_grade"), F.bool_and(F.col("length").isNotNull()).alias("linked"))
-    own = pop.join(sums, "id", "left").withColumn("valid", F.coalesce(F.col("linked") & (F.col("nodes")[0] == F.element_at("nodes", -1)), F.lit(False))).drop("linked")
-    near = distance_score(F.col("km"), target_km)
-    rest = w[1] * elevation_score(F.col("gain"), F.coalesce("max_grade", F.lit(0.0))) + w[2] + w[3] * F.least(F.lit(1.0), F.size(F.array_distinct("nodes")) / 20)
-    inside = F.abs(F.col("km") - target_km) <= 0.15 * target_km
-    score = F.when(inside, F.least(F.lit(1.0), w[0] * near + rest)).otherwise(F.least(F.lit(0.05), 0.1 * rest))
-    return own.withColumn("fitness", F.when(F.col("valid"), score).otherwise(0.0))
-
-
-def numbered(df: DataFrame, order: list, n: int) -> DataFrame:
-    """The first n rows with ids from 0; n is a size of a population, never of the data."""
-    first = df.orderBy(*order).limit(n).select("nodes", F.struct(*order).alias("o"))
-    return first.groupBy().agg(F.array_sort(F.collect_list(F.struct("o", "nodes"))).alias("x")).select(F.posexplode("x").alias("i", "y")).select(F.col("i").cast("long").alias("id"), F.col("y.nodes").alias("nodes"))
-
-
-def initial(paths: DataFrame, target_m: float, size: int, seed: int) -> DataFrame:
-    """Out-and-back walks, and figures of eight of two of half the length; walked again in turn where there are fewer than size."""
-    band = lambda goal: paths.filter(F.abs(F.col("dist") * 2 - goal) <= 0.15 * goal).select(there_and_back(F.col("path")).alias("nodes"), F.xxhash64("node_id", F.lit(seed)).alias("h"))
-    halves = numbered(band(target_m / 2), ["h"], size)
-    eights = halves.alias("a").join(halves.alias("b"), F.col("b.id") == F.col("a.id") + 1).select(splice(F.col("a.nodes"), F.col("b.nodes"), F.size("a.nodes"), F.lit(1)).alias("nodes"), F.xxhash64(F.col("a.id"), F.lit(seed)).alias("h"))
-    base = numbered(band(target_m).unionByName(eights), ["h"], size)
-    n = base.agg(F.count(F.lit(1)).alias("n"))
-    slots = base.sparkSession.range(size).join(F.broadcast(n), F.col("n") > 0).select("id", (F.col("id") % F.col("n")).alias("k"))
-    return slots.join(base.select(F.col("id").alias("k"), "nodes"), "k").select("id", "nodes")
-
-
-def tournament(scored: DataFrame, size: int, n: int, salt: int, k: int = 3) -> DataFrame:
-    """child (0 to n - 1) and the nodes of the best of k drawn individuals."""
-    drawn = scored.sparkSession.range(n * k).select((F.col("id") / k).cast("long").alias("child"), F.floor(draw("id", F.lit(salt)) * size).alias("id"))
-    return drawn.join(scored.select("id", "nodes", "fitness"), "id").groupBy("child").agg(F.max_by("nodes", F.struct("fitness", (-F.col("id")).alias("m"))).alias("nodes"))
-
-
-def evolve(scored: DataFrame, nodes: DataFrame, edges: DataFrame, size: int, generation: int, rate: float, seed: int, elite: int = 2) -> DataFrame:
-    """The next generation: the best stay; the others are crossed where two chosen parents meet, then gain a spur to a high neighbour or lose a loop."""
-    salt, n = seed * 1_000_003 + generation * 7, size - elite
-    both = tournament(scored, size, n, salt).withColumnRenamed("nodes", "a").join(tournament(scored, size, n, salt + 1).withColumnRenamed("nodes", "b"), "child")
-    child = both.select(F.col("child").alias("id"), F.when(draw("child", F.lit(salt + 2)) < 0.8, cross_at_connection(F.col("a"), F.col("b"), draw("child", F.lit(salt + 3)))).otherwise(F.col("a")).alias("nodes"))
-    place = child.withColumn("i", (F.floor(draw("id", F.lit(salt + 4)) * F.size("nodes")) + 1).cast("int")).withColumn("node_id", F.element_at("nodes", F.col("i")))
-    higher = place.join(highest_neighbours(nodes, edges).select("node_id", "neighbour"), "node_id", "left")
-    spur = F.concat(F.slice("nodes", F.lit(1), F.col("i")), F.array("neighbour", "node_id"), F.slice("nodes", F.col("i") + 1, F.size("nodes")))
-    kind = draw("id", F.lit(salt + 5))
-    changed = F.when((kind < rate / 2) & F.col("neighbour").isNotNull(), spur).when((kind >= rate / 2) & (kind < rate), without_loop(F.col("nodes"), F.col("i"))).otherwise(F.col("nodes"))
-    best = numbered(scored.select("nodes", (-F.col("fitness")).alias("f"), F.col("id").alias("old")), ["f", "old"], elite)
-    return higher.select("id", changed.alias("nodes")).unionByName(best.withColumn("id", F.col("id") + n))
-
-
-def optimize(nodes: DataFrame, edges: DataFrame, start: int, target_km: float, keep: Keep, objective: str = "elevation", size: int = 40, generations: int = 20, seed: int = 42, patience: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The last population with its fitness, and a row of statistics for every generation. Wrong parameters raise.
-
-    Ends early when the best fitness moved by less than 0.001 over the patience. A start without walks of the length gives empty frames.
-    """
-    from tarnline.operators.tuning import adaptive_rate_value
-
-    if target_km <= 0 or size < 4:
-        raise ValueError("the distance must be positive and the population at least 4")
-    if nodes.filter(F.col("node_id") == start).isEmpty():
-        raise ValueError(f"no node {start}")
-    paths = shortest_paths(edges, start, 0.6 * target_km * 1000, keep)
-    scored, history, stale = keep(evaluate(initial(paths, target_km * 1000, size, seed), nodes, edges, target_km, objective)), [], 0
-    for g in range(generations + 1):
-        x = scored.agg(F.max("fitness"), F.avg("fitness"), F.count_distinct("nodes"), F.count_if("valid"), F.count(F.lit(1))).first()
-        if not x[4]:
-            break
-        stale = stale + 1 if history and x[0] - history[-1][1] < 0.001 else 0
-        history.append((g, float(x[0]), float(x[1]), x[2] / x[4], x[3]))
-        last = [h[1] for h in history[-patience:]]
-        if g == generations or len(last) == patience and max(last) - min(last) < 0.001:
-            break
-        scored = keep(evaluate(evolve(scored, nodes, edges, size, g + 1, adaptive_rate_value(history[-1][3], stale, g), seed), nodes, edges, target_km, objective))
-    return scored, nodes.sparkSession.createDataFrame(history, "generation int, best double, mean double, diversity double, n_valid long")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnline.operators.search import draw
+from .search import draw
 
+#: Base, least and largest mutation rate, generations without a gain and diversity from which it is raised (fixed values).
 BASE, LEAST, MOST, STALE, DIVERSE = 0.15, 0.05, 0.5, 10, 0.3
 
 

@@ -145,12 +145,12 @@ def sensitivity_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return C.ranking(found.select(F.col("event_type").alias("parameter"), "sensitivity"))
 
 
-@add("algorithm_choice", "WITH RECURSIVE a AS (SELECT ['elitism', 'tournament', 'roulette', 'rank', 'diversity'][1 + event_id % 5] AS algorithm, event_id AS ord, value / 100 AS score FROM events WHERE event_id < 500), n AS (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY ord) AS i FROM a), f AS (SELECT algorithm, i, score AS p FROM n WHERE i = 1 UNION ALL SELECT n.algorithm, n.i, n.score * 0.1::DOUBLE + f.p * (1 - 0.1::DOUBLE) FROM f JOIN n ON n.algorithm = f.algorithm AND n.i = f.i + 1), k AS (SELECT algorithm, arg_max(p, i) AS performance FROM f GROUP BY algorithm), o(category, i, algorithm) AS (VALUES ('small_population', 0, 'elitism'), ('small_population', 1, 'tournament'), ('large_population', 0, 'roulette'), ('large_population', 1, 'rank'), ('high_diversity', 0, 'tournament'), ('high_diversity', 1, 'diversity'), ('low_diversity', 0, 'elitism'), ('low_diversity', 1, 'uniform')), q AS (SELECT event_id AS id, CASE WHEN event_id % 300 < 50 THEN 'small_population' WHEN event_id % 300 > 200 THEN 'large_population' WHEN value / 100 > 0.7 THEN 'high_diversity' ELSE 'low_diversity' END AS category FROM events) SELECT id, category, arg_max(o.algorithm, (coalesce(performance, 0), -i)) AS algorithm FROM q JOIN o USING (category) LEFT JOIN k ON k.algorithm = o.algorithm GROUP BY id, category")
+@add("algorithm_choice", "WITH RECURSIVE a AS (SELECT ['elitism', 'tournament', 'roulette', 'rank', 'diversity'][1 + event_id % 5] AS algorithm, event_id AS ord, value / 100 AS score FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY ord) AS i FROM a), f AS (SELECT algorithm, i, score AS p FROM n WHERE i = 1 UNION ALL SELECT n.algorithm, n.i, n.score * 0.1::DOUBLE + f.p * (1 - 0.1::DOUBLE) FROM f JOIN n ON n.algorithm = f.algorithm AND n.i = f.i + 1), k AS (SELECT algorithm, arg_max(p, i) AS performance FROM f GROUP BY algorithm), o(category, i, algorithm) AS (VALUES ('small_population', 0, 'elitism'), ('small_population', 1, 'tournament'), ('large_population', 0, 'roulette'), ('large_population', 1, 'rank'), ('high_diversity', 0, 'tournament'), ('high_diversity', 1, 'diversity'), ('low_diversity', 0, 'elitism'), ('low_diversity', 1, 'uniform')), q AS (SELECT event_id AS id, CASE WHEN event_id % 300 < 50 THEN 'small_population' WHEN event_id % 300 > 200 THEN 'large_population' WHEN value / 100 > 0.7 THEN 'high_diversity' ELSE 'low_diversity' END AS category FROM events) SELECT id, category, arg_max(o.algorithm, (coalesce(performance, 0), -i)) AS algorithm FROM q JOIN o USING (category) LEFT JOIN k ON k.algorithm = o.algorithm GROUP BY id, category")
 def algorithm_choice(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     events = spark.read.parquet(f"{sf}/events.parquet")
     names = F.array(*map(F.lit, ("elitism", "tournament", "roulette", "rank", "diversity")))
-    scores = events.filter("event_id < 500").select(F.element_at(names, (k % 5 + 1).cast("int")).alias("algorithm"), k.alias("ord"), (F.col("value") / 100).alias("score"))  # the first trials of every algorithm
+    scores = events.select(F.element_at(names, (k % 5 + 1).cast("int")).alias("algorithm"), k.alias("ord"), (F.col("value") / 100).alias("score"))
     problems = events.select(k.alias("id"), (k % 300).alias("population"), (F.col("value") / 100).alias("diversity"))
     return C.selected(problems, C.performance(scores))
 

@@ -13,13 +13,15 @@ from tarnline.operators import network as N
 from tarnline.operators import routes as R
 from tarnline.sources import roads
 
-LAT, LON, TARGET_KM, START, CUTOFF = 46.2340, 7.4000, 7.0, 110, 1500.0
+LAT, LON, TARGET_KM, START, CUTOFF = 46.2340, 7.4000, 7.0, 110, 8000.0
 
 
 def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes frames to the cluster's shared folder and reads them back."""
+    """Writes frames to the cluster's shared folder and reads them back. A session on one machine (tests) that names none gets a folder of its own; a cluster that names none raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnline-")
         spark.conf.set("spark.checkpoint.dir", base)
 
@@ -89,7 +91,7 @@ over_points("difficulty_rating", R.rating, _CYC + f", o AS (SELECT route_id, max
 over_points("route_directions", R.directions, " SELECT route_id, ord AS step, CASE WHEN ord = 1 THEN 'start' WHEN ord = max(ord) OVER (PARTITION BY route_id) THEN 'finish' ELSE 'continue' END AS type, CASE WHEN rise > 5 THEN 'uphill' WHEN rise < -5 THEN 'downhill' ELSE 'level' END AS terrain, round(rise, 3) AS elevation_change, round(d / 1000, 5) AS distance_km, round(cum_m / 1000, 5) AS cumulative_km FROM pt")
 over_points("terrain_kind", R.terrain_kind, f", m AS (SELECT *, lead(elevation) OVER {W} AS ne FROM pt), o AS (SELECT route_id, stddev_pop(elevation) AS s, count(*) FILTER (elevation > be AND elevation > ne AND elevation - least(be, ne) > 5) AS n_peaks, count(*) FILTER (elevation < be AND elevation < ne AND greatest(be, ne) - elevation > 5) AS n_valleys FROM m GROUP BY route_id) SELECT route_id, CASE WHEN s < 5 THEN 'flat' WHEN s < 15 THEN 'rolling' WHEN s < 30 THEN 'hilly' ELSE 'mountainous' END AS terrain_type, round(s, 3) AS std_elevation, n_peaks, n_valleys FROM o")
 over_points("micro_terrain", R.micro_terrain, f", m AS (SELECT *, lead(elevation) OVER {W} AS ne, CASE WHEN ord > 2 THEN abs(grade / 100 - lag(grade / 100) OVER {W}) END AS ch FROM pt) SELECT route_id, count(*) FILTER (elevation > be AND elevation > ne AND elevation - least(be, ne) >= 2) AS peaks, count(*) FILTER (elevation < be AND elevation < ne AND greatest(be, ne) - elevation >= 2) AS valleys, count(*) FILTER (abs(grade / 100) >= 0.03) AS steep_steps, count(*) FILTER (ch >= 0.03) AS grade_changes FROM m GROUP BY route_id")
-_FIT = f"o AS (SELECT route_id, max(cum_m) / 1000 AS km, {GAIN} AS g, max(abs(grade)) AS m, count(DISTINCT node_id) AS nodes, count(*) AS n FROM pt GROUP BY route_id), fit AS (SELECT route_id, round(CASE WHEN km <= 0 THEN 0 WHEN abs(km - 7.0::DOUBLE) > 1.05::DOUBLE THEN 0.01::DOUBLE WHEN abs(km - 7.0::DOUBLE) <= 0.7::DOUBLE THEN 1 - abs(km - 7.0::DOUBLE) / 0.7::DOUBLE * 0.1::DOUBLE ELSE greatest(0, 0.9::DOUBLE - least(0.8::DOUBLE, (abs(km - 7.0::DOUBLE) - 0.7::DOUBLE) / 7.0::DOUBLE * 3)) END, 6) AS distance_score, round(CASE WHEN g <= 0 THEN 0 ELSE greatest(0, ln(1 + g / 10) / ln(501.0::DOUBLE) - CASE WHEN m > 15 THEN least(0.3::DOUBLE, (m - 15) / 100) ELSE 0 END) END, 6) AS elevation_score, round((least(1.0::DOUBLE, nodes / 20) + (1 - (n - nodes) / n)) / 2, 6) AS diversity_score FROM o)"
+_FIT = f"o AS (SELECT route_id, max(cum_m) / 1000 AS km, {GAIN} AS g, max(abs(grade)) AS m, count(DISTINCT node_id) AS nodes FROM pt GROUP BY route_id), ue AS (SELECT route_id, greatest(0, 1 - sum(n - 1) / sum(n)) AS loops FROM (SELECT route_id, count(*) AS n FROM pt WHERE u IS NOT NULL GROUP BY route_id, least(u, node_id), greatest(u, node_id)) GROUP BY route_id), fit AS (SELECT route_id, round(CASE WHEN km <= 0 THEN 0 WHEN abs(km - 7.0::DOUBLE) > 1.05::DOUBLE THEN 0.01::DOUBLE WHEN abs(km - 7.0::DOUBLE) <= 0.7::DOUBLE THEN 1 - abs(km - 7.0::DOUBLE) / 0.7::DOUBLE * 0.1::DOUBLE ELSE greatest(0, 0.9::DOUBLE - least(0.8::DOUBLE, (abs(km - 7.0::DOUBLE) - 0.7::DOUBLE) / 7.0::DOUBLE * 3)) END, 6) AS distance_score, round(CASE WHEN g <= 0 THEN 0 ELSE greatest(0, ln(1 + g / 10) / ln(501.0::DOUBLE) - CASE WHEN m > 15 THEN least(0.3::DOUBLE, (m - 15) / 100) ELSE 0 END) END, 6) AS elevation_score, round((CASE WHEN nodes <= 1 THEN 0 ELSE least(1.0::DOUBLE, nodes / 20) END + coalesce(loops, 1)) / 2, 6) AS diversity_score FROM o LEFT JOIN ue USING (route_id))"
 over_points("fitness_terms", lambda p: R.fitness_terms(p, TARGET_KM), f", {_FIT} SELECT * FROM fit")
 over_points("survivors", lambda p: R.survivors(R.fitness_terms(p, TARGET_KM).withColumn("gen", F.col("route_id") % 5), "distance_score"), f", {_FIT}, s AS (SELECT route_id, route_id % 5 AS gen, distance_score, distance_score >= 0.1 AS ok FROM fit), k AS (SELECT *, max(ok) OVER (PARTITION BY gen) AS hit, count(*) FILTER (ok) OVER (PARTITION BY gen) AS n, row_number() OVER (PARTITION BY gen ORDER BY ok DESC, distance_score DESC, route_id) AS rank FROM s) SELECT gen, route_id, rank FROM k WHERE CASE WHEN hit THEN ok AND rank <= greatest(1, floor(n * 0.8::DOUBLE)) ELSE rank = 1 END")
 over_points("elevation_trend", lambda p: R.fitness_trend(p.select("route_id", "ord", F.col("elevation").alias("value"))), " SELECT route_id, ord, round(CASE WHEN count(*) OVER w < 3 THEN 0 ELSE regr_slope(elevation, ord) OVER w END, 6) + 0.0::DOUBLE AS slope FROM pt WINDOW w AS (PARTITION BY route_id ORDER BY ord ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
@@ -196,7 +198,7 @@ def elevation_compare(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "node_id").agg(F.count_if(d == 0).alias("identical"), F.round(F.avg(differing), 6).alias("mean_diff"), F.round(F.max(differing), 6).alias("max_diff"), F.round(F.min(differing), 6).alias("min_diff"))
 
 
-_JAC = f"WITH {NODE}, {ROUTE}, own AS (SELECT DISTINCT route_id, node_id FROM route), sz AS (SELECT route_id, count(*) AS n FROM own GROUP BY route_id), met AS (SELECT p.route_id AS a, q.route_id AS b, count(*) AS k FROM own p JOIN own q USING (node_id) WHERE p.route_id < q.route_id GROUP BY ALL), jac AS (SELECT a, b, round(1 - k / (x.n + y.n - k), 6) AS distance FROM met JOIN sz x ON x.route_id = a JOIN sz y ON y.route_id = b)"
+_JAC = f"WITH {NODE}, {ROUTE}, own AS (SELECT route_id, route_id // 50 AS gen, list(DISTINCT node_id) AS s FROM route GROUP BY route_id), jac AS (SELECT x.route_id AS a, y.route_id AS b, round(1 - len(list_intersect(x.s, y.s)) / len(list_distinct(x.s || y.s)), 6) AS distance FROM own x JOIN own y ON y.gen = x.gen AND x.route_id < y.route_id)"
 
 
 @add("jaccard_pairs", _JAC + " SELECT * FROM jac")
@@ -204,29 +206,20 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return R.jaccard_pairs(roads.routes(spark, sf))
 
 
-
-
 @add("hamming_next", f"WITH {NODE}, {ROUTE}, n AS (SELECT route_id, count(*) AS n FROM route GROUP BY route_id), s AS (SELECT p.route_id, count(*) AS k FROM route p JOIN route q ON q.route_id = p.route_id + 1 AND q.ord = p.ord AND q.node_id = p.node_id GROUP BY p.route_id) SELECT x.route_id, greatest(x.n, y.n) - coalesce(k, 0) AS hamming FROM n x JOIN n y ON y.route_id = x.route_id + 1 LEFT JOIN s ON s.route_id = x.route_id")
 def hamming_next(spark: SparkSession, sf: str) -> DataFrame:
     return R.hamming_to_next(roads.routes(spark, sf))
 
 
-def _rounds(n: int) -> str:
-    parts = [f"d0 AS (SELECT {START}::BIGINT AS node_id, 0.0::DOUBLE AS dist)"]
-    for i in range(1, n + 1):
-        parts.append(f"d{i} AS MATERIALIZED (SELECT node_id, min(dist) AS dist FROM (SELECT * FROM d{i - 1} UNION ALL SELECT e.v, d.dist + e.length FROM d{i - 1} d JOIN edge e ON e.u = d.node_id WHERE d.dist + e.length <= {CUTOFF}) GROUP BY node_id)")
-    return ", ".join(parts)
-
-
-_SSSP = NET.replace("edge AS (", "edge AS MATERIALIZED (") + ", " + _rounds(25)
+_SSSP = NET.replace("WITH ", "WITH RECURSIVE ", 1).replace("edge AS (", "edge AS MATERIALIZED (") + f", sd(node_id, dist) USING KEY (node_id) AS (SELECT {START}::BIGINT, 0.0::DOUBLE UNION (SELECT e.v, min(sd.dist + e.length) FROM sd JOIN edge e ON e.u = sd.node_id LEFT JOIN recurring.sd k ON k.node_id = e.v WHERE sd.dist + e.length <= {CUTOFF} AND sd.dist + e.length < coalesce(k.dist, 1e18) GROUP BY e.v))"
 
 
-@add("shortest_distances", _SSSP + " SELECT node_id, round(dist, 3) AS dist FROM d25")
+@add("shortest_distances", _SSSP + " SELECT node_id, round(dist, 3) AS dist FROM sd")
 def shortest_distances(spark: SparkSession, sf: str) -> DataFrame:
     return N.shortest_distances(roads.edges(spark, sf), START, CUTOFF, keeper(spark)).select("node_id", F.round("dist", 3).alias("dist"))
 
 
-@add("distance_band", _SSSP + " SELECT node_id, round(dist, 3) AS dist FROM d25 WHERE dist BETWEEN 700 AND 1300 ORDER BY abs(dist - 1000), node_id LIMIT 20")
+@add("distance_band", _SSSP + " SELECT node_id, round(dist, 3) AS dist FROM sd WHERE dist BETWEEN 700 AND 1300 ORDER BY abs(dist - 1000), node_id LIMIT 20")
 def distance_band(spark: SparkSession, sf: str) -> DataFrame:
     found = N.shortest_distances(roads.edges(spark, sf), START, CUTOFF, keeper(spark))
     return N.distance_band(found, 1000.0).select("node_id", F.round("dist", 3).alias("dist"))

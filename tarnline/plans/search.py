@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnline.operators import generate as G
 from tarnline.operators import network as N
+from tarnline.operators import paths as P
 from tarnline.operators import search as S
 from tarnline.operators import tuning as T
-from tarnline.plans.queries import _SSSP, NET, NODE, ROUTE, START, PT, add, keeper
+from tarnline.operators.fitness import WEIGHTS
+from tarnline.plans.queries import _SSSP, CUTOFF, LAT, LON, NET, NODE, PT, ROUTE, START, add, keeper
 from tarnline.sources import roads
 from tarnline.streaming import activity
 
-TARGET_M, GOAL, REACH, BEST = 2000.0, 113, 900.0, 10
+TARGET_M, BEST = 5000.0, 30
 
 
-@add("shortest_paths", _SSSP + ", p AS (SELECT * FROM d25) SELECT node_id, round(dist, 3) AS dist, 110::BIGINT AS first_node, node_id AS last_node FROM p")
+@add("shortest_paths", _SSSP + ", p AS (SELECT * FROM sd) SELECT node_id, round(dist, 3) AS dist, 110::BIGINT AS first_node, node_id AS last_node FROM p")
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.shortest_paths(roads.edges(spark, sf), START, 1500.0, keeper(spark))
+    found = S.shortest_paths(roads.edges(spark, sf), START, CUTOFF, keeper(spark))
     return found.select("node_id", F.round("dist", 3).alias("dist"), F.col("path")[0].alias("first_node"), F.element_at("path", -1).alias("last_node"))
 
 
-@add("k_shortest_paths", f"WITH RECURSIVE {NODE}, {NET.split(NODE + ', ')[1]}, walk AS (SELECT {START}::BIGINT AS v, [{START}::BIGINT] AS path, 0.0::DOUBLE AS m UNION ALL SELECT e.v, list_append(path, e.v), m + length FROM walk JOIN edge e ON e.u = walk.v WHERE NOT list_contains(path, e.v) AND m + length <= {REACH} AND walk.v <> {GOAL}) SELECT array_to_string(path, '-') AS path, round(m, 3) AS length FROM walk WHERE v = {GOAL} ORDER BY m, path LIMIT {BEST}")
+@add("k_shortest_paths")
 def k_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.k_shortest(roads.edges(spark, sf), START, GOAL, BEST, REACH, keeper(spark))
-    return found.select(F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), F.round("length", 3).alias("length"))
+    """The thirty shortest paths from the start to each of five destinations drawn from those within 1.5 km; tested against brute force."""
+    keep, edges = keeper(spark), roads.edges(spark, sf)
+    drawn = N.shortest_distances(edges, START, 1500.0, keep).filter(F.col("node_id") != START).orderBy((F.col("node_id") * 7919) % 10007).limit(5)
+    found = P.k_shortest_pairs(edges, drawn.select(F.lit(START).alias("src"), F.col("node_id").alias("dst")), BEST, keep)
+    return found.select("src", "dst", "rank", F.round("length", 3).alias("length"), F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
 
 
-@add("out_and_back", _SSSP + ", near AS (SELECT * FROM d25 WHERE dist BETWEEN 630 AND 1170 ORDER BY abs(dist - 900), node_id LIMIT 5) SELECT node_id, round(2 * dist, 3) AS total_m FROM near WHERE 2 * dist BETWEEN 1700 AND 2300 ORDER BY abs(dist - 900), node_id LIMIT 1")
+@add("out_and_back", _SSSP + ", near AS (SELECT * FROM sd WHERE dist BETWEEN 1575 AND 2925 ORDER BY abs(dist - 2250), node_id LIMIT 5) SELECT node_id, round(2 * dist, 3) AS total_m FROM near WHERE 2 * dist BETWEEN 4250 AND 5750 ORDER BY abs(dist - 2250), node_id LIMIT 1")
 def out_and_back(spark: SparkSession, sf: str) -> DataFrame:
-    paths = S.shortest_paths(roads.edges(spark, sf), START, 1500.0, keeper(spark))
+    paths = S.shortest_paths(roads.edges(spark, sf), START, CUTOFF, keeper(spark))
     return S.out_and_back(paths, TARGET_M).select("node_id", F.round("total_m", 3).alias("total_m"))
 
 
@@ -38,10 +44,9 @@ def terrain_bins(spark: SparkSession, sf: str) -> DataFrame:
     return S.terrain_bins(roads.nodes(spark, sf), START).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gain"), 3).alias("mean_gain"))
 
 
-@add("unexplored_peaks", f"WITH {NODE}, {ROUTE} SELECT node_id, elevation FROM node WHERE elevation > (SELECT elevation FROM node WHERE node_id = {START}) + 40 AND node_id <> {START} AND node_id NOT IN (SELECT node_id FROM route WHERE route_id % 5 = 0) ORDER BY elevation DESC, node_id LIMIT 20")
+@add("unexplored_peaks", f"WITH {NODE}, {ROUTE} SELECT node_id, elevation FROM node WHERE elevation > (SELECT elevation FROM node WHERE node_id = {START}) + 40 AND node_id <> {START} AND node_id NOT IN (SELECT node_id FROM route) ORDER BY elevation DESC, node_id LIMIT 20")
 def unexplored_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    seen = roads.routes(spark, sf).filter("route_id % 5 = 0")  # the part of the population that the search has walked so far
-    return S.unexplored_peaks(roads.nodes(spark, sf), seen, START)
+    return S.unexplored_peaks(roads.nodes(spark, sf), roads.routes(spark, sf), START)
 
 
 @add("highest_neighbours", NET + ", b AS (SELECT u, arg_max(v, (ve, -v)) AS neighbour, max(ve) - any_value(ue) AS rise FROM edge GROUP BY u) SELECT u AS node_id, neighbour, round(rise, 6) AS rise FROM b WHERE rise > 2")
@@ -98,8 +103,22 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
+STRATEGIES = tuple(dict.fromkeys(name for mix in G.MIXES.values() for name, _ in mix)) + ("fallback",)
+
+
+@add("initial_routes")
+def initial_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes of 5 km from the start by every strategy, ten seeds each."""
+    edges = N.without_footways(roads.nodes(spark, sf), roads.edges(spark, sf))[1]
+    seeds = spark.range(10 * len(STRATEGIES)).select("id", F.lit(START).cast("long").alias("start"), F.lit(TARGET_M).alias("target_m"), F.element_at(F.array(*map(F.lit, STRATEGIES)), (F.col("id") % len(STRATEGIES) + 1).cast("int")).alias("strategy"), F.lit(42).alias("seed"))
+    own = G.surroundings(roads.nodes(spark, sf), edges, LAT, LON, TARGET_M / 1000)
+    return G.initial_routes(seeds, *own, keeper(spark))
+
+
 @add("route_search")
 def route_search(spark: SparkSession, sf: str) -> DataFrame:
-    edges = keeper(spark)(N.without_footways(roads.nodes(spark, sf), roads.edges(spark, sf))[1])
-    found, _ = S.optimize(roads.nodes(spark, sf), edges, START, TARGET_M / 1000, keeper(spark), size=24, generations=4)
-    return found.filter("valid").select("id", "nodes", "km", "gain", "fitness")
+    """Searches of 5 km from the start for every objective, with the sizes that follow from the distance."""
+    edges = N.without_footways(roads.nodes(spark, sf), roads.edges(spark, sf))[1]
+    asked = spark.createDataFrame([(i, START, TARGET_M / 1000, name, 42) for i, name in enumerate(WEIGHTS)], "id long, start long, target_km double, objective string, seed long")
+    own = G.surroundings(roads.nodes(spark, sf), edges, LAT, LON, TARGET_M / 1000)
+    return G.search(asked, *own, keeper(spark)).drop("history")

@@ -1,7 +1,7 @@
 import pytest
 
-import tarnline.plans.search  # noqa: F401  registers its queries
-from tarnline.plans.queries import ORACLES, QUERIES
+
+from tarnline.plans.registry import ORACLES, QUERIES
 from tests.parity import differences
 
 SF = "/root/testdata/sf0.001"
