@@ -13,17 +13,21 @@ and so the least document of every window. Anchors of one document alone, the mo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, slices
+from .common import Staged, release, slices
 
 LENGTH, GRAM = 50, 20
 #: Bytes of shard text that one suffix array covers at least, unless the task has less; a gram's texts stay together.
 SHARD_BYTES = 500_000
+#: Places of one gram beyond which its texts are split by the bytes next to it.
+HOT = 5000
 _P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
 
 
@@ -62,27 +66,27 @@ def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the least of some window; with equal hashes all of them."""
+def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the grams that are the least of some window; with equal hashes all of them. Also the hashes of 16 bytes from every position."""
     if len(b) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, span = substring_hashes(b, GRAM), LENGTH - GRAM + 1
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    known = _powers(b, GRAM)
+    h, span = substring_hashes(b, GRAM, known), LENGTH - GRAM + 1
     least = _slide(h, span, np.minimum)
     pad = np.zeros(span - 1, np.uint64)
     most = _slide(np.concatenate([pad, least, pad]), span, np.maximum)
     at = np.flatnonzero(most == h)
-    return at, h[at]
+    return at, h[at], known[4][1]
 
 
 def _packed(version: int, start: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """One number for 16 bits of version, where the surroundings start, the bytes before the anchor, and all their bytes."""
-    return version << 46 | start << 13 | lead << 7 | size
+    """One number for 20 bits of version, where the surroundings start, the bytes before the anchor, and all their bytes."""
+    return version << 43 | start << 12 | lead << 7 | size
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    size = F.expr("cast(place & 127 as int)")
-    start = F.expr("cast(shiftright(place, 13) & 8589934591 as int)")
-    return rows.select("doc", F.expr("shiftright(place, 46)").alias("version"), start.alias("start"), F.expr("cast(shiftright(place, 7) & 63 as int)").alias("lead"), (start + size).alias("stop"), "gram", "around", "text_doc", "mixed")
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, bytes before the anchor, and size."""
+    return place >> 12 & 0x7FFFFFFF, place >> 7 & 31, place & 127
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -95,11 +99,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             cols: list[list[np.ndarray]] = [[] for _ in kinds]
             for doc, version, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-                at, gram = anchors(b)
+                at, gram, prefix = anchors(b)
                 if not len(at):
                     continue
                 start, stop = np.maximum(at - (LENGTH - GRAM), 0), np.minimum(at + LENGTH, len(b))
-                prefix = substring_hashes(b, 16)
                 around = _mix(np.uint64(1) * (stop - start).astype(np.uint64) * _P[1] + (at - start).astype(np.uint64))
                 for k in range(0, LENGTH + LENGTH - GRAM, 16):  # 16-byte hashes cover the surroundings; the last ones end with them
                     around = _mix(around * _P[0] + prefix[np.minimum(start + k, stop - 16)])
@@ -274,79 +277,131 @@ def least_documents(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [found[b : b + w] for b, w in zip(begins.tolist(), windows.tolist(), strict=True)]
 
 
-def _runs(removed: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """Byte runs that the removed windows cover."""
+def _runs(removed: np.ndarray, start: int) -> list[int]:
+    """Byte runs that the removed windows cover, packed."""
     at = np.flatnonzero(removed)
     if not len(at):
         return []
     cut = np.flatnonzero(np.diff(at) > 1)
-    return [(start + int(a), start + int(b) + LENGTH) for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)], strict=True)]
+    return [start + int(a) << 31 | start + int(b) + LENGTH for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)], strict=True)]
+
+
+def _comparable(lead: np.ndarray, bodies: list[bytes]) -> list[bool]:
+    """Which of the texts under one key share the bytes next to the gram with another text, on either side: a common window needs half of its other bytes on one side."""
+    if len(bodies) == 1:
+        return [False]
+    half, beside, keys = (LENGTH - GRAM) // 2, {}, []
+    for n, body in zip(lead.tolist(), bodies, strict=True):
+        left, right = body[n - half : n] if n >= half else None, body[n + GRAM : n + GRAM + half]
+        own = ((0, left), (1, right if len(right) == half else None))
+        keys.append(own)
+        for k in own:
+            if k[1] is not None and beside.setdefault(k, body) != body:
+                beside[k] = b""  # more than one text
+    return [any(k[1] is not None and beside[k] == b"" for k in own) for own in keys]
+
+
+def _solved(docs: list[int], versions: list[int], starts: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+    """The runs to remove from the texts of a shard: equal texts are one text with their least document."""
+    least: dict[bytes, int] = {}
+    for doc, body in zip(docs, bodies, strict=True):
+        if (known := least.get(body)) is None or doc < known:
+            least[body] = doc
+    found = dict(zip(least, least_documents(list(least), np.fromiter(least.values(), np.int64)), strict=True))
+    out = [(doc, version, run) for doc, version, start, body in zip(docs, versions, starts, bodies, strict=True) for run in _runs(found[body] < doc, start)]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["doc", "version", "run"])
 
 
 def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
-    """doc, version, runs (array of start, stop): bytes that earlier documents repeat. docs: doc, version (tells texts of one id apart), text."""
+    """doc, version, runs (packed starts and stops): bytes that earlier documents repeat. docs: doc, version (tells texts of one id apart), text."""
     rows = anchor_rows(docs)
     by_text, by_gram = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
-    met = rows.withColumn("text_doc", F.min("doc").over(by_text)).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), (F.min("around").over(by_gram) != F.max("around").over(by_gram)).alias("mixed"))
-    met = _unpacked(staged.keep(met.filter("low < high and (doc > text_doc or mixed)").select("doc", "place", "gram", "around", "text_doc", "mixed")))
+    met = rows.withColumn("text_doc", F.min("doc").over(by_text)).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), (F.min("around").over(by_gram) != F.max("around").over(by_gram)).alias("mixed"), F.count(F.lit(1)).over(by_gram).alias("met"))
     # a text seen in an earlier document as a whole goes; the first documents of texts under one gram are compared window by window
-    whole = met.filter("doc > text_doc").select("doc", "version", F.array(F.struct("start", "stop")).alias("runs"))
-    open_ = met.filter("mixed and doc = text_doc").select("doc", "version", "start", "lead", "stop", "gram")
-    wanted = open_.groupBy("doc", "version").agg(F.collect_list(F.struct("gram", "start", "lead", "stop")).alias("a"))
+    kept = met.filter("low < high and (doc > text_doc or mixed)").select("doc", "place", F.expr("if(doc = text_doc, gram, null)").alias("gram"), (F.col("met") > HOT).alias("hot"))
+    met = staged.keep(kept)
+    version = F.expr("shiftright(place, 43)").alias("version")
+    start, size = F.expr("shiftright(place, 12) & 2147483647"), F.expr("place & 127")
+    whole = met.filter("gram is null").select("doc", version, (F.shiftleft(start, 31) + start + size).alias("run"))
+    wanted = met.filter("gram is not null").select("doc", version, "place", "gram", "hot").groupBy("doc", "version").agg(F.collect_list(F.struct("gram", "place", "hot")).alias("a"))
     arounds = wanted.join(docs, ["doc", "version"]).select("doc", "version", "a", "text")
+    names, half = ["key", "doc", "version", "start", "lead", "body"], (LENGTH - GRAM) // 2
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 3):
-            out = []
-            for doc, version, own, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+            listed = piece.column(2)
+            n = pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False)
+            gram, place, hot = (listed.flatten().field(k) for k in range(3))
+            gram, place, hot = gram.to_numpy(), place.to_numpy(), hot.to_numpy(zero_copy_only=False)
+            start, lead, size = _unpacked(place)
+            doc, version = (np.repeat(piece.column(k).to_numpy(), n) for k in (0, 1))
+            at, bodies = 0, []
+            for text, k in zip(piece.column(3).to_pylist(), n.tolist(), strict=True):
                 b = text.encode("utf-8", "replace")
-                out += [(x["gram"], doc, version, x["start"], x["lead"], b[x["start"] : x["stop"]]) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["gram", "doc", "version", "start", "lead", "body"])
-
-    texts = arounds.mapInArrow(cut_out, "gram long, doc long, version long, start int, lead int, body binary").repartition(F.col("gram")).sortWithinPartitions("gram")
+                bodies += [b[i:j] for i, j in zip(start[at : at + k].tolist(), (start + size)[at : at + k].tolist(), strict=True)]
+                at += k
+            # a gram of very many places is split by the bytes next to it: texts go where those on their left are the same, and where those on their right are
+            key, again, other = gram.copy(), [], []
+            for i in np.flatnonzero(hot).tolist():
+                body, k = bodies[i], int(lead[i])
+                sides = [xxhash.xxh64_intdigest(x, seed) for seed, x in ((1, body[k - half : k] if k >= half else b""), (2, body[k + GRAM : k + GRAM + half])) if len(x) == half]
+                keys = [np.int64((int(gram[i]) ^ h) & (2**63 - 1)) for h in sides]
+                key[i] = keys[0] if keys else i  # no window holds this text's gram with half its other bytes on one side
+                if len(keys) > 1:
+                    again.append(i)
+                    other.append(keys[1])
+            if again:
+                key, doc, version, start, lead = np.append(key, other), *(np.append(x, x[again]) for x in (doc, version, start, lead))
+                bodies += [bodies[i] for i in again]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, doc, version, start, lead)), pa.array(bodies, pa.binary())], names=names)
+
+    texts = arounds.mapInArrow(cut_out, "key long, doc long, version long, start long, lead long, body binary").repartition(F.col("key")).sortWithinPartitions("key")
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(held: list[tuple]) -> pa.RecordBatch:
-            bodies: dict[bytes, int] = {}
-            for doc, _, _, _, body in held:
-                bodies[body] = min(doc, bodies.get(body, doc))
-            found = dict(zip(bodies, least_documents(list(bodies), np.fromiter(bodies.values(), np.int64)), strict=True))
-            out = []
-            for doc, version, start, _, body in held:
-                if runs := _runs(found[body] < doc, start):
-                    out.append((doc, version, [{"start": a, "stop": b} for a, b in runs]))
-            run_type = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("stop", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], run_type)], names=["doc", "version", "runs"])
-
-        def comparable(own: list[tuple]) -> list[tuple]:
-            """Of the texts under one gram those that share the bytes next to it with another text, on either side: a common window needs half of its other bytes on one side."""
-            beside: dict[tuple, set] = {}
-            half, keys = (LENGTH - GRAM) // 2, []
-            for _, _, _, lead, body in own:
-                both = [(0, body[lead - half : lead])] * (lead >= half) + [(1, body[lead + GRAM : lead + GRAM + half])] * (len(body) >= lead + GRAM + half)
-                keys.append(both)
-                for k in both:
-                    beside.setdefault(k, set()).add(body)
-            return [row for row, both in zip(own, keys, strict=True) if any(len(beside[k]) > 1 for k in both)]
-
-        held, size, own, last = [], 0, [], None
-        for batch in batches:
-            for gram, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if gram != last and own:
-                    held += (some := comparable(own))
-                    size += sum(len(r[4]) + 1 for r in some)
-                    own = []
-                    if size > SHARD_BYTES:
-                        yield solve(held)
-                        held, size = [], 0
-                last = gram
-                own.append(tuple(row))
-        held += comparable(own)
-        if held:
-            yield solve(held)
-
-    split = texts.mapInArrow(sort_shard, "doc long, version long, runs array<struct<start:int,stop:int>>")
-    return whole.unionByName(split).groupBy("doc", "version").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+        held: tuple[list, ...] = ([], [], [], [])
+        size, open_ = 0, None
+        for batch in chain(batches, [None]):
+            if open_ is not None:  # the last key may go on
+                batch = open_ if batch is None else pa.Table.from_batches([open_, batch]).combine_chunks().to_batches()[0]
+            if batch is None:
+                break
+            key = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            end = len(key) if open_ is not None and batch is open_ else int(first[-1])
+            last = batch is open_
+            open_ = None if last else batch.slice(end)
+            bodies, lead = batch.column(5).to_pylist(), batch.column(4).to_numpy()
+            columns = [batch.column(k).to_pylist() for k in (1, 2, 3)] + [bodies]
+            bounds = [*first[first < end].tolist(), end]
+            for i, j in zip(bounds, bounds[1:], strict=False):
+                use = _comparable(lead[i:j], bodies[i:j])
+                for k, ok in enumerate(use, i):
+                    if ok:
+                        for x, c in zip(held, columns, strict=True):
+                            x.append(c[k])
+                        size += len(bodies[k]) + 1
+                if size > SHARD_BYTES:
+                    yield _solved(*held)
+                    held, size = ([], [], [], []), 0
+            if last:
+                break
+        if held[0]:
+            yield _solved(*held)
+        release()
+
+    split = texts.mapInArrow(sort_shard, "doc long, version long, run long")
+    return whole.unionByName(split).groupBy("doc", "version").agg(F.collect_list("run").alias("runs"))
+
+
+def _versions(known: DataFrame) -> DataFrame:
+    """doc, version, text: the texts of one id are told apart by version (an id with over a million different texts isn't foreseen)."""
+    marked = known.withColumn("_h", F.xxhash64("text"))
+    several = marked.groupBy("doc").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).filter("lo < hi").select("doc")
+    if several.isEmpty():
+        return known.select("doc", F.lit(0).cast("long").alias("version"), "text")
+    order = Window.partitionBy("doc").orderBy("_h")
+    ranks = marked.join(several, "doc", "left_semi").select("doc", "_h").distinct().withColumn("version", (F.row_number().over(order) - 1).cast("long"))
+    return marked.join(ranks, ["doc", "_h"], "left").select("doc", F.coalesce("version", F.lit(0)).cast("long").alias("version"), "text")
 
 
 def remove_repeats(docs: DataFrame, staged: Staged, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -355,24 +410,30 @@ def remove_repeats(docs: DataFrame, staged: Staged, id_col: str = "doc_id", text
     Null texts are empty. Rows with one id are one document as to each other: they take nothing from one another. Rows
     with a null id take nothing and lose nothing. An empty table gives no rows. Other columns are left out.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc"), (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) % 65536).alias("version"), F.col(text).alias("text"))
-    known = plain.filter("doc is not null")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    known = _versions(plain.filter("doc is not null"))
     runs = repeated_runs(known, staged)
-    joined = plain.join(runs, ["doc", "version"], "left").select("doc", "text", "runs")
+    nameless = plain.filter("doc is null").select("doc", "text", F.lit(None).cast("array<bigint>").alias("runs"))
+    joined = known.join(runs, ["doc", "version"], "left").select("doc", "text", "runs").unionByName(nameless)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 1):
-            rows = []
-            for doc, body, own in zip(*(c.to_pylist() for c in piece.columns), strict=True):
-                b = (body or "").encode("utf-8", "replace")
-                gone: list[list[int]] = []
-                for x in own or []:
-                    if gone and x["start"] <= gone[-1][1]:
-                        gone[-1][1] = max(gone[-1][1], x["stop"])
-                    else:
-                        gone.append([x["start"], x["stop"]])
-                kept = b"".join(b[i:j] for i, j in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(b)], strict=True))
-                rows.append((doc, len(b), len(b) - len(kept), len(gone), kept))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+            listed = piece.column(2)
+            n = pa.compute.fill_null(pa.compute.list_value_length(listed), 0).to_pylist()
+            all_, at, rows = listed.flatten().to_numpy(), 0, []
+            for text, k in zip(piece.column(1).to_pylist(), n, strict=True):
+                b = text.encode("utf-8", "replace")
+                if not k:
+                    rows.append((len(b), 0, 0, b))
+                    continue
+                own = np.sort(all_[at : at + k])
+                at += k
+                start, upto = own >> 31, np.maximum.accumulate(own & 0x7FFFFFFF)
+                opens = np.append(True, start[1:] > upto[:-1])
+                begin, end = start[opens].tolist(), upto[np.append(np.flatnonzero(opens)[1:] - 1, k - 1)].tolist()
+                kept = b"".join(b[i:j] for i, j in zip([0, *end], [*begin, len(b)], strict=True))
+                rows.append((len(b), len(b) - len(kept), len(begin), kept))
+            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+        release()
 
     return joined.mapInArrow(cut, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -194,12 +194,26 @@ def test_suffix_arrays():
         assert suffixdedup.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(n + 1), key=lambda i: s[i:])  # noqa: B023
 
 
-def test_repeated_bytes(spark):
+def test_suffix_arrays_of_many_names():
+    rng = random.Random(5)
+    for n, k in ((60000, 250), (30000, 4)):  # the first has over 3000 different leftmost-smaller substrings, so its reduced string a large alphabet
+        body = bytes(rng.randrange(k) for _ in range(n)) * 2
+        s = np.append(np.frombuffer(body, np.uint8).astype(np.int64) + 1, 0)
+        raw = s.astype(">u2").tobytes()
+        array = suffixdedup.suffix_array(s)
+        assert sorted(array.tolist()) == list(range(len(s)))
+        assert all(raw[2 * a :] < raw[2 * b :] for a, b in zip(array[:-1:7].tolist(), array[1::7].tolist(), strict=False))
+
+
+@pytest.mark.parametrize("hot", [5000, 3])
+def test_repeated_bytes(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
     own = [(r.doc_id + 10, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()]
     rng = random.Random(2)
     line = "".join(rng.choices("abcdef é", k=75))
     own += [(1000 + i, "".join(rng.choices("uvwxyz ", k=rng.randint(0, 90))) + line + "".join(rng.choices("uvwxyz ", k=rng.randint(0, 90)))) for i in range(60)]
     own += [(1, None), (2, ""), (3, line[:20]), (9, "z" * 49), (8, "z" * 3000), (7, "z" * 60), (2000, line[10:]), (2001, line[:-10]), (2001, line[:-10]), (2001, "other " + line[5:65] + " end"), (None, line), (2002, "ab" * 400), (2003, "b" + "ab" * 30)]
+    own += [(3000 + i, "".join(rng.choices("uvwxyz ", k=40)) + "the same words, always" + "".join(rng.choices("mn", k=9)) * 3) for i in range(80)]  # a gram in many texts that differ
     docs = spark.createDataFrame([(*r, 1, "x") for r in own], SCHEMA)
     first = {}
     for doc, text in own:
