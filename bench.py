@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ["route_profile_stats", "route_zones", "route_peaks", "route_climbs", "steep_sections", "difficulty_rating", "segment_metrics", "edge_usage", "running_weight", "routing_weight", "connectivity", "nearest_nodes", "tile_lookup", "jaccard_pairs", "fitness_terms", "survivors", "shortest_distances"]
+HEADLINE = ["route_profile_stats", "route_zones", "route_peaks", "route_climbs", "steep_sections", "difficulty_rating", "segment_metrics", "edge_usage", "running_weight", "routing_weight", "connectivity", "nearest_nodes", "tile_lookup", "jaccard_pairs", "fitness_terms", "survivors", "shortest_distances", "near_paths", "k_shortest_paths", "raster_samples", "segment_properties", "fitness", "micro_scores", "novelty", "neutral_mutation", "detailed_path", "initial_routes", "route_search"]
 
 
 def main() -> None:
@@ -14,7 +14,7 @@ def main() -> None:
     builder = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     spark = builder.config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    from tarnline.plans.queries import QUERIES
+    from tarnline.plans.registry import QUERIES
 
     spark.range(1000).selectExpr("sum(id)").collect()
     took = {}
