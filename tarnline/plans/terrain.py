@@ -351,7 +351,7 @@ def pair_distances(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.pair_distances(pairs, near(spark, sf), own, edges))
 
 
-_DETAIL = f"{_WAYS}, wy AS (SELECT route_id, ord, node_id AS src, coalesce(lead(node_id) OVER (PARTITION BY route_id ORDER BY ord), first_value(node_id) OVER (PARTITION BY route_id ORDER BY ord)) AS dst FROM route WHERE ord % 4 = 1), lg AS (SELECT route_id, ord, np.path IS NULL AS straight, coalesce(np.path[2:], [wy.dst]) AS walked FROM wy LEFT JOIN np ON np.src = wy.src AND np.node_id = wy.dst WHERE wy.src <> wy.dst), lr AS (SELECT route_id, ord, straight, unnest(walked) AS node_id, generate_subscripts(walked, 1) AS i FROM lg UNION ALL SELECT route_id, min(ord) - 1, true, arg_min(src, ord), 0 FROM wy GROUP BY route_id), lx AS (SELECT lr.*, x, y, elevation, lag(x) OVER w AS bx, lag(y) OVER w AS byy, row_number() OVER w AS k FROM lr JOIN node USING (node_id) WINDOW w AS (PARTITION BY route_id ORDER BY ord, i)), lm AS (SELECT route_id, k, node_id, CASE WHEN straight OR (SELECT count(*) FROM edge WHERE u = lx.node_id) <> 2 THEN 'intersection' ELSE 'geometry' END AS kind, sum(coalesce({hav('byy', 'bx', 'y', 'x')}, 0)) OVER (PARTITION BY route_id ORDER BY k) AS m FROM lx)"
+_DETAIL = f"{_WAYS}, wy AS (SELECT route_id, ord, node_id AS src, coalesce(lead(node_id) OVER (PARTITION BY route_id ORDER BY ord), first_value(node_id) OVER (PARTITION BY route_id ORDER BY ord)) AS dst FROM route WHERE ord % 4 = 1), lg AS MATERIALIZED (SELECT route_id, ord, np.path IS NULL AS straight, coalesce(np.path[2:], [wy.dst]) AS walked FROM wy LEFT JOIN np ON np.src = wy.src AND np.node_id = wy.dst WHERE wy.src <> wy.dst), lr AS MATERIALIZED (SELECT route_id, ord, straight, unnest(walked) AS node_id, generate_subscripts(walked, 1) AS i FROM lg UNION ALL SELECT route_id, min(ord) - 1, true, arg_min(src, ord), 0 FROM wy GROUP BY route_id), dgx AS (SELECT u AS node_id, count(*) AS degree FROM edge GROUP BY u), lx AS (SELECT lr.*, x, y, coalesce(degree, 0) AS degree, lag(x) OVER w AS bx, lag(y) OVER w AS byy, row_number() OVER w AS k FROM lr JOIN node USING (node_id) LEFT JOIN dgx USING (node_id) WINDOW w AS (PARTITION BY route_id ORDER BY ord, i)), lm AS (SELECT route_id, k, node_id, CASE WHEN straight OR degree <> 2 THEN 'intersection' ELSE 'geometry' END AS kind, sum(coalesce({hav('byy', 'bx', 'y', 'x')}, 0)) OVER (PARTITION BY route_id ORDER BY k) AS m FROM lx)"
 
 
 @add("detailed_path", _DETAIL + " SELECT route_id, k, node_id, kind, round(m, 3) AS m FROM lm")

@@ -86,7 +86,7 @@ def points(spark: SparkSession, sf_dir: str, closed: bool = False) -> DataFrame:
 def geojson(points_: DataFrame) -> DataFrame:
     """route_id and a GeoJSON feature collection of one line."""
     rows = points_.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("p"), F.round(F.max("cum_m"), 1).alias("m"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("m").alias("distance_m"), F.size("p").alias("total_nodes"), F.lit("circular").alias("route_type")).alias("properties"), F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda q: F.array(q["x"], q["y"])).alias("coordinates")).alias("geometry"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("m").alias("distance_m"), F.size("p").alias("total_nodes"), F.lit("circular").alias("route_type")).alias("properties"), F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda q: F.array(F.round(q["x"], 6), F.round(q["y"], 6))).alias("coordinates")).alias("geometry"))
     return rows.select("route_id", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("geojson"))
 
 
