@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnline.functions import svg
 from tarnline.functions import text as X
 from tarnline.operators import network as N
 from tarnline.operators import profiles as PR
@@ -112,3 +113,14 @@ ORACLES["route_gpx"] = PT + """ SELECT route_id, '<?xml version="1.0" encoding="
 @add("route_geojson", PT + """ SELECT route_id, '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"distance_m":' || printf('%.1f', max(cum_m)) || ',"total_nodes":' || count(*) || ',"route_type":"circular"},"geometry":{"type":"LineString","coordinates":[' || string_agg(printf('[%.4f,%.4f]', x, y), ',' ORDER BY ord) || ']}}]}' AS geojson FROM pt GROUP BY route_id""")
 def route_geojson(spark: SparkSession, sf: str) -> DataFrame:
     return roads.geojson(roads.points(spark, sf))
+
+
+def _svg_sql(x: str, y: str) -> str:
+    scale = lambda c, size: f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) * {size} ELSE {size / 2}::DOUBLE END"
+    return f""", sv AS (SELECT route_id, ord, {scale(x, 800)} AS px, 240 - ({scale(y, 240)}) AS py FROM pt WINDOW w AS (PARTITION BY route_id)) SELECT route_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 800 240"><polyline fill="none" stroke="black" points="' || string_agg(CAST(round(px) AS BIGINT) || ',' || CAST(round(py) AS BIGINT), ' ' ORDER BY ord) || '"/></svg>' AS svg FROM sv GROUP BY route_id HAVING count(*) >= 3"""
+
+
+over_points("profile_drawings", svg.profiles, _svg_sql("cum_m", "elevation"))
+over_points("map_drawings", svg.maps, _svg_sql("x", "y"))
+over_points("compared_drawings", lambda p: svg.compared(svg.profiles(p), F.expr("route_id div 3")), "")
+ORACLES["compared_drawings"] = f"""WITH dr AS ({ORACLES["profile_drawings"]}), nd AS (SELECT *, row_number() OVER (PARTITION BY route_id // 3 ORDER BY route_id) - 1 AS i FROM dr) SELECT route_id // 3 AS key, CAST(count(*) AS INT) AS n, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 800 ' || count(*) * 240 || '">' || string_agg('<g transform="translate(0,' || i * 240 || ')">' || regexp_replace(regexp_replace(svg, '^<svg[^>]*>', ''), '</svg>$', '') || '</g>', '' ORDER BY i) || '</svg>' AS svg FROM nd GROUP BY route_id // 3"""

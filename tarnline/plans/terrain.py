@@ -12,7 +12,7 @@ from tarnline.plans.evolution import NEAR, RNET, near
 from tarnline.plans.population import WALK, r, rounded
 from tarnline.plans.queries import _DEG, _ELEV, ALL, LAT, LON, NET, NODE, ROUTE, START, add, hav, keeper
 from tarnline.sources import catalog as K
-from tarnline.sources import roads
+from tarnline.sources import osm, roads
 
 NOW = "2024-03-01 00:00:00"
 
@@ -381,3 +381,21 @@ def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
     found = P.bounded_paths(roads.edges(spark, sf), pairs, 4, keeper(spark))
     text = F.array_join(F.col("path").cast("array<string>"), "-")
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(text)), ",").cast("binary")).alias("digest"))
+
+
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    u, v = F.col("u"), F.col("v")
+    return roads.edges(spark, sf).withColumn("access", F.when(u % 6 == 0, "private")).withColumn("surface", F.when(v % 5 == 0, "sand"))
+
+
+_PREPARED = NET + _ELEV + ", pe AS (SELECT u, v, length, gain, grade FROM el WHERE highway <> 'footway' AND u % 6 <> 0 AND v % 5 <> 0)"
+
+
+@add("prepared_edges", _PREPARED + " SELECT u, v, round(length + CASE WHEN gain > 0 THEN gain * 0.1::DOUBLE ELSE 0 END + CASE WHEN grade > 5 THEN length * (grade / 100) * 2.0::DOUBLE ELSE 0 END, 6) AS running_weight, round(grade, 6) AS grade FROM pe")
+def prepared_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(osm.prepared(roads.nodes(spark, sf), _tagged(spark, sf))[1].select("u", "v", "running_weight", "grade"))
+
+
+@add("prepared_metadata", _PREPARED + ", pn AS (SELECT DISTINCT node_id FROM (SELECT u AS node_id FROM pe UNION ALL SELECT v FROM pe)) SELECT (SELECT count(*) FROM pn) AS n_nodes, 100.0::DOUBLE AS coverage, count(*) AS n_edges, round(sum(length), 3) AS length FROM pe")
+def prepared_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(osm.metadata(*osm.prepared(roads.nodes(spark, sf), _tagged(spark, sf))), 3)
