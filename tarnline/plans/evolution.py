@@ -31,8 +31,9 @@ def near(spark: SparkSession, sf: str) -> DataFrame:
 
 def population(spark: SparkSession, sf: str) -> DataFrame:
     """gen, route_id, nodes, km, gain and fitness; fifty routes are a generation."""
-    scored = FT.evaluate(terms(spark, sf), TARGET_KM, FT.weights(spark).filter("objective = 'elevation'")).select("route_id", "fitness")
-    totals = SG.route_totals(props(spark, sf)).select("route_id", "km", "gain")
+    own = keeper(spark)(props(spark, sf))
+    scored = FT.evaluate(terms(spark, sf, own), TARGET_KM, FT.weights(spark).filter("objective = 'elevation'")).select("route_id", "fitness")
+    totals = SG.route_totals(own).select("route_id", "km", "gain")
     return walks(spark, sf).join(totals, "route_id").join(scored, "route_id").withColumn("gen", F.expr("route_id div 50"))
 
 

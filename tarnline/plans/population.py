@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnline.operators import fitness as FT
 from tarnline.operators import segments as SG
-from tarnline.plans.queries import _DEG, EDGE, NODE, PT, ROUTE, TARGET_KM, add, hav
+from tarnline.plans.queries import _DEG, EDGE, NODE, PT, ROUTE, TARGET_KM, add, hav, keeper
 from tarnline.sources import roads
 
 WALK = "wk AS (SELECT route_id, list(node_id ORDER BY ord) AS nodes FROM route GROUP BY route_id)"
@@ -55,8 +55,8 @@ def profile(spark: SparkSession, sf: str) -> DataFrame:
     return FT.profile(pieces(spark, sf), roads.nodes(spark, sf))
 
 
-def terms(spark: SparkSession, sf: str) -> DataFrame:
-    own = props(spark, sf)
+def terms(spark: SparkSession, sf: str, own: DataFrame | None = None) -> DataFrame:
+    own = keeper(spark)(props(spark, sf)) if own is None else own
     return FT.terms(SG.route_totals(own), own, profile(spark, sf), TARGET_KM)
 
 
@@ -114,8 +114,9 @@ def complete_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @add("route_results", EVAL + f" SELECT route_id, round(CASE WHEN fitness <> 0 THEN -fitness END, 6) + 0.0::DOUBLE AS cost, objective, round(km, 6) AS target_distance_km, {r('km gain loss minutes')}, is_circular, 'genetic_algorithm' AS solver FROM tt JOIN ev USING (route_id) WHERE objective = 'elevation'")
 def route_results(spark: SparkSession, sf: str) -> DataFrame:
-    scored = FT.evaluate(terms(spark, sf), TARGET_KM, FT.weights(spark).filter("objective = 'elevation'"))
-    return rounded(SG.results(SG.route_totals(props(spark, sf)), scored, "elevation"))
+    own = keeper(spark)(props(spark, sf))
+    scored = FT.evaluate(terms(spark, sf, own), TARGET_KM, FT.weights(spark).filter("objective = 'elevation'"))
+    return rounded(SG.results(SG.route_totals(own), scored, "elevation"))
 
 
 @add("fitness_weights", "SELECT * FROM (VALUES ('distance', 0.6::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE), ('elevation', 0.15, 0.4, 0.2, 0.1, 0.15), ('balanced', 0.25, 0.25, 0.2, 0.2, 0.1), ('scenic', 0.1, 0.3, 0.15, 0.25, 0.2), ('efficiency', 0.5, 0.2, 0.2, 0.1, 0.0)) w(objective, w_distance, w_elevation, w_connectivity, w_diversity, w_micro)")
