@@ -29,7 +29,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays. A null text becomes the empty text; n_chars is brought up to date where a text changed."""
+    """Secrets are masked; every document stays. A null text stays null; n_chars is brought up to date where a text changed."""
     return secretscan.redact(docs, secretscan.train_markov(secretscan.labelled_samples(spark)))
 
 
