@@ -79,6 +79,25 @@ def test_near_duplicates_in_crowded_nodes(spark):
     assert sum(r.kept for r in got) == 300 and Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    common, own, planted = [word() for _ in range(60)], [], 0
+    for i in range(400):  # pairs just over 0.8 that share a passage with all others, and long texts of many different shingles
+        body = [word() for _ in range(540 if i % 50 else 30_000)]
+        changed = list(body)
+        for at in rng.sample(range(20, len(body) - 20), 1):
+            n = int(0.095 * len(body))
+            changed[at : at + n] = [word() for _ in range(len(body[at : at + n]))]
+        a, b = " ".join(common + body), " ".join(common + changed)
+        x, y = shingles(a, 5), shingles(b, 5)
+        planted += 100 * len(x & y) >= 80 * len(x | y)
+        own += [(2 * i, a), (2 * i + 1, b)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in own], SCHEMA), Staged(spark, "t")).collect()}
+    found = sum(got[2 * i + 1] == 2 * i for i in range(400))
+    assert planted >= 350 and 0.99 * planted <= found <= planted
+
+
 def test_near_duplicates_of_odd_tables(spark):
     rows = [(None, "a b c d e f", 1, ""), (1, "a b c d e f", 1, ""), (1, "other words in this row here", 1, ""), (2, "a b c d e f", None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)

@@ -47,3 +47,13 @@ def test_pipeline(spark, tmp_path):
     for doc, text in rows[3]:
         own_ids = ids.ids(text) + (2).to_bytes(4, "little")
         assert [(s, n, zlib.crc32(own_ids[4 * s : 4 * (s + n)])) for s, n, _ in sorted(packed[doc])] == sorted(packed[doc])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    only = spark.createDataFrame([(1, None, None, None, None), (2, "", None, "s", 1), (3, "a word or two", "en", None, None), (3, "a word or two", "en", None, None)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    only.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()) == [1, 2, 3]

@@ -327,3 +327,30 @@ def test_toxicity_on_held_out_labels(spark, docs, nothing):
         out = toxicity.score_documents(docs, toxicity.train(docs, own), "value2").select("value2.score").toPandas()
         assert len(out) == docs.count() and out.score.between(0, 1).all()
     assert toxicity.drop_toxic(nothing, labels).count() == 0
+
+
+def test_main_text_of_repeated_rows_and_real_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    twice = pages.unionByName(pages).withColumn("m", F.lit("own")).withColumn("text", F.lit("t"))
+    got = htmlcut.extract_pages(twice, "found").select("page_id", "html", "m", "text", F.col("found.text").alias("main"), F.col("found.n_chars").alias("n")).collect()
+    assert len(got) == 2 * pages.count() and {(r.m, r.text) for r in got} == {("own", "t")}
+    by = {}
+    for r in got:
+        by.setdefault((r.page_id, r.html), set()).add(r.main)
+        assert r.n == len(r.main) and "<p>" not in r.main and "</" not in r.main
+    assert all(len(x) == 1 for x in by.values())
+    assert sum(bool(r.main) for r in got) > 0.9 * len(got)
+
+
+def test_chat_of_a_long_conversation(spark):
+    n = 30_000
+    turns = spark.range(n).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<|t|>"), F.col("id").cast("string")).alias("text"))
+    got = chat.read_back(chat.format_conversations(chat.text_parts(turns))).collect()
+    loss = "".join(f"<|t|>{i}" for i in range(1, n, 2))
+    assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in got] == [(n, len(loss), hashlib.sha256(loss.encode()).hexdigest())]
+
+
+def test_secrets_with_clashing_names(spark):
+    rows = spark.createDataFrame([("password=hunter2hunter2", "x", "y")], "text string, _s_rules string, _s_rest string")
+    got = secretscan.scan_secrets(rows, "s", secretscan.train_markov(secretscan.labelled_samples(spark, 500))).first()
+    assert (got._s_rules, got._s_rest) == ("x", "y") and [tuple(x) for x in got.s.base] == [(0, 0, 23)]
