@@ -92,16 +92,6 @@ def densify(points: DataFrame) -> DataFrame:
     return rows.select("route_id", "ord", "j", at("x"), at("y"), at("elevation"), at("cum_m"))
 
 
-def resample(points: DataFrame, n: int = 100) -> DataFrame:
-    """n points at equal distances, elevation interpolated between the neighbours."""
-    own = points.withColumn("n_m", F.lead("cum_m").over(along())).withColumn("n_e", F.lead("elevation").over(along())).withColumn("gap", F.max("cum_m").over(whole()) / (n - 1)).filter("n_m > cum_m")
-    first = F.ceil(F.col("cum_m") / F.col("gap"))
-    upto = F.when(F.lead("cum_m").over(along()).isNull(), F.lit(n - 1)).otherwise(F.ceil(F.col("n_m") / F.col("gap")) - 1)
-    rows = own.withColumn("lo", first).withColumn("hi", upto).filter("hi >= lo").withColumn("i", F.explode(F.sequence("lo", "hi")))
-    share = (F.col("i") * F.col("gap") - F.col("cum_m")) / (F.col("n_m") - F.col("cum_m"))
-    return rows.select("route_id", F.col("i").cast("long").alias("i"), r(lerp(F.col("elevation"), F.col("n_e"), F.least(share, F.lit(1.0)))).alias("elevation"))
-
-
 def difficulty(points: DataFrame) -> DataFrame:
     own = points.groupBy("route_id").agg(gain().alias("g"), loss().alias("l"), F.max(F.abs("grade")).alias("m"), (F.max("cum_m") / 1000).alias("km"))
     score = difficulty_score(F.col("g"), F.col("l"), F.col("m"), F.col("km"))
