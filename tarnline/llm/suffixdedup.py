@@ -3,17 +3,17 @@
 A byte goes if a string of LENGTH bytes covers it that also starts in a document with a smaller id. To find all places
 of a string in one shard, every window of LENGTH bytes names its anchors: those of its grams of GRAM bytes with the
 least hash. Equal windows have equal anchors, so documents that share a window share an anchor, and the surroundings of
-equal grams (all windows that hold the anchor) meet in one shard. Surroundings that are equal as a whole are one text of
-the shard, with their least document. Over the other texts of a gram the shard builds a suffix array by induced sorting
-(suffixes are classified, leftmost-smaller substrings sorted and named, the reduced string sorted, and all suffixes
-induced from its order in linear time, bucket by bucket in numpy), computes the permuted common prefixes of the windows,
-and so the least document of every window. Anchors of one document alone, the most by far, end before any text is moved.
+equal grams (all windows that hold the anchor) meet in one shard, with the first document of each. The shard builds a
+suffix array over them by induced sorting (suffixes are classified, leftmost-smaller substrings sorted and named, the
+reduced string sorted, and all suffixes induced from its order in linear time, bucket by bucket in numpy), computes the
+permuted common prefixes of the windows, and so the least document of every window. From these follow the runs to remove
+from the first documents, and the document after which a text goes as a whole, which is joined to its other places.
+Anchors of one document alone, the most by far, end before any text is moved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from .common import Staged, release, slices
 
 LENGTH, GRAM = 50, 20
 #: Bytes of shard text that one suffix array covers at least, unless the task has less; a gram's texts stay together.
-SHARD_BYTES = 500_000
+SHARD_BYTES = 1_000_000
 #: Places of one gram beyond which its texts are split by the bytes next to it.
 HOT = 5000
 _P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
@@ -133,8 +133,11 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray)
         c = s[items]
         order = np.argsort(c, kind="stable")
         c, items = c[order], items[order]
-        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        size = np.diff(np.append(first, len(c)))
+        new = np.empty(len(c) + 1, bool)
+        new[0] = new[-1] = True
+        np.not_equal(c[1:], c[:-1], out=new[1:-1])
+        first = np.flatnonzero(new)
+        size, first = first[1:] - first[:-1], first[:-1]
         own = c[first]
         if step > 0:
             array[np.repeat(fill[own] - first, size) + np.arange(len(c))] = items
@@ -236,37 +239,44 @@ def _by_doubling(s: np.ndarray) -> np.ndarray:
         k *= 2
 
 
-def common_prefixes(text: np.ndarray, array: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """In text order, the common prefix (LENGTH at most) of each valid position with the valid one before it in the suffix array."""
+def common_prefixes(body: np.ndarray, array: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """In text order (permuted), the common prefix of each valid position with the valid one before it in the suffix array, LENGTH at most; eight bytes at a time."""
+    w = np.concatenate([body, np.zeros(LENGTH + 14, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        w = w[:-k] | w[k:] << np.uint64(8 * k)
     own = array[valid[array]]
-    before = np.full(len(text), -1, np.int64)
+    before = np.full(len(body), -1, np.int64)
     before[own[1:]] = own[:-1]
-    out = np.zeros(len(text), np.int64)
+    out = np.zeros(len(body), np.int64)
     live = np.flatnonzero(before >= 0)
-    for k in range(LENGTH):
-        live = live[text[live + k] == text[before[live] + k]]
-        if not len(live):
-            break
-        out[live] = k + 1
-    return out
-
-
-def least_documents(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """Of every text, the least document of each window in it, over all texts of the shard."""
+    for k in range(0, LENGTH, 8):
+        differ = w[live + k] ^ w[before[live] + k]
+        some = differ != 0
+        low = differ[some]
+        out[live[some]] = k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
+        live = live[~some]
+    out[live] = LENGTH
+    return np.minimum(out, LENGTH)
+
+
+def least_documents(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least document of each window of every text, over all texts of the shard, one text after the other; and how many windows each has."""
     sizes = np.array([len(t) for t in texts], np.int64)
     s = np.zeros(sizes.sum() + len(texts) + 1, np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
-    body = np.ones(len(s), bool)
-    body[begins + sizes] = False
-    body[-1] = False
-    s[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 2
+    inside = np.ones(len(s), bool)
+    inside[begins + sizes] = False
+    inside[-1] = False
+    body = np.zeros(len(s), np.uint8)
+    body[inside] = np.frombuffer(b"".join(texts), np.uint8)
+    s[inside] = body[inside].astype(np.int64) + 2
     s[begins + sizes] = 1
     array = suffix_array(s)
     windows = np.maximum(sizes - LENGTH + 1, 0)
     at = np.repeat(begins - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
     valid = np.zeros(len(s), bool)
     valid[at] = True
-    prefix = common_prefixes(s, array, valid)
+    prefix = common_prefixes(body, array, valid)
     own = array[valid[array]]
     doc_at = np.zeros(len(s), np.int64)
     doc_at[at] = np.repeat(docs, windows)
@@ -274,65 +284,63 @@ def least_documents(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     least = np.minimum.reduceat(doc_at[own], first) if len(own) else np.zeros(0, np.int64)
     found = np.zeros(len(s), np.int64)
     found[own] = np.repeat(least, np.diff(np.append(first, len(own))))
-    return [found[b : b + w] for b, w in zip(begins.tolist(), windows.tolist(), strict=True)]
-
-
-def _runs(removed: np.ndarray, start: int) -> list[int]:
-    """Byte runs that the removed windows cover, packed."""
-    at = np.flatnonzero(removed)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > 1)
-    return [start + int(a) << 31 | start + int(b) + LENGTH for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)], strict=True)]
-
-
-def _comparable(lead: np.ndarray, bodies: list[bytes]) -> list[bool]:
-    """Which of the texts under one key share the bytes next to the gram with another text, on either side: a common window needs half of its other bytes on one side."""
-    if len(bodies) == 1:
-        return [False]
-    half, beside, keys = (LENGTH - GRAM) // 2, {}, []
-    for n, body in zip(lead.tolist(), bodies, strict=True):
-        left, right = body[n - half : n] if n >= half else None, body[n + GRAM : n + GRAM + half]
-        own = ((0, left), (1, right if len(right) == half else None))
-        keys.append(own)
-        for k in own:
-            if k[1] is not None and beside.setdefault(k, body) != body:
-                beside[k] = b""  # more than one text
-    return [any(k[1] is not None and beside[k] == b"" for k in own) for own in keys]
-
-
-def _solved(docs: list[int], versions: list[int], starts: list[int], bodies: list[bytes]) -> pa.RecordBatch:
-    """The runs to remove from the texts of a shard: equal texts are one text with their least document."""
-    least: dict[bytes, int] = {}
-    for doc, body in zip(docs, bodies, strict=True):
-        if (known := least.get(body)) is None or doc < known:
-            least[body] = doc
-    found = dict(zip(least, least_documents(list(least), np.fromiter(least.values(), np.int64)), strict=True))
-    out = [(doc, version, run) for doc, version, start, body in zip(docs, versions, starts, bodies, strict=True) for run in _runs(found[body] < doc, start)]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["doc", "version", "run"])
+    return found[at], windows
+
+
+def _runs(removed: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and packed byte runs that removed windows cover. The windows of all rows follow each other; those of a row begin at begins, and its text at starts."""
+    opens, closes = removed.copy(), removed.copy()
+    opens[1:] &= ~removed[:-1]
+    opens[begins] = removed[begins]
+    closes[:-1] &= ~removed[1:]
+    last = np.append(begins[1:], len(removed)) - 1
+    closes[last] = removed[last]
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    row = np.searchsorted(begins, a, "right") - 1
+    shift = starts[row] - begins[row]
+    return row, (a + shift) << 31 | (b + shift + LENGTH)
+
+
+def _solved(doc: np.ndarray, version: np.ndarray, start: np.ndarray, gram: np.ndarray, around: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
+    """What the suffix array of a shard says: runs to remove from its texts (doc, version, run), and of every text the document after which all of it goes (gram, around, latest). Equal texts are one text with their least document."""
+    known: dict[bytes, int] = {}
+    which = np.fromiter((known.setdefault(b, len(known)) for b in bodies), np.int64, len(bodies))
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
+    found, windows = least_documents(list(known), least)
+    begins = np.concatenate([[0], np.cumsum(windows)[:-1]])
+    latest = np.maximum.reduceat(found, begins)[which]
+    n = windows[which]
+    row_begins = np.concatenate([[0], np.cumsum(n)[:-1]])
+    flat = np.repeat(begins[which] - row_begins, n) + np.arange(n.sum())
+    row, run = _runs(found[flat] < np.repeat(doc, n), row_begins, start)
+    once = np.unique(np.stack([gram, around, latest], axis=1), axis=0)
+    pad = lambda own, k, front: pa.concat_arrays([pa.array(own), pa.nulls(k, pa.int64())] if front else [pa.nulls(k, pa.int64()), pa.array(own)])
+    columns = [pad(x, len(once), True) for x in (doc[row], version[row], run)] + [pad(np.ascontiguousarray(once[:, i]), len(row), False) for i in range(3)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "version", "run", "gram", "around", "latest"])
 
 
 def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
     """doc, version, runs (packed starts and stops): bytes that earlier documents repeat. docs: doc, version (tells texts of one id apart), text."""
     rows = anchor_rows(docs)
     by_text, by_gram = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
-    met = rows.withColumn("text_doc", F.min("doc").over(by_text)).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), (F.min("around").over(by_gram) != F.max("around").over(by_gram)).alias("mixed"), F.count(F.lit(1)).over(by_gram).alias("met"))
-    # a text seen in an earlier document as a whole goes; the first documents of texts under one gram are compared window by window
-    kept = met.filter("low < high and (doc > text_doc or mixed)").select("doc", "place", F.expr("if(doc = text_doc, gram, null)").alias("gram"), (F.col("met") > HOT).alias("hot"))
+    met = rows.withColumn("text_doc", F.min("doc").over(by_text)).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), F.count(F.lit(1)).over(by_gram).alias("met"))
+    # the first document of every text under a gram goes to a shard; what the shard says of the text goes for its later documents too
+    kept = met.filter("low < high").select("doc", "place", "gram", "around", (F.col("doc") == F.col("text_doc")).alias("first"), (F.col("met") > HOT).alias("hot"))
     met = staged.keep(kept)
     version = F.expr("shiftright(place, 43)").alias("version")
     start, size = F.expr("shiftright(place, 12) & 2147483647"), F.expr("place & 127")
-    whole = met.filter("gram is null").select("doc", version, (F.shiftleft(start, 31) + start + size).alias("run"))
-    wanted = met.filter("gram is not null").select("doc", version, "place", "gram", "hot").groupBy("doc", "version").agg(F.collect_list(F.struct("gram", "place", "hot")).alias("a"))
+    later = met.filter("not first").select("doc", version, (F.shiftleft(start, 31) + start + size).alias("run"), "gram", "around")
+    wanted = met.filter("first").select("doc", version, "place", "gram", "around", "hot").groupBy("doc", "version").agg(F.collect_list(F.struct("gram", "around", "place", "hot")).alias("a"))
     arounds = wanted.join(docs, ["doc", "version"]).select("doc", "version", "a", "text")
-    names, half = ["key", "doc", "version", "start", "lead", "body"], (LENGTH - GRAM) // 2
+    names, half = ["key", "doc", "version", "start", "gram", "around", "body"], (LENGTH - GRAM) // 2
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 3):
             listed = piece.column(2)
             n = pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False)
-            gram, place, hot = (listed.flatten().field(k) for k in range(3))
-            gram, place, hot = gram.to_numpy(), place.to_numpy(), hot.to_numpy(zero_copy_only=False)
+            gram, around, place, hot = (listed.flatten().field(k) for k in range(4))
+            gram, around, place, hot = gram.to_numpy(), around.to_numpy(), place.to_numpy(), hot.to_numpy(zero_copy_only=False)
             start, lead, size = _unpacked(place)
             doc, version = (np.repeat(piece.column(k).to_numpy(), n) for k in (0, 1))
             at, bodies = 0, []
@@ -351,45 +359,42 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
                     again.append(i)
                     other.append(keys[1])
             if again:
-                key, doc, version, start, lead = np.append(key, other), *(np.append(x, x[again]) for x in (doc, version, start, lead))
+                key, doc, version, start, gram, around = np.append(key, other), *(np.append(x, x[again]) for x in (doc, version, start, gram, around))
                 bodies += [bodies[i] for i in again]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, doc, version, start, lead)), pa.array(bodies, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, doc, version, start, gram, around)), pa.array(bodies, pa.binary())], names=names)
 
-    texts = arounds.mapInArrow(cut_out, "key long, doc long, version long, start long, lead long, body binary").repartition(F.col("key")).sortWithinPartitions("key")
+    texts = arounds.mapInArrow(cut_out, "key long, doc long, version long, start long, gram long, around long, body binary").repartition(F.col("key")).sortWithinPartitions("key")
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [])
-        size, open_ = 0, None
-        for batch in chain(batches, [None]):
-            if open_ is not None:  # the last key may go on
-                batch = open_ if batch is None else pa.Table.from_batches([open_, batch]).combine_chunks().to_batches()[0]
-            if batch is None:
-                break
-            key = batch.column(0).to_numpy()
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            end = len(key) if open_ is not None and batch is open_ else int(first[-1])
-            last = batch is open_
-            open_ = None if last else batch.slice(end)
-            bodies, lead = batch.column(5).to_pylist(), batch.column(4).to_numpy()
-            columns = [batch.column(k).to_pylist() for k in (1, 2, 3)] + [bodies]
-            bounds = [*first[first < end].tolist(), end]
-            for i, j in zip(bounds, bounds[1:], strict=False):
-                use = _comparable(lead[i:j], bodies[i:j])
-                for k, ok in enumerate(use, i):
-                    if ok:
-                        for x, c in zip(held, columns, strict=True):
-                            x.append(c[k])
-                        size += len(bodies[k]) + 1
+        def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            own = pa.Table.from_batches(parts).combine_chunks()
+            return _solved(*(own.column(k).to_numpy() for k in range(1, 6)), own.column(6).to_pylist())
+
+        held, size, last = [], 0, None
+        for batch in batches:
+            key, place = batch.column(0).to_numpy(), 0
+            while place < len(key):
+                # a shard ends where a key ends, when it is large enough
+                if size > SHARD_BYTES and key[place] != last:
+                    yield solved(held)
+                    held, size = [], 0
                 if size > SHARD_BYTES:
-                    yield _solved(*held)
-                    held, size = ([], [], [], []), 0
-            if last:
-                break
-        if held[0]:
-            yield _solved(*held)
+                    end = place + int(np.searchsorted(key[place:], last, "right"))
+                else:
+                    room = np.cumsum(pa.compute.binary_length(batch.column(6).slice(place)).to_numpy())
+                    end = min(len(key), place + int(np.searchsorted(room, SHARD_BYTES - size, "right")) + 1)
+                piece = batch.slice(place, end - place)
+                held.append(piece)
+                size += piece.column(6).nbytes
+                last, place = key[end - 1], end
+        if held:
+            yield solved(held)
         release()
 
-    split = texts.mapInArrow(sort_shard, "doc long, version long, run long")
+    said = staged.keep(texts.mapInArrow(sort_shard, "doc long, version long, run long, gram long, around long, latest long"))
+    verdicts = said.filter("gram is not null").groupBy("gram", "around").agg(F.min("latest").alias("latest"))
+    whole = later.join(verdicts, ["gram", "around"]).filter("doc > latest").select("doc", "version", "run")
+    split = said.filter("run is not null").select("doc", "version", "run")
     return whole.unionByName(split).groupBy("doc", "version").agg(F.collect_list("run").alias("runs"))
 
 
