@@ -99,22 +99,29 @@ def difficulty(points: DataFrame) -> DataFrame:
     return own.select("route_id", r(score).alias("score"), rating.alias("rating"))
 
 
-def cyclic_stats(points: DataFrame) -> DataFrame:
-    """Steps around the closed route: rise of more or less than 2 percent, steepest, shares."""
+def _cycle(points: DataFrame) -> DataFrame:
+    """Points with the metres (m) and rise (up) to the next one, from the last to the first."""
     first = lambda c: F.first_value(c).over(along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     after = lambda c: F.coalesce(F.lead(c).over(along()), first(c))
-    steps = points.select("route_id", haversine(F.col("y"), F.col("x"), after("y"), after("x")).alias("m"), (after("elevation") - F.col("elevation")).alias("up"))
+    return points.withColumn("m", haversine(F.col("y"), F.col("x"), after("y"), after("x"))).withColumn("up", after("elevation") - F.col("elevation"))
+
+
+def _cyclic() -> list[Column]:
     g = F.when(F.col("m") > 0, F.col("up") / F.col("m") * 100)
-    counted = steps.groupBy("route_id").agg(F.count(F.lit(1)).alias("segments"), F.count_if(g > 2).alias("uphill"), F.count_if(g < -2).alias("downhill"), F.count_if(F.abs(g) <= 2).alias("level"), r(F.greatest(F.max(g), F.lit(0.0))).alias("steepest_uphill"), r(F.least(F.min(g), F.lit(0.0))).alias("steepest_downhill"))
-    return counted.withColumn("uphill_percent", r(F.col("uphill") / F.col("segments") * 100))
+    uphill = F.count_if(g > 2)
+    return [F.count(F.lit(1)).alias("segments"), uphill.alias("uphill"), F.count_if(g < -2).alias("downhill"), F.count_if(F.abs(g) <= 2).alias("level"), r(F.greatest(F.max(g), F.lit(0.0))).alias("steepest_uphill"), r(F.least(F.min(g), F.lit(0.0))).alias("steepest_downhill"), r(uphill / F.count(F.lit(1)) * 100).alias("uphill_percent")]
+
+
+def cyclic_stats(points: DataFrame) -> DataFrame:
+    """Steps around the closed route: rise of more or less than 2 percent, steepest, shares."""
+    return _cycle(points).groupBy("route_id").agg(*_cyclic())
 
 
 def rating(points: DataFrame) -> DataFrame:
     """Difficulty points from length, gain per km, uphill share and steepest grade."""
-    steps = cyclic_stats(points)
-    own = points.groupBy("route_id").agg((F.max("cum_m") / 1000).alias("km"), gain().alias("g")).join(steps, "route_id")
+    own = _cycle(points).groupBy("route_id").agg(*_cyclic(), (F.max("cum_m") / 1000).alias("km"), gain().alias("g"))
     tier = lambda x, *levels: F.coalesce(F.when(x > levels[0][0], levels[0][1]).when(x > levels[1][0], levels[1][1]).when(x > levels[2][0], levels[2][1]), F.lit(0))
-    score = tier(F.col("km"), (10, 25), (5, 15), (2, 5)) + tier(F.col("g") / F.col("km"), (100, 30), (50, 20), (20, 10)) + tier(F.col("uphill_percent"), (50, 25), (30, 15), (15, 5)) + tier(F.greatest("steepest_uphill", -F.col("steepest_downhill")), (15, 20), (10, 15), (5, 5))
+    score = tier(F.col("km"), (10, 25), (5, 15), (2, 5)) + tier(F.try_divide("g", "km"), (100, 30), (50, 20), (20, 10)) + tier(F.col("uphill_percent"), (50, 25), (30, 15), (15, 5)) + tier(F.greatest("steepest_uphill", -F.col("steepest_downhill")), (15, 20), (10, 15), (5, 5))
     return own.select("route_id", score.cast("int").alias("score"), F.when(score >= 70, "very_hard").when(score >= 50, "hard").when(score >= 30, "moderate").when(score >= 15, "easy").otherwise("very_easy").alias("rating"))
 
 

@@ -54,13 +54,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One walk over the grid for every user of events."""
-    h = spark.read.parquet(f"{sf_dir}/part.parquet").count() // WIDTH
+    size = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.floor(F.count(F.lit(1)) / WIDTH).alias("h"))
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     step = lambda plus, minus: F.sum(F.when(F.col("event_id") % 4 == plus, 1).when(F.col("event_id") % 4 == minus, -1).otherwise(0)).over(w)
     moved = events.select(F.col("user_id").alias("route_id"), F.row_number().over(w).alias("ord"), ((F.col("user_id") * 7) % 38 + 3800 + step(0, 1)).alias("c"), ((F.col("user_id") * 13) % 198 + 198000 + step(2, 3)).alias("r"))
-    column, row = F.lit(19) - F.abs(F.col("c") % 38 - 19), F.lit(h - 1) - F.abs(F.col("r") % (2 * (h - 1)) - (h - 1))
-    return moved.select("route_id", "ord", (column + WIDTH * row).alias("node_id"))
+    top = F.col("h") - 1
+    column, row = F.lit(19) - F.abs(F.col("c") % 38 - 19), top - F.abs(F.col("r") % (2 * top) - top)
+    return moved.crossJoin(F.broadcast(size)).select("route_id", "ord", (column + WIDTH * row).alias("node_id"))
 
 
 def with_profile(route: DataFrame, own: DataFrame, order: str = "ord", closed: bool = False) -> DataFrame:
