@@ -1,9 +1,9 @@
 """Removal of byte strings that start in an earlier document, by suffix arrays over shards.
 
 A byte goes if a string of LENGTH bytes covers it that also starts in a document with a smaller id. To find all places
-of a string in one shard, every window of LENGTH bytes names its anchors: those of its grams of GRAM bytes with the
+of a string in one shard, every window of LENGTH bytes names its anchor: the first of its grams of GRAM bytes with the
 least hash. Equal windows have equal anchors, so documents that share a window share an anchor, and the surroundings of
-equal grams (all windows that hold the anchor) meet in one shard, with the first document of each. The shard builds a
+equal grams (all windows of the anchor) meet in one shard, with the first document of each. The shard builds a
 suffix array over them by induced sorting (suffixes are classified, leftmost-smaller substrings sorted and named, the
 reduced string sorted, and all suffixes induced from its order in linear time, bucket by bucket in numpy), computes the
 permuted common prefixes of the windows, and so the least document of every window. From these follow the runs to remove
@@ -27,7 +27,7 @@ LENGTH, GRAM = 50, 20
 #: Bytes of shard text that one suffix array covers at least, unless the task has less; a gram's texts stay together.
 SHARD_BYTES = 1_000_000
 #: Places of one gram beyond which its texts are split by the bytes next to it.
-HOT = 5000
+HOT = 50_000
 _P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
 
 
@@ -66,17 +66,33 @@ def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the least of some window; with equal hashes all of them. Also the hashes of 16 bytes from every position."""
+def _least_places(h: np.ndarray, n: int) -> np.ndarray:
+    """Where the least of every n values in a row is, the leftmost of equal ones."""
+    place, size = np.arange(len(h)), 1
+    while size < n:
+        step = min(size, n - size)
+        right = h[step:] < h[: len(h) - step]
+        h = np.where(right, h[step:], h[: len(h) - step])
+        place = np.where(right, place[step:], place[: len(place) - step])
+        size += step
+    return place
+
+
+def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every anchor its position, its hash, and the first and last window it is the anchor of: the leftmost of the window's grams with the least hash. Also the hashes of 16 bytes from every position."""
     if len(b) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return *(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2))
     known = _powers(b, GRAM)
-    h, span = substring_hashes(b, GRAM, known), LENGTH - GRAM + 1
-    least = _slide(h, span, np.minimum)
-    pad = np.zeros(span - 1, np.uint64)
-    most = _slide(np.concatenate([pad, least, pad]), span, np.maximum)
-    at = np.flatnonzero(most == h)
-    return at, h[at], known[4][1]
+    h = substring_hashes(b, GRAM, known)
+    span = LENGTH - GRAM + 1
+    least, pad = _slide(h, span, np.minimum), np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), span, np.maximum) == h)
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    if len(at) != len(first):  # a window has its least gram more than once
+        place = _least_places(h, span)
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        at = place[first]
+    return at, first, np.append(first[1:], len(least)) - 1, h[at], known[4][1]
 
 
 def _packed(version: int, start: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -99,10 +115,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             cols: list[list[np.ndarray]] = [[] for _ in kinds]
             for doc, version, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-                at, gram, prefix = anchors(b)
+                at, start, last, gram, prefix = anchors(b)
                 if not len(at):
                     continue
-                start, stop = np.maximum(at - (LENGTH - GRAM), 0), np.minimum(at + LENGTH, len(b))
+                stop = last + LENGTH
                 around = _mix(np.uint64(1) * (stop - start).astype(np.uint64) * _P[1] + (at - start).astype(np.uint64))
                 for k in range(0, LENGTH + LENGTH - GRAM, 16):  # 16-byte hashes cover the surroundings; the last ones end with them
                     around = _mix(around * _P[0] + prefix[np.minimum(start + k, stop - 16)])
@@ -314,7 +330,9 @@ def _solved(doc: np.ndarray, version: np.ndarray, start: np.ndarray, gram: np.nd
     row_begins = np.concatenate([[0], np.cumsum(n)[:-1]])
     flat = np.repeat(begins[which] - row_begins, n) + np.arange(n.sum())
     row, run = _runs(found[flat] < np.repeat(doc, n), row_begins, start)
-    once = np.unique(np.stack([gram, around, latest], axis=1), axis=0)
+    order = np.lexsort((around, gram))
+    once = np.stack([gram, around, latest], axis=1)[order]
+    once = once[np.append(True, (once[1:, :2] != once[:-1, :2]).any(axis=1))]  # equal texts have one answer
     pad = lambda own, k, front: pa.concat_arrays([pa.array(own), pa.nulls(k, pa.int64())] if front else [pa.nulls(k, pa.int64()), pa.array(own)])
     columns = [pad(x, len(once), True) for x in (doc[row], version[row], run)] + [pad(np.ascontiguousarray(once[:, i]), len(row), False) for i in range(3)]
     return pa.RecordBatch.from_arrays(columns, names=["doc", "version", "run", "gram", "around", "latest"])
@@ -350,6 +368,7 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
                 at += k
             # a gram of very many places is split by the bytes next to it: texts go where those on their left are the same, and where those on their right are
             key, again, other = gram.copy(), [], []
+            gram = np.where(hot, gram, 0)  # elsewhere it is the key
             for i in np.flatnonzero(hot).tolist():
                 body, k = bodies[i], int(lead[i])
                 sides = [xxhash.xxh64_intdigest(x, seed) for seed, x in ((1, body[k - half : k] if k >= half else b""), (2, body[k + GRAM : k + GRAM + half])) if len(x) == half]
@@ -368,7 +387,8 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             own = pa.Table.from_batches(parts).combine_chunks()
-            return _solved(*(own.column(k).to_numpy() for k in range(1, 6)), own.column(6).to_pylist())
+            key, doc, version, start, gram, around = (own.column(k).to_numpy() for k in range(6))
+            return _solved(doc, version, start, np.where(gram == 0, key, gram), around, own.column(6).to_pylist())
 
         held, size, last = [], 0, None
         for batch in batches:

@@ -224,6 +224,18 @@ def test_suffix_arrays_of_many_names():
         assert all(raw[2 * a :] < raw[2 * b :] for a, b in zip(array[:-1:7].tolist(), array[1::7].tolist(), strict=False))
 
 
+def test_every_window_has_one_anchor():
+    rng = random.Random(4)
+    for text in (b"ab" * 90, b"z" * 200, bytes(rng.randrange(256) for _ in range(900)), bytes(rng.randrange(2) for _ in range(400)), b"x" * 60 + bytes(range(70)) + b"x" * 60, b"q" * 50):
+        b = np.frombuffer(text, np.uint8)
+        at, first, last, gram, _ = suffixdedup.anchors(b)
+        h = suffixdedup.substring_hashes(b, suffixdedup.GRAM)
+        span = suffixdedup.LENGTH - suffixdedup.GRAM + 1
+        want = [i + int(h[i : i + span].argmin()) for i in range(len(text) - suffixdedup.LENGTH + 1)]
+        got = {w: (int(p), int(g)) for p, a, z, g in zip(at, first, last, gram, strict=True) for w in range(a, z + 1)}
+        assert got == {w: (p, int(h[p])) for w, p in enumerate(want)} and first[0] == 0 and (first[1:] == last[:-1] + 1).all()
+
+
 @pytest.mark.parametrize("hot", [5000, 3])
 def test_repeated_bytes(spark, hot, monkeypatch):
     monkeypatch.setattr(suffixdedup, "HOT", hot)
