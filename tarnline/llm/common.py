@@ -57,6 +57,11 @@ class Staged:
         out._staged_path = path
         return out
 
+    def settle(self) -> None:
+        """Gives the disk of finished shuffles back now: executors delete their files when the driver's JVM finds that no plan needs them, which it looks for when it collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm

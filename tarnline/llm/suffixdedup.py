@@ -338,14 +338,18 @@ def _solved(doc: np.ndarray, version: np.ndarray, start: np.ndarray, gram: np.nd
     return pa.RecordBatch.from_arrays(columns, names=["doc", "version", "run", "gram", "around", "latest"])
 
 
+def shared_anchors(docs: DataFrame, staged: Staged) -> DataFrame:
+    """Anchors that more than one document has: doc, place, gram, around, first (whether no earlier document has these surroundings) and hot. docs: doc, version, text."""
+    by_text, by_gram = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
+    met = anchor_rows(docs).withColumn("text_doc", F.min("doc").over(by_text)).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), F.count(F.lit(1)).over(by_gram).alias("met"))
+    return staged.keep(met.filter("low < high").select("doc", "place", "gram", "around", (F.col("doc") == F.col("text_doc")).alias("first"), (F.col("met") > HOT).alias("hot")))
+
+
 def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
     """doc, version, runs (packed starts and stops): bytes that earlier documents repeat. docs: doc, version (tells texts of one id apart), text."""
-    rows = anchor_rows(docs)
-    by_text, by_gram = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
-    met = rows.withColumn("text_doc", F.min("doc").over(by_text)).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), F.count(F.lit(1)).over(by_gram).alias("met"))
     # the first document of every text under a gram goes to a shard; what the shard says of the text goes for its later documents too
-    kept = met.filter("low < high").select("doc", "place", "gram", "around", (F.col("doc") == F.col("text_doc")).alias("first"), (F.col("met") > HOT).alias("hot"))
-    met = staged.keep(kept)
+    met = shared_anchors(docs, staged)
+    staged.settle()
     version = F.expr("shiftright(place, 43)").alias("version")
     start, size = F.expr("shiftright(place, 12) & 2147483647"), F.expr("place & 127")
     later = met.filter("not first").select("doc", version, (F.shiftleft(start, 31) + start + size).alias("run"), "gram", "around")
@@ -412,6 +416,7 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
         release()
 
     said = staged.keep(texts.mapInArrow(sort_shard, "doc long, version long, run long, gram long, around long, latest long"))
+    staged.settle()
     verdicts = said.filter("gram is not null").groupBy("gram", "around").agg(F.min("latest").alias("latest"))
     whole = later.join(verdicts, ["gram", "around"]).filter("doc > latest").select("doc", "version", "run")
     split = said.filter("run is not null").select("doc", "version", "run")
