@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,8 @@ from pyspark.sql.types import StructField, StructType
 SLICE_BYTES = 8_000_000
 #: Bytes of an Arrow batch on its way to a Python worker; a batch ends with the row that passes this. Not changed where the session names its own.
 BATCH_BYTES = "16m"
+#: Seconds that executors get to delete the files of finished shuffles.
+SETTLE_SECONDS = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +61,10 @@ class Staged:
         return out
 
     def settle(self) -> None:
-        """Gives the disk of finished shuffles back now: executors delete their files when the driver's JVM finds that no plan needs them, which it looks for when it collects garbage."""
+        """Gives the disk of finished shuffles back now: executors delete their files when the driver's JVM finds that no plan needs them, which it looks for when it collects garbage. Waits a moment for that."""
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(SETTLE_SECONDS)
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""

@@ -330,19 +330,21 @@ def _solved(doc: np.ndarray, version: np.ndarray, start: np.ndarray, gram: np.nd
     row_begins = np.concatenate([[0], np.cumsum(n)[:-1]])
     flat = np.repeat(begins[which] - row_begins, n) + np.arange(n.sum())
     row, run = _runs(found[flat] < np.repeat(doc, n), row_begins, start)
-    order = np.lexsort((around, gram))
+    asked = np.flatnonzero(around)  # by later documents
+    order = asked[np.lexsort((around[asked], gram[asked]))]
     once = np.stack([gram, around, latest], axis=1)[order]
-    once = once[np.append(True, (once[1:, :2] != once[:-1, :2]).any(axis=1))]  # equal texts have one answer
+    once = once[np.append(np.ones(min(1, len(once)), bool), (once[1:, :2] != once[:-1, :2]).any(axis=1))]  # equal texts have one answer
     pad = lambda own, k, front: pa.concat_arrays([pa.array(own), pa.nulls(k, pa.int64())] if front else [pa.nulls(k, pa.int64()), pa.array(own)])
     columns = [pad(x, len(once), True) for x in (doc[row], version[row], run)] + [pad(np.ascontiguousarray(once[:, i]), len(row), False) for i in range(3)]
     return pa.RecordBatch.from_arrays(columns, names=["doc", "version", "run", "gram", "around", "latest"])
 
 
 def shared_anchors(docs: DataFrame, staged: Staged) -> DataFrame:
-    """Anchors that more than one document has: doc, place, gram, around, first (whether no earlier document has these surroundings) and hot. docs: doc, version, text."""
+    """Anchors that more than one document has: doc, place, gram, around (0 where no later document has these surroundings), first (whether no earlier one has) and hot. docs: doc, version, text."""
     by_text, by_gram = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
-    met = anchor_rows(docs).withColumn("text_doc", F.min("doc").over(by_text)).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), F.count(F.lit(1)).over(by_gram).alias("met"))
-    return staged.keep(met.filter("low < high").select("doc", "place", "gram", "around", (F.col("doc") == F.col("text_doc")).alias("first"), (F.col("met") > HOT).alias("hot")))
+    met = anchor_rows(docs).withColumns({"text_doc": F.min("doc").over(by_text), "last_doc": F.max("doc").over(by_text)}).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), F.count(F.lit(1)).over(by_gram).alias("met"))
+    around = F.when(F.col("last_doc") > F.col("text_doc"), F.col("around")).otherwise(0).alias("around")
+    return staged.keep(met.filter("low < high").select("doc", "place", "gram", around, (F.col("doc") == F.col("text_doc")).alias("first"), (F.col("met") > HOT).alias("hot")))
 
 
 def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
