@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,8 +19,8 @@ from pyspark.sql.types import StructField, StructType
 SLICE_BYTES = 8_000_000
 #: Bytes of an Arrow batch on its way to a Python worker; a batch ends with the row that passes this. Not changed where the session names its own.
 BATCH_BYTES = "16m"
-#: Seconds that executors get to delete the files of finished shuffles.
-SETTLE_SECONDS = 3
+#: The session's switch by which a query deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +46,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 class Staged:
-    """Intermediate tables of one query in the shared folder. A table cuts the lineage: its readers survive lost executors."""
+    """Intermediate tables of one query in the shared folder. A table cuts the lineage: its readers survive lost executors, and the shuffles that made it are deleted at once."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
@@ -55,17 +54,16 @@ class Staged:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out
 
-    def settle(self) -> None:
-        """Gives the disk of finished shuffles back now: executors delete their files when the driver's JVM finds that no plan needs them, which it looks for when it collects garbage. Waits a moment for that."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(SETTLE_SECONDS)
-
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm

@@ -351,7 +351,6 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
     """doc, version, runs (packed starts and stops): bytes that earlier documents repeat. docs: doc, version (tells texts of one id apart), text."""
     # the first document of every text under a gram goes to a shard; what the shard says of the text goes for its later documents too
     met = shared_anchors(docs, staged)
-    staged.settle()
     version = F.expr("shiftright(place, 43)").alias("version")
     start, size = F.expr("shiftright(place, 12) & 2147483647"), F.expr("place & 127")
     later = met.filter("not first").select("doc", version, (F.shiftleft(start, 31) + start + size).alias("run"), "gram", "around")
@@ -418,7 +417,6 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
         release()
 
     said = staged.keep(texts.mapInArrow(sort_shard, "doc long, version long, run long, gram long, around long, latest long"))
-    staged.settle()
     verdicts = said.filter("gram is not null").groupBy("gram", "around").agg(F.min("latest").alias("latest"))
     whole = later.join(verdicts, ["gram", "around"]).filter("doc > latest").select("doc", "version", "run")
     split = said.filter("run is not null").select("doc", "version", "run")
