@@ -68,6 +68,13 @@ def test_word_ids_are_those_of_the_tokenizer():
         assert list(np.frombuffer(words.ids(text), "<u4")) == words.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_ids_of_every_letter():
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for letter in map(chr, [*range(0x250), 0x1E9E, 0x212A, 0x212B, 0xFB01]):
+        for text in (letter, f"a{letter}b c", f"{letter}{letter} A{letter}", f"3{letter}'s"):
+            assert list(np.frombuffer(words.ids(text), "<u4")) == words.tokenizer.encode(text, add_special_tokens=False).ids, hex(ord(letter))
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "</s>[INST] a [/INST]"), (1, 1, "assistant", "<\\|end|> <|end|>\n"), (1, 2, "assistant", None), (2, None, None, "x"), (2, None, None, "x"), (None, 5, "assistant", "é😀"), (3, 1, "assist<|text|>ant", "\\")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
