@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmlcut, imatch, licences, neardup, packing, secretscan, suffixdedup, toxicity
+from . import chat, decontam, htmlcut, imatch, importance, licences, neardup, packing, secretscan, suffixdedup, toxicity
 from .common import Staged, sha256_hex, table
 
 
@@ -67,10 +67,35 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_toxicity, op3_licence_scan, op4_chat_format, op5_imatch, op6_secret_scan, op7_decontaminate, op8_near_duplicates, op9_main_text, op10_suffix_dedup)}
+def op11_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Staged(spark, "op11"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_toxicity, op3_licence_scan, op4_chat_format, op5_imatch, op6_secret_scan, op7_decontaminate, op8_near_duplicates, op9_main_text, op10_suffix_dedup, op11_importance_sample)}
 
 _CHAT = r"""WITH turns AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 sized AS (SELECT *, length(role) + length(text) + 23 + len(regexp_extract_all(role || ' ' || text, '[<\[]\\*(?:\||/?s>|</?SYS>>|/?INST\]|/?SYSTEM_PROMPT\]|/?AVAILABLE_TOOLS\]|/?TOOL_RESULTS\]|TOOL_CALLS\])')) AS n FROM turns)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op3_licence_scan": licences.oracle(), "op4_chat_format": _CHAT}
+# CRC-32 is linear: that of a text is the exclusive or of what each byte gives with so many bytes behind it ("back"), and of what the initial register gives.
+_IMPORTANCE = r"""WITH RECURSIVE words AS MATERIALIZED (SELECT k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text FROM benchmark)),
+place AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+feature AS MATERIALIZED (SELECT k, f, count(*) AS n FROM (SELECT k, w[i] AS f FROM place UNION ALL SELECT k, w[i] || ' ' || w[i + 1] FROM place WHERE i < len(w) UNION ALL SELECT k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM place WHERE i < len(w) - 1) GROUP BY ALL),
+kind AS MATERIALIZED (SELECT f, hex(encode(f)) AS h, strlen(f) AS m FROM (SELECT DISTINCT f FROM feature)),
+bits(b, j, c) AS (SELECT b, 0, b FROM range(256) t(b) UNION ALL SELECT b, j + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE j < 8),
+tab AS MATERIALIZED (SELECT b, c FROM bits WHERE j = 8),
+deepest AS MATERIALIZED (SELECT max(m) AS d FROM kind),
+shifted(b, back, c) AS (SELECT b, 0, c FROM tab UNION ALL SELECT 256, 0, 4294967295 UNION ALL SELECT s.b, s.back + 1, xor(s.c >> 8, t.c) FROM shifted s JOIN tab t ON t.b = s.c & 255 WHERE s.back < (SELECT d FROM deepest)),
+gives AS MATERIALIZED (SELECT printf('%02X', b) AS h, back, c FROM shifted WHERE b < 256),
+summed AS (SELECT f, bit_xor(c) AS c FROM (SELECT f, m, unnest(range(m)) AS i, h FROM kind) b JOIN gives g ON g.h = substr(b.h, 2 * b.i + 1, 2) AND g.back = b.m - 1 - b.i GROUP BY f),
+bucket AS MATERIALIZED (SELECT f, xor(xor(u.c, s.c), 4294967295) % 10000 AS bucket FROM summed u JOIN kind USING (f) JOIN shifted s ON s.b = 256 AND s.back = m),
+total AS (SELECT bucket, coalesce(sum(n) FILTER (k > 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (k < 0), 0)::DOUBLE AS t FROM feature JOIN bucket USING (f) GROUP BY bucket),
+whole AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM total),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS g FROM total, whole),
+weighed AS (SELECT k, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS weight FROM feature JOIN bucket USING (f) JOIN gain USING (bucket) WHERE k > 0 GROUP BY k),
+scored AS (SELECT k, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM words LEFT JOIN weighed USING (k) WHERE k > 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, k) AS r, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM ordered"""
+
+ORACLES: dict[str, str] = {"op11_importance_sample": _IMPORTANCE, "op3_licence_scan": licences.oracle(), "op4_chat_format": _CHAT}
