@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmlcut, imatch, importance, licences, neardup, packing, secretscan, suffixdedup, toxicity
+from . import chat, decontam, htmlcut, imatch, importance, licences, neardup, packing, secretscan, suffixdedup, toxicity, warc, whitening
 from .common import Staged, sha256_hex, table
 
 
@@ -72,7 +72,19 @@ def op11_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_toxicity, op3_licence_scan, op4_chat_format, op5_imatch, op6_secret_scan, op7_decontaminate, op8_near_duplicates, op9_main_text, op10_suffix_dedup, op11_importance_sample)}
+def op12_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = Staged(spark, "op12")
+    path = f"{staged.root}/archive"
+    warc.write_pages(table(spark, sf_dir, "pages"), path, staged)
+    read = warc.read_pages(spark, path, staged)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), Staged(spark, "op13"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_toxicity, op3_licence_scan, op4_chat_format, op5_imatch, op6_secret_scan, op7_decontaminate, op8_near_duplicates, op9_main_text, op10_suffix_dedup, op11_importance_sample, op12_web_archive, op13_whitening)}
 
 _CHAT = r"""WITH turns AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 sized AS (SELECT *, length(role) + length(text) + 23 + len(regexp_extract_all(role || ' ' || text, '[<\[]\\*(?:\||/?s>|</?SYS>>|/?INST\]|/?SYSTEM_PROMPT\]|/?AVAILABLE_TOOLS\]|/?TOOL_RESULTS\]|TOOL_CALLS\])')) AS n FROM turns)
@@ -98,4 +110,8 @@ scored AS (SELECT k, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_fea
 ordered AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, k) AS r, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM ordered"""
 
-ORACLES: dict[str, str] = {"op11_importance_sample": _IMPORTANCE, "op3_licence_scan": licences.oracle(), "op4_chat_format": _CHAT}
+_ARCHIVE = """WITH pay AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages), dig AS (SELECT page_id, octet_length(p) AS payload_bytes, sha256(p) AS payload_digest FROM pay),
+least AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM dig)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM least"""
+
+ORACLES: dict[str, str] = {"op12_web_archive": _ARCHIVE, "op11_importance_sample": _IMPORTANCE, "op3_licence_scan": licences.oracle(), "op4_chat_format": _CHAT}
