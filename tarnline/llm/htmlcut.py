@@ -1,9 +1,11 @@
 """Main-text extraction from HTML by minimum cut.
 
-The page is cut into blocks (runs of text between block-level tags). A logistic classifier, trained here on pages
-generated with known labels, gives each block the cost of either label; these are the capacities to the two
-terminals. Edges between neighbouring blocks and between blocks close in the tree are the smoothness capacities.
-Max-flow (Dinic) separates content from boilerplate; blocks on the source side are the main text.
+The page is cut into blocks (runs of text between block-level tags) within elements. A logistic classifier, trained here
+on pages generated with known labels, gives the costs of either label, which are the capacities to the two terminals: a
+block speaks for itself by its text alone (length, links, sentences, tag, place), an element by what its markup says, once
+for every block inside. Neither decides alone: edges from blocks to their elements, from elements to the ones around them
+(proximity in the tree), and between neighbouring blocks (adjacency) are the smoothness capacities. Max-flow (Dinic)
+separates content from boilerplate; blocks on the source side are the main text.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?…]\s+\S")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements by what they say of the text inside.
@@ -41,8 +44,12 @@ _BODYISH = frozenset("article content entry post story main body text".split())
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 
 FIELDS = StructType([StructField("text", StringType()), StructField("n_chars", LongType()), StructField("n_blocks", LongType()), StructField("n_kept", LongType())])
-#: Smoothness between neighbours in the page, and more where both hang on one element.
-NEXT_TO, SAME_PARENT = 0.35, 0.45
+#: Columns of a block's features that tell what holds it; the others are about its text.
+MARKUP = 11
+#: Largest log-odds of a block by its text.
+CLIP = 3.0
+#: Capacities between neighbours in the page, more where both hang on one element, between a block and its element, and between elements.
+NEXT_TO, SAME_PARENT, HOLDS, WITHIN = 0.3, 0.35, 6.0, 1.5
 
 
 class Block:
@@ -52,9 +59,10 @@ class Block:
         self.text, self.tag, self.kinds, self.linked, self.node, self.parent, self.chars = text, tag, kinds, linked, node, parent, len(text)
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. Broken markup is read as it stands: unknown end tags are skipped, open elements end with the page."""
+def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """Text blocks in page order, and elements: the number of the one around (-1: none) and the bits that its own markup adds. Broken markup is read as it stands: unknown end tags are skipped, open elements end with the page."""
     out: list[Block] = []
+    elements = [(-1, 0)]
     # an open element: tag, kind bits, own number
     stack: list[tuple[str, int, int]] = [("", 0, 0)]
     open_: Counter[str] = Counter()
@@ -124,17 +132,23 @@ def blocks(page: str) -> list[Block]:
                 elif tokens & _BODYISH and not tokens & _FURNITURE:
                     bits |= 2
         numbers += 1
+        elements.append((stack[-1][2], bits & ~stack[-1][1]))
         stack.append((name, bits, numbers))
         open_[name] += 1
     buffer.append(page[at:])
     flush()
-    return out
+    return out, elements
+
+
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page, in order."""
+    return parse(page)[0]
 
 
 def features(own: list[Block]) -> np.ndarray:
-    """A row for each block: what holds it, then its size, links, sentences, tag and place."""
+    """A row for each block: what holds it, then its size, links, end, tag, place, and sentences that follow others."""
     n = len(own)
-    x = np.zeros((n, 20))
+    x = np.zeros((n, 21))
     for i, b in enumerate(own):
         x[i, :11] = b.kinds
         words = b.text.count(" ") + 1
@@ -147,6 +161,7 @@ def features(own: list[Block]) -> np.ndarray:
         x[i, 17] = i < 2
         x[i, 18] = i == n - 1
         x[i, 19] = 1
+        x[i, 20] = min(len(_SENTENCE.findall(b.text)), 3) / 3
     return x
 
 
@@ -163,6 +178,9 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
     if some(0.08):  # nothing but the text
         holder, k = rng.choice(["div", "article", "section"]), rng.randint(1, 3)
         return f"<html><body><{holder}>" + "".join(f"<p>{words(3, 60)}.</p>" for _ in range(k)) + f"</{holder}></body></html>", [True] * k
+    if some(0.1):  # one run of sentences, in no paragraph
+        holder = rng.choice(["div", "section", "td", "body"])
+        return f"<html><{holder}>" + " ".join(words(4, 20).capitalize() + "." for _ in range(rng.randint(2, 9))) + f"</{holder}></html>", [True]
     if some(0.7):
         put(f"<head><title>{words(2, 12)}</title></head>", False)
     if some(0.5):
@@ -216,17 +234,43 @@ def train(pages: int = 400, seed: int = 7, ridge: float = 0.0004, steps: int = 1
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay on the source side of a minimum cut; undirected inner edges. Ties go to the sink side.
 
-    What a node can send straight through is taken out first; nodes whose terminal outweighs all their edges are
-    settled without search, which leaves the undecided ones for Dinic's algorithm.
+    What a node can send straight through is taken out first. A node whose terminal outweighs all its edges is on that
+    side of every minimum cut; its edges then pull at its neighbours, some of which are settled by that. What is left
+    undecided goes to Dinic's algorithm.
     """
     n = len(source)
     excess = [a - b for a, b in zip(source, sink, strict=True)]
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     around = [0.0] * n
     for i, j, c in edges:
+        near[i].append((j, c))
+        near[j].append((i, c))
         around[i] += c
         around[j] += c
-    if all(abs(e) > a for e, a in zip(excess, around, strict=True)):
-        return [e > 0 for e in excess]
+    side: list[bool | None] = [None] * n
+    settled = [i for i in range(n) if abs(excess[i]) > around[i] + 1e-9 or not near[i]]
+    for i in settled:
+        side[i] = excess[i] > 0
+    while settled:
+        i = settled.pop()
+        for j, c in near[i]:
+            if side[j] is None:
+                excess[j] += c if side[i] else -c
+                around[j] -= c
+                if abs(excess[j]) > around[j] + 1e-9:
+                    side[j] = excess[j] > 0
+                    settled.append(j)
+    left = [i for i in range(n) if side[i] is None]
+    if left:
+        at = {i: k for k, i in enumerate(left)}
+        for i, x in zip(left, _max_flow([excess[i] for i in left], [(at[i], at[j], c) for i, j, c in edges if i in at and j in at]), strict=True):
+            side[i] = x
+    return side
+
+
+def _max_flow(excess: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The side of each node by Dinic's algorithm; a positive excess comes from the source, a negative one goes to the sink."""
+    n = len(excess)
     s, t = n, n + 1
     head: list[list[int]] = [[] for _ in range(n + 2)]
     to: list[int] = []
@@ -283,22 +327,49 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 break
 
 
+def graph(own: list[Block], elements: list[tuple[int, int]], weights: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """Log-odds of the nodes (blocks, then elements that hold any) and the edges between them. An element that says nothing and holds one thing is left out: what it holds hangs on the one around."""
+    logit = np.clip(features(own)[:, MARKUP:] @ weights[MARKUP:], -CLIP, CLIP)
+    inside = [0] * len(elements)
+    holds = [0] * len(elements)
+    for b in own:
+        inside[b.node] += 1
+        holds[b.node] += 1
+    for e in range(len(elements) - 1, 0, -1):  # an element has a greater number than the one around
+        if inside[e]:
+            inside[elements[e][0]] += inside[e]
+            holds[elements[e][0]] += 1
+    node: dict[int, int] = {}
+    says = []
+    for e, (_, bits) in enumerate(elements):
+        if inside[e] and (bits or holds[e] > 1):
+            node[e] = len(own) + len(says)
+            says.append(inside[e] * sum(weights[k - 1] for k in range(1, 1 + MARKUP) if bits >> k & 1))
+    edges = []
+
+    def hang(i: int, e: int, c: float) -> None:
+        while e >= 0 and e not in node:
+            e = elements[e][0]
+        if e >= 0:
+            edges.append((i, node[e], c))
+
+    for i, b in enumerate(own):
+        hang(i, b.node, HOLDS)
+        if i:
+            edges.append((i - 1, i, NEXT_TO + SAME_PARENT * (own[i - 1].parent == b.parent)))
+    for e, i in node.items():
+        hang(i, elements[e][0], WITHIN)
+    return np.concatenate((logit, np.array(says))), edges
+
+
 def extract(page: str | None, weights: np.ndarray) -> tuple[str, int, int]:
     """Main text, number of blocks, number of blocks kept."""
-    own = blocks(page) if page else []
+    own, elements = parse(page) if page else ([], [])
     if not own:
         return "", 0, 0
-    logit = np.clip(features(own) @ weights, -8, 8)
-    for_content, for_rest = np.log1p(np.exp(logit)), np.log1p(np.exp(-logit))
-    edges = [(i, i + 1, NEXT_TO + SAME_PARENT * (own[i].parent == own[i + 1].parent and own[i].kinds == own[i + 1].kinds)) for i in range(len(own) - 1)]
-    last: dict[int, int] = {}
-    for i, b in enumerate(own):
-        j = last.get(b.parent)
-        if j is not None and j < i - 1 and own[j].kinds == b.kinds:
-            edges.append((j, i, SAME_PARENT))
-        last[b.parent] = i
-    side = min_cut(for_content.tolist(), for_rest.tolist(), edges)
-    kept = [b.text for b, content in zip(own, side, strict=True) if content]
+    odds, edges = graph(own, elements, weights)
+    side = min_cut(np.maximum(odds, 0).tolist(), np.maximum(-odds, 0).tolist(), edges)
+    kept = [b.text for b, content in zip(own, side, strict=False) if content]
     return "\n\n".join(kept), len(own), len(kept)
 
 

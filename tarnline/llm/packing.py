@@ -38,7 +38,7 @@ _END = END_ID.to_bytes(4, "little")
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 250_000
 
-#: Text in these characters only, as it is and in lower case, is split into words here; any other text goes through the tokenizer whole.
+#: Text that has these characters only once it is in lower case is split into words here; any other text goes through the tokenizer whole.
 _PLAIN = re.compile(r"[^\t\n\r -~¡-ɏ]")
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼½¾]|[^\s\xa0{_LETTERS}0-9²³¹¼½¾]+")
@@ -67,7 +67,7 @@ class WordIds(dict):
         if not text:
             return b""
         small = text.lower()
-        if _PLAIN.search(text) or _PLAIN.search(small) or "<|" in text:
+        if _PLAIN.search(small) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, _WORD.findall(small)))
 

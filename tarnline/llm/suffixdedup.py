@@ -6,9 +6,12 @@ least hash. Equal windows have equal anchors, so documents that share a window s
 equal grams (all windows of the anchor) meet in one shard, with the first document of each. The shard builds a
 suffix array over them by induced sorting (suffixes are classified, leftmost-smaller substrings sorted and named, the
 reduced string sorted, and all suffixes induced from its order in linear time, bucket by bucket in numpy), computes the
-permuted common prefixes of the windows, and so the least document of every window. From these follow the runs to remove
-from the first documents, and the document after which a text goes as a whole, which is joined to its other places.
-Anchors of one document alone, the most by far, end before any text is moved.
+permuted common prefixes of the windows, and so the least document of every window, from which the runs to remove follow.
+
+Two kinds of places never reach a shard. Anchors of one document alone, the most by far, end before any text is moved. And
+surroundings that are equal as a whole, under one gram, are one class: only the class's first document goes to a shard. All
+windows of its later documents start in that first one, so these go entirely; that is decided by the class, not by a
+suffix array, and the class by two hashes of 64 bits, of the gram and of all surroundings, without a look at the bytes.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ LENGTH, GRAM = 50, 20
 SHARD_BYTES = 1_000_000
 #: Places of one gram beyond which its texts are split by the bytes next to it.
 HOT = 50_000
+#: Different texts that rows of one id may have; their number is part of a packed place.
+MOST_VERSIONS = 1 << 20
 _P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
 
 
@@ -317,53 +322,45 @@ def _runs(removed: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> tuple[
     return row, (a + shift) << 31 | (b + shift + LENGTH)
 
 
-def _solved(doc: np.ndarray, version: np.ndarray, start: np.ndarray, gram: np.ndarray, around: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
-    """What the suffix array of a shard says: runs to remove from its texts (doc, version, run), and of every text the document after which all of it goes (gram, around, latest). Equal texts are one text with their least document."""
+def _solved(doc: np.ndarray, version: np.ndarray, start: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
+    """The runs to remove that the suffix array of a shard finds in its texts: doc, version, run. Equal texts are one text with their least document."""
     known: dict[bytes, int] = {}
     which = np.fromiter((known.setdefault(b, len(known)) for b in bodies), np.int64, len(bodies))
     least = np.full(len(known), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
     found, windows = least_documents(list(known), least)
     begins = np.concatenate([[0], np.cumsum(windows)[:-1]])
-    latest = np.maximum.reduceat(found, begins)[which]
     n = windows[which]
     row_begins = np.concatenate([[0], np.cumsum(n)[:-1]])
     flat = np.repeat(begins[which] - row_begins, n) + np.arange(n.sum())
     row, run = _runs(found[flat] < np.repeat(doc, n), row_begins, start)
-    asked = np.flatnonzero(around)  # by later documents
-    order = asked[np.lexsort((around[asked], gram[asked]))]
-    once = np.stack([gram, around, latest], axis=1)[order]
-    once = once[np.append(np.ones(min(1, len(once)), bool), (once[1:, :2] != once[:-1, :2]).any(axis=1))]  # equal texts have one answer
-    pad = lambda own, k, front: pa.concat_arrays([pa.array(own), pa.nulls(k, pa.int64())] if front else [pa.nulls(k, pa.int64()), pa.array(own)])
-    columns = [pad(x, len(once), True) for x in (doc[row], version[row], run)] + [pad(np.ascontiguousarray(once[:, i]), len(row), False) for i in range(3)]
-    return pa.RecordBatch.from_arrays(columns, names=["doc", "version", "run", "gram", "around", "latest"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(version[row]), pa.array(run)], names=["doc", "version", "run"])
 
 
 def shared_anchors(docs: DataFrame, staged: Staged) -> DataFrame:
-    """Anchors that more than one document has: doc, place, gram, around (0 where no later document has these surroundings), first (whether no earlier one has) and hot. docs: doc, version, text."""
+    """Anchors that more than one document has: doc, place, gram, first (whether no earlier document has these surroundings) and hot. docs: doc, version, text."""
     by_text, by_gram = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
-    met = anchor_rows(docs).withColumns({"text_doc": F.min("doc").over(by_text), "last_doc": F.max("doc").over(by_text)}).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), F.count(F.lit(1)).over(by_gram).alias("met"))
-    around = F.when(F.col("last_doc") > F.col("text_doc"), F.col("around")).otherwise(0).alias("around")
-    return staged.keep(met.filter("low < high").select("doc", "place", "gram", around, (F.col("doc") == F.col("text_doc")).alias("first"), (F.col("met") > HOT).alias("hot")))
+    met = anchor_rows(docs).withColumn("text_doc", F.min("doc").over(by_text)).select("*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"), F.count(F.lit(1)).over(by_gram).alias("met"))
+    return staged.keep(met.filter("low < high").select("doc", "place", "gram", (F.col("doc") == F.col("text_doc")).alias("first"), (F.col("met") > HOT).alias("hot")))
 
 
 def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
     """doc, version, runs (packed starts and stops): bytes that earlier documents repeat. docs: doc, version (tells texts of one id apart), text."""
-    # the first document of every text under a gram goes to a shard; what the shard says of the text goes for its later documents too
+    # the first document of every class of equal surroundings goes to a shard; its later ones go as a whole
     met = shared_anchors(docs, staged)
     version = F.expr("shiftright(place, 43)").alias("version")
     start, size = F.expr("shiftright(place, 12) & 2147483647"), F.expr("place & 127")
-    later = met.filter("not first").select("doc", version, (F.shiftleft(start, 31) + start + size).alias("run"), "gram", "around")
-    wanted = met.filter("first").select("doc", version, "place", "gram", "around", "hot").groupBy("doc", "version").agg(F.collect_list(F.struct("gram", "around", "place", "hot")).alias("a"))
+    later = met.filter("not first").select("doc", version, (F.shiftleft(start, 31) + start + size).alias("run"))
+    wanted = met.filter("first").select("doc", version, "place", "gram", "hot").groupBy("doc", "version").agg(F.collect_list(F.struct("gram", "place", "hot")).alias("a"))
     arounds = wanted.join(docs, ["doc", "version"]).select("doc", "version", "a", "text")
-    names, half = ["key", "doc", "version", "start", "gram", "around", "body"], (LENGTH - GRAM) // 2
+    names, half = ["key", "doc", "version", "start", "body"], (LENGTH - GRAM) // 2
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 3):
             listed = piece.column(2)
             n = pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False)
-            gram, around, place, hot = (listed.flatten().field(k) for k in range(4))
-            gram, around, place, hot = gram.to_numpy(), around.to_numpy(), place.to_numpy(), hot.to_numpy(zero_copy_only=False)
+            gram, place, hot = (listed.flatten().field(k) for k in range(3))
+            gram, place, hot = gram.to_numpy(), place.to_numpy(), hot.to_numpy(zero_copy_only=False)
             start, lead, size = _unpacked(place)
             doc, version = (np.repeat(piece.column(k).to_numpy(), n) for k in (0, 1))
             at, bodies = 0, []
@@ -373,7 +370,6 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
                 at += k
             # a gram of very many places is split by the bytes next to it: texts go where those on their left are the same, and where those on their right are
             key, again, other = gram.copy(), [], []
-            gram = np.where(hot, gram, 0)  # elsewhere it is the key
             for i in np.flatnonzero(hot).tolist():
                 body, k = bodies[i], int(lead[i])
                 sides = [xxhash.xxh64_intdigest(x, seed) for seed, x in ((1, body[k - half : k] if k >= half else b""), (2, body[k + GRAM : k + GRAM + half])) if len(x) == half]
@@ -383,17 +379,16 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
                     again.append(i)
                     other.append(keys[1])
             if again:
-                key, doc, version, start, gram, around = np.append(key, other), *(np.append(x, x[again]) for x in (doc, version, start, gram, around))
+                key, doc, version, start = np.append(key, other), *(np.append(x, x[again]) for x in (doc, version, start))
                 bodies += [bodies[i] for i in again]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, doc, version, start, gram, around)), pa.array(bodies, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, doc, version, start)), pa.array(bodies, pa.binary())], names=names)
 
-    texts = arounds.mapInArrow(cut_out, "key long, doc long, version long, start long, gram long, around long, body binary").repartition(F.col("key")).sortWithinPartitions("key")
+    texts = arounds.mapInArrow(cut_out, "key long, doc long, version long, start long, body binary").repartition(F.col("key")).sortWithinPartitions("key")
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             own = pa.Table.from_batches(parts).combine_chunks()
-            key, doc, version, start, gram, around = (own.column(k).to_numpy() for k in range(6))
-            return _solved(doc, version, start, np.where(gram == 0, key, gram), around, own.column(6).to_pylist())
+            return _solved(*(own.column(k).to_numpy() for k in (1, 2, 3)), own.column(4).to_pylist())
 
         held, size, last = [], 0, None
         for batch in batches:
@@ -406,32 +401,30 @@ def repeated_runs(docs: DataFrame, staged: Staged) -> DataFrame:
                 if size > SHARD_BYTES:
                     end = place + int(np.searchsorted(key[place:], last, "right"))
                 else:
-                    room = np.cumsum(pa.compute.binary_length(batch.column(6).slice(place)).to_numpy())
+                    room = np.cumsum(pa.compute.binary_length(batch.column(4).slice(place)).to_numpy())
                     end = min(len(key), place + int(np.searchsorted(room, SHARD_BYTES - size, "right")) + 1)
                 piece = batch.slice(place, end - place)
                 held.append(piece)
-                size += piece.column(6).nbytes
+                size += piece.column(4).nbytes
                 last, place = key[end - 1], end
         if held:
             yield solved(held)
         release()
 
-    said = staged.keep(texts.mapInArrow(sort_shard, "doc long, version long, run long, gram long, around long, latest long"))
-    verdicts = said.filter("gram is not null").groupBy("gram", "around").agg(F.min("latest").alias("latest"))
-    whole = later.join(verdicts, ["gram", "around"]).filter("doc > latest").select("doc", "version", "run")
-    split = said.filter("run is not null").select("doc", "version", "run")
-    return whole.unionByName(split).groupBy("doc", "version").agg(F.collect_list("run").alias("runs"))
+    found = staged.keep(texts.mapInArrow(sort_shard, "doc long, version long, run long"))
+    return later.unionByName(found).groupBy("doc", "version").agg(F.collect_list("run").alias("runs"))
 
 
 def _versions(known: DataFrame) -> DataFrame:
-    """doc, version, text: the texts of one id are told apart by version (an id with over a million different texts isn't foreseen)."""
+    """doc, version, text: the texts of one id are told apart by version; an id with more texts than a place has numbers for raises."""
     marked = known.withColumn("_h", F.xxhash64("text"))
     several = marked.groupBy("doc").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).filter("lo < hi").select("doc")
     if several.isEmpty():
         return known.select("doc", F.lit(0).cast("long").alias("version"), "text")
     order = Window.partitionBy("doc").orderBy("_h")
     ranks = marked.join(several, "doc", "left_semi").select("doc", "_h").distinct().withColumn("version", (F.row_number().over(order) - 1).cast("long"))
-    return marked.join(ranks, ["doc", "_h"], "left").select("doc", F.coalesce("version", F.lit(0)).cast("long").alias("version"), "text")
+    number = F.when(F.col("version") >= MOST_VERSIONS, F.raise_error(F.lit("an id has too many different texts")).cast("long")).otherwise(F.coalesce("version", F.lit(0)).cast("long"))
+    return marked.join(ranks, ["doc", "_h"], "left").select("doc", number.alias("version"), "text")
 
 
 def remove_repeats(docs: DataFrame, staged: Staged, id_col: str = "doc_id", text: str = "text") -> DataFrame:
