@@ -16,17 +16,20 @@ STALE, DIVERSE, MOST_RATE, BASE_RATE = 10, 0.3, 0.5, 0.15
 
 
 def stagnation(history: DataFrame) -> DataFrame:
-    """run, generation, best and stale: generations since the best last rose by more than 0.001, or a thousandth of it if that is more. history: run, generation, best."""
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("stale"), F.array().cast("array<struct<generation:bigint,best:double,stale:int>>").alias("out"))
+    """run, generation, best and stale: generations since the best last rose by more than 0.001, or a thousandth of it if that is more. history: run, generation, best. Whether a rise counts hangs on the last one that did, so a run is read once, in order."""
 
-    def step(acc: Column, x: Column) -> Column:
-        better = acc["best"].isNull() | (x["best"] - acc["best"] > F.greatest(F.lit(0.001), F.abs(acc["best"]) * 0.001))
-        stale = F.when(better, 0).otherwise(acc["stale"] + 1)
-        best = F.when(better, x["best"]).otherwise(acc["best"])
-        return F.struct(best.alias("best"), stale.alias("stale"), F.concat(acc["out"], F.array(F.struct(x["generation"].alias("generation"), x["best"].alias("best"), stale.alias("stale")))).alias("out"))
-
-    rows = history.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(F.col("generation").cast("long").alias("generation"), F.col("best").cast("double").alias("best")))).alias("x"))
-    return rows.select("run", F.explode(F.aggregate("x", start, step, lambda acc: acc["out"])).alias("o")).select("run", "o.*")
+    def fold(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("generation")
+        top, stale, out = None, 0, []
+        for best in own["best"].tolist():
+            if top is None or best - top > max(0.001, abs(top) * 0.001):
+                top, stale = best, 0
+            else:
+                stale += 1
+            out.append(stale)
+        return own.assign(stale=out)
+
+    return history.select(F.col("run").cast("long"), F.col("generation").cast("long"), "best").groupBy("run").applyInPandas(fold, "run long, generation long, best double, stale int")
 
 
 def strategies(grid: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Elevation from raster tiles as tables, and enrichment of networks with it.
 
 A tile is a row (tile_id, west, south, east, north, res, width, height, nodata), its pixels are rows (tile_id, row, col,
-value); row 0 is the northern one. Points are rows (node_id, x, y). All coordinates are in one system.
+value); row 0 is the northern one. Points are rows (node_id, x, y). All coordinates are in one system, but for the
+functions on projected tiles, whose column epsg names each tile's own system; points are in degrees there.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnline.functions import projection
+
 #: Degrees of a grid cell in which points meet tiles; tiles should not be many cells wide.
 CELL = 0.01
 
@@ -30,6 +33,37 @@ def samples(points: DataFrame, tiles: DataFrame, pixels: DataFrame, cell: float
     return placed.join(pixels, ["tile_id", "row", "col"], "left").select("node_id", "tile_id", "res", value.alias("value"))
 
 
+def degree_boxes(tiles: DataFrame) -> DataFrame:
+    """Tiles in systems of their own (column epsg) with a box in degrees around each (west_deg, south_deg, east_deg, north_deg): from the corners and the middles of the sides, and a little more, as sides are bent. Unknown systems are left out."""
+    known = tiles.filter(projection.is_known(F.col("epsg")))
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    xs, ys = (F.col("west"), middle("west", "east"), F.col("east")), (F.col("south"), middle("south", "north"), F.col("north"))
+    corners = [projection.inverse(x, y, F.col("epsg")) for i, x in enumerate(xs) for j, y in enumerate(ys) if i != 1 or j != 1]
+    (west, east), (south, north) = ((F.least(*c), F.greatest(*c)) for c in ([p[0] for p in corners], [p[1] for p in corners]))
+    boxed = known.withColumns({"west_deg": west, "east_deg": east, "south_deg": south, "north_deg": north})
+    more = lambda a, b: (F.col(b) - F.col(a)) * 0.02 + 1e-9
+    wide, high = more("west_deg", "east_deg"), more("south_deg", "north_deg")
+    return boxed.withColumns({"west_deg": F.col("west_deg") - wide, "east_deg": F.col("east_deg") + wide, "south_deg": F.col("south_deg") - high, "north_deg": F.col("north_deg") + high})
+
+
+def covering_projected(points: DataFrame, tiles: DataFrame, cell: float = CELL) -> DataFrame:
+    """Every point (degrees) with every tile whose box, in the tile's own system (column epsg), holds it, and its place there: px, py. Met through grid cells of the tiles' boxes in degrees."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    cells = degree_boxes(tiles).withColumn("_cx", F.explode(F.sequence(at("west_deg"), at("east_deg")))).withColumn("_cy", F.explode(F.sequence(at("south_deg"), at("north_deg")))).drop("west_deg", "east_deg", "south_deg", "north_deg")
+    met = points.withColumn("_cx", at("x")).withColumn("_cy", at("y")).join(cells, ["_cx", "_cy"]).drop("_cx", "_cy")
+    px, py = projection.forward(F.col("x"), F.col("y"), F.col("epsg"))
+    return met.withColumns({"px": px, "py": py}).filter(F.col("px").between(F.col("west"), F.col("east")) & F.col("py").between(F.col("south"), F.col("north")))
+
+
+def samples_projected(points: DataFrame, tiles: DataFrame, pixels: DataFrame, cell: float = CELL) -> DataFrame:
+    """samples() for tiles in systems of their own: node_id, tile_id, res, value, px and py."""
+    met = covering_projected(points.select("node_id", "x", "y"), tiles, cell)
+    col, row = F.floor((F.col("px") - F.col("west")) / F.col("res")), F.floor((F.col("north") - F.col("py")) / F.col("res"))
+    placed = met.select("node_id", "tile_id", "res", "nodata", "px", "py", row.alias("row"), col.alias("col"))
+    value = F.when(~F.isnan("value"), F.nullif("value", "nodata"))
+    return placed.join(pixels, ["tile_id", "row", "col"], "left").select("node_id", "tile_id", "res", value.alias("value"), "px", "py")
+
+
 def first_tile(sampled: DataFrame) -> DataFrame:
     """The value in a point's first tile by id, even where that has no data and another tile would."""
     return sampled.groupBy("node_id").agg(F.min_by("value", "tile_id").alias("elevation"), F.min("tile_id").alias("tile_id"))

@@ -105,10 +105,16 @@ def evaluate(scored: DataFrame, target_km: float, by: DataFrame) -> DataFrame:
     return both.select("route_id", "objective", F.when(F.col("is_valid"), value).otherwise(0.0).alias("fitness"))
 
 
-def history_stats(series: DataFrame, value: str = "fitness") -> DataFrame:
-    """For every point of a history (route_id, ord, value): mean, least and spread so far, the recent improvement (mean of the last 10 less that of the 10 before, those 0 where there are fewer than 20; 0 for fewer than 10) and whether it is a plateau (10 points at least, improvement under 0.001)."""
+def history_stats(series: DataFrame, value: str = "fitness", units: int = 100_000) -> DataFrame:
+    """For every point of a history (route_id, ord, value): mean, least and spread so far, the recent improvement (mean of the last 10 less that of the 10 before, those 0 where there are fewer than 20; 0 for fewer than 10) and whether it is a plateau (10 points at least, improvement under 0.001).
+
+    Values count in whole units (hundred-thousandths), so that sums are exact in any order and each figure is divided once.
+    """
     far = Window.partitionBy("route_id").orderBy("ord")
     so_far = far.rowsBetween(Window.unboundedPreceding, 0)
-    n, last, before = F.count(F.lit(1)).over(so_far), F.avg(value).over(far.rowsBetween(-9, 0)), F.avg(value).over(far.rowsBetween(-19, -10))
-    own = series.select("route_id", "ord", F.avg(value).over(so_far).alias("mean"), F.min(value).over(so_far).alias("least"), F.stddev_pop(value).over(so_far).alias("spread"), n.alias("n"), F.when(n < 10, 0.0).when(n < 20, last).otherwise(last - before).alias("improvement"))
-    return own.withColumn("plateau", (F.col("n") >= 10) & (F.abs("improvement") < 0.001)).drop("n")
+    own = series.withColumn("v", F.round(F.col(value) * units).cast("long"))
+    n, total, squares = F.count("v").over(so_far), F.sum("v").over(so_far), F.sum(F.col("v") * F.col("v")).over(so_far)
+    last, before = F.sum("v").over(far.rowsBetween(-9, 0)), F.sum("v").over(far.rowsBetween(-19, -10))
+    tens = 10.0 * units
+    out = own.select("route_id", "ord", (total / (n * units)).alias("mean"), (F.min("v").over(so_far) / units).alias("least"), (F.sqrt((n * squares - total * total).cast("double")) / (n * units)).alias("spread"), n.alias("n"), F.when(n < 10, 0.0).when(n < 20, last / tens).otherwise((last - before) / tens).alias("improvement"))
+    return out.withColumn("plateau", (F.col("n") >= 10) & (F.abs("improvement") < 0.001)).drop("n")

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitness import RISE, SPACING, STEEP, TERMS, WEIGHTS
-from .paths import LOCAL_EDGES, Keep, _hops, _nearest_first
+from .blocks import Keep, hops, nearest_first
+from .paths import LOCAL_EDGES
 from .tuning import adapted_sizes, adaptive_rate_value
 
 #: Shares of strategies in populations of each kind, in the order of their turns (fixed values).
@@ -46,7 +47,7 @@ class Network:
         if key not in self._ways:
             if len(self._ways) >= self.remembered:
                 del self._ways[next(iter(self._ways))]
-            self._ways[key] = {n: (d, p) for n, d, p in _nearest_first(self.around, source, cutoff)}
+            self._ways[key] = {n: (d, p) for n, d, p in nearest_first(self.around, source, cutoff)}
         return self._ways[key]
 
     def air(self, a: int, b: int) -> float:
@@ -228,7 +229,7 @@ class Maker:
             return None
         out = self._leg(self.start, self.rng.choice(near))
         barred = frozenset(s for a, b in zip(out, out[1:], strict=False) for s in ((a, b), (b, a))) if self.rng.random() < 0.7 else frozenset()
-        back = next((p for n, _, p in _nearest_first(self.net.around, out[-1], self.target, self.start, barred=barred) if n == self.start), None)
+        back = next((p for n, _, p in nearest_first(self.net.around, out[-1], self.target, self.start, barred=barred) if n == self.start), None)
         return out + back[1:] if back else self._close(list(out))
 
     def _loop_builder(self) -> list[int] | None:
@@ -499,14 +500,14 @@ class Search:
 
 def _shared(nodes: DataFrame, edges: DataFrame, keep: Keep, most_local: int):
     """The network in a broadcast variable; raises if it has too many edges."""
-    hops = keep(_hops(edges))
-    found = hops.limit(most_local + 1).toArrow()
+    steps = keep(hops(edges))
+    found = steps.limit(most_local + 1).toArrow()
     if found.num_rows > most_local:
         raise ValueError(f"a search needs a network of at most {most_local} edges; cut it to the surroundings first")
     around: dict[int, list[tuple[int, float]]] = {}
     for u, v, m in sorted(zip(*(c.to_pylist() for c in found.columns), strict=True)):
         around.setdefault(u, []).append((v, m))
-    ends = hops.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    ends = steps.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
     own = nodes.join(ends, "node_id", "left_semi").select("node_id", "x", "y", F.coalesce("elevation", F.lit(0.0))).toArrow()
     place = {n: (x, y, e) for n, x, y, e in zip(*(c.to_pylist() for c in own.columns), strict=True)}
     return nodes.sparkSession.sparkContext.broadcast((around, place))

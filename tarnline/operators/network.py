@@ -98,12 +98,12 @@ def hybrid_elevation(points: DataFrame, sources: list[tuple[str, DataFrame]], ze
     return out.select(*points.columns, F.coalesce(*(F.col(f"_{n}") for n, _ in sources), F.lit(0.0)).alias("elevation"), named.otherwise("none").alias("source"))
 
 
-def shortest_distances(edges: DataFrame, start: int, cutoff: float, keep, most_local: int | None = None) -> DataFrame:
+def shortest_distances(edges: DataFrame, start: int, cutoff: float, keep, nodes: DataFrame) -> DataFrame:
     """node_id and network metres from the start, up to a cutoff. keep writes a frame and reads it back, which cuts the lineage (a shared folder on a cluster)."""
-    from .paths import LOCAL_EDGES, near_paths
+    from .blocks import reached
 
     one = edges.sparkSession.sql(f"SELECT {int(start)}L AS node_id")
-    return near_paths(edges, cutoff, keep, one, LOCAL_EDGES if most_local is None else most_local).select("node_id", "dist")
+    return reached(edges, cutoff, keep, nodes, one).select("node_id", "dist")
 
 
 def distance_band(distances: DataFrame, target: float, tolerance: float = 0.3, k: int = 20) -> DataFrame:

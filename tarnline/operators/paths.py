@@ -1,13 +1,12 @@
-"""Shortest paths between many pairs of nodes, k shortest paths, and what is built on them.
+"""K shortest paths, paths of few edges, and what is built on shortest paths (see blocks).
 
-A network of at most LOCAL_EDGES edges is broadcast (its size is counted first) and searched from every source where the
-source's row is; a larger one is searched from all sources at once by rounds of joins. Both give the same rows.
+K shortest paths broadcast the network, which has to have at most LOCAL_EDGES edges (they are counted first).
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,72 +14,23 @@ from pyspark.sql import functions as F
 
 from tarnline.functions.geo import haversine
 
-Keep = Callable[[DataFrame], DataFrame]
-#: Edges of a network up to which it is broadcast (24 bytes each).
-LOCAL_EDGES = 500_000
-_FOUND = "src long, node_id long, dist double, path array<bigint>"
+from .blocks import Keep, hops, near_paths, nearest_first
 
+__all__ = ["LOCAL_EDGES", "Keep", "bounded_paths", "detailed_path", "hop_counts", "k_shortest_pairs", "near_paths", "pair_distances", "return_legs"]
 
-def _hops(edges: DataFrame) -> DataFrame:
-    return edges.filter("length >= 0").groupBy("u", "v").agg(F.min("length").alias("length"))
+#: Edges of a network up to which it is broadcast (24 bytes each).
+LOCAL_EDGES = 500_000
 
 
-def _broadcast(hops: DataFrame, most: int):
+def _broadcast(steps: DataFrame, most: int):
     """The network as lists of neighbours in a broadcast variable; None if it has too many edges."""
-    found = hops.limit(most + 1).toArrow()
+    found = steps.limit(most + 1).toArrow()
     if found.num_rows > most:
         return None
     around: dict[int, list[tuple[int, float]]] = {}
     for u, v, m in zip(*(c.to_pylist() for c in found.columns), strict=True):
         around.setdefault(u, []).append((v, m))
-    return hops.sparkSession.sparkContext.broadcast(around)
-
-
-def _nearest_first(around: dict, source: int, cutoff: float, target: int | None = None, closed: frozenset = frozenset(), barred: frozenset = frozenset()) -> Iterator[tuple[int, float, list[int]]]:
-    """Nodes by distance with their paths; ends at the target. Closed nodes and barred steps aren't walked."""
-    queue, done = [(0.0, [source])], set()
-    while queue:
-        dist, path = heapq.heappop(queue)
-        node = path[-1]
-        if node in done:
-            continue
-        done.add(node)
-        yield node, dist, path
-        if node == target:
-            return
-        for v, m in around.get(node, ()):
-            if v not in done and v not in closed and (node, v) not in barred and dist + m <= cutoff:
-                heapq.heappush(queue, (dist + m, [*path, v]))
-
-
-def near_paths(edges: DataFrame, cutoff: float, keep: Keep, sources: DataFrame | None = None, most_local: int = LOCAL_EDGES) -> DataFrame:
-    """src, node_id, dist and path of every node within a cutoff of each source (column node_id; all ends of edges by default), the source itself at 0.
-
-    Ties go to the lesser path. Parallel edges count by the shortest; edges without a length or with a negative one aren't walked.
-    """
-    hops = keep(_hops(edges))
-    seeds = sources.select(F.col("node_id").cast("long").alias("src")) if sources is not None else hops.select(F.explode(F.array("u", "v")).alias("src"))
-    seeds = seeds.filter("src is not null").distinct()
-    if (known := _broadcast(hops, most_local)) is not None:
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            around = known.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 200):
-                    rows = [(s, *x) for s in batch.column(0).slice(at, 200).to_pylist() for x in _nearest_first(around, s, cutoff)]
-                    columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())), strict=True)], names=["src", "node_id", "dist", "path"])
-
-        return seeds.mapInArrow(search, _FOUND)
-    found = front = keep(seeds.select("src", F.col("src").alias("node_id"), F.lit(0.0).alias("dist"), F.array("src").alias("path")))
-    while not front.isEmpty():
-        step = front.join(hops, F.col("node_id") == F.col("u")).filter(F.col("dist") + F.col("length") <= cutoff)
-        best = step.groupBy("src", F.col("v").alias("node_id")).agg(F.min(F.struct((F.col("dist") + F.col("length")).alias("dist"), F.concat("path", F.array("v")).alias("path"))).alias("new"))
-        old = found.select("src", "node_id", F.struct("dist", "path").alias("old"))
-        front = keep(best.join(old, ["src", "node_id"], "left").filter("old is null or new < old").select("src", "node_id", "new.dist", "new.path"))
-        merged = found.unionByName(front).groupBy("src", "node_id").agg(F.min(F.struct("dist", "path")).alias("x"))
-        found = keep(merged.select("src", "node_id", "x.dist", "x.path"))
-    return found
+    return steps.sparkSession.sparkContext.broadcast(around)
 
 
 def k_shortest_pairs(edges: DataFrame, pairs: DataFrame, k: int, keep: Keep, cutoff: float = float("inf"), most_local: int = LOCAL_EDGES) -> DataFrame:
@@ -89,11 +39,11 @@ def k_shortest_pairs(edges: DataFrame, pairs: DataFrame, k: int, keep: Keep, cut
     The shortest path is varied: of every path found, each beginning is kept, the steps that known paths take from it are
     barred, and the rest is searched anew. Ties go to the lesser path. The network has to fit the broadcast; a larger one raises.
     """
-    if (known := _broadcast(keep(_hops(edges)), most_local)) is None:
+    if (known := _broadcast(keep(hops(edges)), most_local)) is None:
         raise ValueError(f"k shortest paths need a network of at most {most_local} edges; cut it to the surroundings first")
 
     def best(around: dict, source: int, target: int) -> list[tuple[float, list[int]]]:
-        first = next(((d, p) for n, d, p in _nearest_first(around, source, cutoff, target) if n == target), None)
+        first = next(((d, p) for n, d, p in nearest_first(around, source, cutoff, target) if n == target), None)
         if first is None:
             return []
         length = {(u, v): m for u, ways in around.items() for v, m in ways}
@@ -103,7 +53,7 @@ def k_shortest_pairs(edges: DataFrame, pairs: DataFrame, k: int, keep: Keep, cut
             for i in range(len(path) - 1):
                 begin = path[: i + 1]
                 barred = frozenset((p[i], p[i + 1]) for _, p in out if p[: i + 1] == begin)
-                rest = next(((d, p) for n, d, p in _nearest_first(around, path[i], cutoff - done, target, frozenset(begin[:-1]), barred) if n == target), None)
+                rest = next(((d, p) for n, d, p in nearest_first(around, path[i], cutoff - done, target, frozenset(begin[:-1]), barred) if n == target), None)
                 if rest and tuple(whole := begin[:-1] + rest[1]) not in seen:
                     seen.add(tuple(whole))
                     heapq.heappush(waiting, (sum(length[s] for s in zip(whole, whole[1:], strict=False)), whole))
@@ -151,7 +101,7 @@ def bounded_paths(edges: DataFrame, pairs: DataFrame, most: int, keep: Keep) ->
 
 def pair_distances(pairs: DataFrame, near: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """src, dst and dist with its kind for every pair (src, dst): same (0), edge, path (from near), air line, or unknown (0 where a node isn't known)."""
-    hop = _hops(edges).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("length").alias("edge"))
+    hop = hops(edges).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("length").alias("edge"))
     at = lambda end: nodes.select(F.col("node_id").alias(end), F.col("x").alias(f"{end}_x"), F.col("y").alias(f"{end}_y"))
     own = pairs.select("src", "dst").distinct().join(hop, ["src", "dst"], "left").join(near.select("src", F.col("node_id").alias("dst"), F.col("dist").alias("way")), ["src", "dst"], "left").join(at("src"), "src", "left").join(at("dst"), "dst", "left")
     air = haversine(F.col("src_y"), F.col("src_x"), F.col("dst_y"), F.col("dst_x"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .paths import k_shortest_pairs, near_paths
+from .blocks import near_paths
+from .paths import k_shortest_pairs
 
 Keep = Callable[[DataFrame], DataFrame]
 
@@ -17,10 +18,10 @@ def draw(*salt: Column | str) -> Column:
     return F.pmod(F.xxhash64(*salt), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def shortest_paths(edges: DataFrame, start: int, cutoff: float, keep: Keep) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: int, cutoff: float, keep: Keep, nodes: DataFrame | None = None) -> DataFrame:
     """node_id, dist and path (nodes from the start) of all nodes within a cutoff; parallel edges count by the shortest."""
     one = edges.sparkSession.sql(f"SELECT {int(start)}L AS node_id")
-    return near_paths(edges, cutoff, keep, one).drop("src")
+    return near_paths(edges, cutoff, keep, one, nodes).drop("src")
 
 
 def k_shortest(edges: DataFrame, source: int, target: int, k: int, keep: Keep, cutoff: float = float("inf")) -> DataFrame:

@@ -36,6 +36,21 @@ def adapted_sizes(km: float, population: int, generations: int) -> tuple[int, in
     return population, generations, max(5, population // 10), max(3, population // 20)
 
 
+def sizes_for(km: Column, population: int = 100, generations: int = 200) -> list[Column]:
+    """adapted_sizes as columns, of a column of distances: population, generations, elite, tournament."""
+    kinds = [adapted_sizes(d, population, generations) for d in (1.0, 21.0, 9.0, 5.0)]
+    pick = lambda i: F.when(km < 3, kinds[0][i]).when(km > 20, kinds[1][i]).when(km > 8, kinds[2][i]).otherwise(kinds[3][i])
+    return [pick(i).alias(n) for i, n in enumerate(("population", "generations", "elite", "tournament"))]
+
+
+def sampled(range_: Column, share: Column, kind: str) -> Column:
+    """A value of a parameter for a share from 0 to 1 (exclusive): whole (low and high count), number, or list (an array of values)."""
+    if kind == "list":
+        return F.element_at(range_, (F.floor(share * F.size(range_)) + 1).cast("int"))
+    low, high = range_["low"], range_["high"]
+    return low + F.floor(share * (high - low + 1)) if kind == "whole" else low + share * (high - low)
+
+
 def random_search(spark: SparkSession, ranges: dict[str, tuple[float, float]], n: int, seed: int = 42) -> DataFrame:
     """n points drawn evenly from the ranges."""
     return spark.range(n).select("id", *((F.lit(float(a)) + draw("id", F.lit(seed), F.lit(k)) * float(b - a)).alias(k) for k, (a, b) in ranges.items()))

@@ -14,6 +14,7 @@ from tarnline.plans.evolution import POP, population
 from tarnline.plans.population import MD5, TOTALS, WALK, digest, props, r, rounded, walks
 from tarnline.plans.queries import _DEG, NET, NODE, PT, ROUTE, START, add, keeper
 from tarnline.sources import roads
+from tarnline.streaming import progress
 
 HIST = "hs AS (SELECT route_id AS run, CAST(ord AS BIGINT) AS generation, least(1, ord / 60) * 0.7::DOUBLE + (elevation % 7) / 700 AS best, abs(grade) / 100 AS diversity, rise AS mean FROM pt)"
 STALE = """st(run, generation, best, top, stale) AS (SELECT run, generation, best, best, 0 FROM hs WHERE generation = 1 UNION ALL SELECT hs.run, hs.generation, hs.best, CASE WHEN hs.best - st.top > greatest(0.001::DOUBLE, abs(st.top) * 0.001::DOUBLE) THEN hs.best ELSE st.top END, CASE WHEN hs.best - st.top > greatest(0.001::DOUBLE, abs(st.top) * 0.001::DOUBLE) THEN 0 ELSE st.stale + 1 END FROM st JOIN hs ON hs.run = st.run AND hs.generation = st.generation + 1)"""
@@ -35,10 +36,16 @@ def stagnation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.stagnation(history(spark, sf)))
 
 
-@add("mutation_strategies", "SELECT s AS stale, d / 10 AS diversity, q / 20 AS rate, CASE WHEN d / 10 < 0.3 THEN 'alike' WHEN s >= 10 THEN 'stuck' ELSE 'usual' END AS mood, CASE mood WHEN 'alike' THEN 0.2::DOUBLE WHEN 'stuck' THEN 0.2 ELSE 0.4 END AS segment_replacement, CASE mood WHEN 'alike' THEN 0.3::DOUBLE WHEN 'stuck' THEN 0.2 ELSE 0.3 END AS route_extension, CASE mood WHEN 'alike' THEN 0.1::DOUBLE WHEN 'stuck' THEN 0.3 ELSE 0.2 END AS elevation_bias, CASE mood WHEN 'alike' THEN 0.4::DOUBLE WHEN 'stuck' THEN 0.3 ELSE 0.1 END AS long_range_exploration, CASE WHEN q / 20 / 0.15::DOUBLE <= 1 THEN 'low' WHEN q / 20 / 0.15::DOUBLE <= 1.5 THEN 'medium' WHEN q / 20 / 0.15::DOUBLE <= 2 THEN 'high' ELSE 'extreme' END AS intensity FROM range(0, 25, 4) a(s), range(0, 8) b(d), range(1, 9) c(q)")
+@add("search_progress", _H + ", pg AS (SELECT run, generation, best, top, stale, avg(best) OVER (PARTITION BY run ORDER BY generation ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean FROM st) SELECT run, generation, round(best, 6) AS best, round(top, 6) AS top, stale, round(mean, 6) AS mean, CASE WHEN stale = 0 THEN 'rising' WHEN stale >= 10 THEN 'stuck' ELSE 'waiting' END AS state FROM pg")
+def search_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """The progress of every history; a stream of the same rows gives the same (see streaming.progress)."""
+    return rounded(progress.progress(history(spark, sf)))
+
+
+@add("mutation_strategies", _H + ", ms AS (SELECT run, generation, CASE WHEN diversity < 0.3 THEN 'alike' WHEN stale >= 10 THEN 'stuck' ELSE 'usual' END AS mood, rate / 0.15::DOUBLE AS over FROM hh) SELECT run, generation, mood, CASE mood WHEN 'alike' THEN 0.2::DOUBLE WHEN 'stuck' THEN 0.2 ELSE 0.4 END AS segment_replacement, CASE mood WHEN 'alike' THEN 0.3::DOUBLE WHEN 'stuck' THEN 0.2 ELSE 0.3 END AS route_extension, CASE mood WHEN 'alike' THEN 0.1::DOUBLE WHEN 'stuck' THEN 0.3 ELSE 0.2 END AS elevation_bias, CASE mood WHEN 'alike' THEN 0.4::DOUBLE WHEN 'stuck' THEN 0.3 ELSE 0.1 END AS long_range_exploration, CASE WHEN over <= 1 THEN 'low' WHEN over <= 1.5 THEN 'medium' WHEN over <= 2 THEN 'high' ELSE 'extreme' END AS intensity FROM ms")
 def mutation_strategies(spark: SparkSession, sf: str) -> DataFrame:
-    grid = spark.sql("SELECT s AS stale, d / 10 AS diversity, q / 20 AS rate FROM (SELECT explode(sequence(0L, 24L, 4L)) AS s), LATERAL (SELECT explode(sequence(0L, 7L)) AS d), LATERAL (SELECT explode(sequence(1L, 8L)) AS q)")
-    return C.strategies(grid)
+    """The mood of every generation of every history, with its weights."""
+    return C.strategies(full_history(spark, sf)).drop("best", "diversity", "mean", "stale", "rate")
 
 
 @add("search_trends", _H + ", tr AS (SELECT *, row_number() OVER w AS n, lag(best, 4) OVER w AS b4, lag(diversity, 4) OVER w AS d4, avg(diversity) OVER (PARTITION BY run ORDER BY generation ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l FROM hh WINDOW w AS (PARTITION BY run ORDER BY generation)) SELECT run, generation, CASE WHEN n < 5 THEN 'insufficient_data' WHEN best > b4 THEN 'improving' WHEN best < b4 THEN 'declining' ELSE 'stagnant' END AS fitness_trend, CASE WHEN n < 5 THEN 'insufficient_data' WHEN diversity > d4 THEN 'increasing' WHEN diversity < d4 THEN 'decreasing' ELSE 'stable' END AS diversity_trend, n >= 10 AND l < 0.15::DOUBLE AND stale > 20 AND rate >= 0.45::DOUBLE AS restart FROM tr")
@@ -106,11 +113,13 @@ def exploration_targets(spark: SparkSession, sf: str) -> DataFrame:
     return C.exploration(spark.range(50), found.withColumn("place", place.cast("long")))
 
 
-_GRID = "SELECT p AS population, m / 100 AS mutation, c / 20 AS crossover FROM range(25, 226, 25) a(p), range(5, 31, 5) b(m), range(12, 20) d(c)"
+_GRID = "SELECT DISTINCT CAST(l_quantity AS BIGINT) * 5 AS population, l_tax * 2.5::DOUBLE AS mutation, 0.6::DOUBLE + l_discount * 4.0::DOUBLE AS crossover FROM lineitem"
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT p AS population, m / 100 AS mutation, c / 20 AS crossover FROM (SELECT explode(sequence(25L, 225L, 25L)) AS p), LATERAL (SELECT explode(sequence(5L, 30L, 5L)) AS m), LATERAL (SELECT explode(sequence(12L, 19L)) AS c)")
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The settings of parameters that occur, each once: line items stand for settings."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return items.select((F.col("l_quantity").cast("long") * 5).alias("population"), (F.col("l_tax") * 2.5).alias("mutation"), (F.lit(0.6) + F.col("l_discount") * 4.0).alias("crossover")).distinct()
 
 
 _SIM = "CASE WHEN population BETWEEN 50 AND 150 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN mutation BETWEEN 0.1::DOUBLE AND 0.2::DOUBLE THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN crossover BETWEEN 0.7::DOUBLE AND 0.9::DOUBLE THEN 0.4::DOUBLE ELSE 0 END"
@@ -118,7 +127,7 @@ _SIM = "CASE WHEN population BETWEEN 50 AND 150 THEN 0.3::DOUBLE ELSE 0 END + CA
 
 @add("simulated_scores", f"SELECT *, round({_SIM}, 6) AS score FROM ({_GRID})")
 def simulated_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_grid(spark).withColumn("score", C.simulated_score(F.col("population"), F.col("mutation"), F.col("crossover"))))
+    return rounded(_grid(spark, sf).withColumn("score", C.simulated_score(F.col("population"), F.col("mutation"), F.col("crossover"))))
 
 
 @add("evaluated_parameters", f"SELECT *, round(population * mutation + crossover, 6) AS score FROM ({_GRID}) WHERE population * mutation >= 5 AND crossover <= 0.9::DOUBLE AND population <> 75")
@@ -128,12 +137,12 @@ def evaluated_parameters(spark: SparkSession, sf: str) -> DataFrame:
             raise ValueError("not evaluated")
         return p["population"] * p["mutation"] + p["crossover"]
 
-    return rounded(C.evaluated(_grid(spark), score, ["population * mutation >= 5", "crossover <= 0.9"]))
+    return rounded(C.evaluated(_grid(spark, sf), score, ["population * mutation >= 5", "crossover <= 0.9"]))
 
 
 @add("parameter_sweep", f"WITH t AS (SELECT *, {_SIM} AS score FROM ({_GRID})), s AS (SELECT population, avg(score) AS mean, stddev_pop(score) AS spread, count(*) AS trials FROM t GROUP BY population) SELECT population, round(mean, 6) AS mean, round(spread, 6) AS spread, trials, population = (SELECT arg_max(population, (round(mean, 9), -population)) FROM s) AS best FROM s")
 def parameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    trials = _grid(spark).withColumn("score", C.simulated_score(F.col("population"), F.col("mutation"), F.col("crossover")))
+    trials = _grid(spark, sf).withColumn("score", C.simulated_score(F.col("population"), F.col("mutation"), F.col("crossover")))
     return rounded(C.swept(trials.withColumn("score", F.round("score", 9)), "population"))
 
 

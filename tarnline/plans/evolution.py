@@ -26,7 +26,7 @@ pj AS (SELECT *, 0.4::DOUBLE * spatial + 0.3::DOUBLE * elevation + 0.3::DOUBLE *
 
 
 def near(spark: SparkSession, sf: str) -> DataFrame:
-    return P.near_paths(roads.edges(spark, sf), REACH, keeper(spark))
+    return P.near_paths(roads.edges(spark, sf), REACH, keeper(spark), nodes=roads.nodes(spark, sf))
 
 
 def population(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,10 +68,12 @@ def diversity_history(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.diversity_history(S.pairs(population(spark, sf))))
 
 
-@add("diversity_thresholds", "SELECT g AS generation, b / 10 AS base, round(CASE WHEN g < 10 THEN b / 10 * (1.5::DOUBLE - g / 20) WHEN g > 50 THEN b / 10 * greatest(0.5::DOUBLE, 1 - (g - 50) / 100) ELSE b / 10 END, 6) AS threshold FROM range(0, 130) a(g), range(1, 6) c(b)")
+@add("diversity_thresholds", PT + ", dt AS (SELECT route_id AS run, ord AS generation, abs(grade) / 100 AS base FROM pt) SELECT run, generation, round(base, 6) AS base, round(CASE WHEN generation < 10 THEN base * (1.5::DOUBLE - generation / 20) WHEN generation > 50 THEN base * greatest(0.5::DOUBLE, 1 - (generation - 50) / 100) ELSE base END, 6) AS threshold FROM dt")
 def diversity_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    grid = spark.range(130).withColumnRenamed("id", "generation").withColumn("base", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda b: b / 10)))
-    return grid.withColumn("threshold", F.round(S.threshold(F.col("base"), F.col("generation")), 6))
+    """The threshold in force in every generation of every history, from its diversity."""
+    base = F.abs("grade") / 100
+    own = roads.points(spark, sf).select(F.col("route_id").alias("run"), F.col("ord").alias("generation"), base.alias("base"))
+    return rounded(own.withColumn("threshold", S.threshold(F.col("base"), F.col("generation"))))
 
 
 @add("elite", POP + ", el AS (SELECT gen, route_id, fitness, row_number() OVER (PARTITION BY gen ORDER BY fitness DESC, route_id) AS rank FROM po) SELECT gen, route_id, round(fitness, 6) AS fitness, rank FROM el WHERE rank <= 5")

@@ -119,9 +119,12 @@ def route_results(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(SG.results(SG.route_totals(own), scored, "elevation"))
 
 
-@add("fitness_weights", "SELECT * FROM (VALUES ('distance', 0.6::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE), ('elevation', 0.15, 0.4, 0.2, 0.1, 0.15), ('balanced', 0.25, 0.25, 0.2, 0.2, 0.1), ('scenic', 0.1, 0.3, 0.15, 0.25, 0.2), ('efficiency', 0.5, 0.2, 0.2, 0.1, 0.0)) w(objective, w_distance, w_elevation, w_connectivity, w_diversity, w_micro)")
+@add("fitness_weights", "SELECT event_id AS id, w.* FROM events JOIN (VALUES ('distance', 0.6::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE), ('elevation', 0.15, 0.4, 0.2, 0.1, 0.15), ('balanced', 0.25, 0.25, 0.2, 0.2, 0.1), ('scenic', 0.1, 0.3, 0.15, 0.25, 0.2), ('efficiency', 0.5, 0.2, 0.2, 0.1, 0.0)) w(objective, w_distance, w_elevation, w_connectivity, w_diversity, w_micro) ON objective = ['distance', 'elevation', 'balanced', 'scenic', 'efficiency'][1 + event_id % 5]")
 def fitness_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return FT.weights(spark)
+    """The weights of every request; events stand for requests."""
+    kind = F.element_at(F.array(*map(F.lit, ("distance", "elevation", "balanced", "scenic", "efficiency"))), (F.col("event_id") % 5 + 1).cast("int"))
+    asked = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), kind.alias("objective"))
+    return asked.join(F.broadcast(FT.weights(spark)), "objective")  # five rows
 
 
 @add("connectivity_score", PROPS + f", {CONN} SELECT route_id, round(connectivity_score, 6) AS connectivity_score FROM cs")
@@ -161,7 +164,7 @@ def fitness(spark: SparkSession, sf: str) -> DataFrame:
 _FAR = "(PARTITION BY route_id ORDER BY ord"
 
 
-@add("fitness_history", PT + f", h AS (SELECT route_id, ord, greatest(0, least(1, (elevation - 500) / 1000)) AS fitness FROM pt), s AS (SELECT *, count(*) OVER {_FAR}) AS n, avg(fitness) OVER {_FAR}) AS mean, min(fitness) OVER {_FAR}) AS least, stddev_pop(fitness) OVER {_FAR}) AS spread, avg(fitness) OVER {_FAR} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l, avg(fitness) OVER {_FAR} ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b FROM h), i AS (SELECT *, CASE WHEN n < 10 THEN 0 WHEN n < 20 THEN l ELSE l - b END AS improvement FROM s) SELECT route_id, ord, {r('mean least spread improvement')}, n >= 10 AND abs(improvement) < 0.001 AS plateau FROM i")
+@add("fitness_history", PT + f", h AS (SELECT route_id, ord, CAST(round(greatest(0, least(1, (elevation - 500) / 1000)) * 100000) AS BIGINT) AS v FROM pt), s AS (SELECT *, count(*) OVER {_FAR}) AS n, sum(v) OVER {_FAR}) AS t, min(v) OVER {_FAR}) AS lo, sum(v * v) OVER {_FAR}) AS q, sum(v) OVER {_FAR} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l, sum(v) OVER {_FAR} ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b FROM h), i AS (SELECT route_id, ord, n, t::DOUBLE / (n * 100000) AS mean, lo / 100000 AS least, sqrt((n * q - t * t)::DOUBLE) / (n * 100000) AS spread, CASE WHEN n < 10 THEN 0 WHEN n < 20 THEN l::DOUBLE / 1000000 ELSE (l - b)::DOUBLE / 1000000 END AS improvement FROM s) SELECT route_id, ord, {r('mean least spread improvement')}, n >= 10 AND abs(improvement) < 0.001 AS plateau FROM i")
 def fitness_history(spark: SparkSession, sf: str) -> DataFrame:
     series = roads.points(spark, sf).select("route_id", "ord", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("elevation") - 500) / 1000)).alias("fitness"))
     return rounded(FT.history_stats(series))

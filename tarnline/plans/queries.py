@@ -16,17 +16,22 @@ from tarnline.sources import roads
 LAT, LON, TARGET_KM, START, CUTOFF = 46.2340, 7.4000, 7.0, 110, 8000.0
 
 
-def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes frames to the cluster's shared folder and reads them back. A session on one machine (tests) that names none gets a folder of its own; a cluster that names none raises."""
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new name in the cluster's shared folder. A session on one machine (tests) that names none gets a folder of its own; a cluster that names none raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnline-")
         spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes frames to the cluster's shared folder and reads them back."""
 
     def keep(df: DataFrame) -> DataFrame:
-        path = f"{base}/paths-{uuid.uuid4().hex}"
+        path = shared_folder(spark, "paths")
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
@@ -216,12 +221,12 @@ _SSSP = NET.replace("WITH ", "WITH RECURSIVE ", 1).replace("edge AS (", "edge AS
 
 @add("shortest_distances", _SSSP + " SELECT node_id, round(dist, 3) AS dist FROM sd")
 def shortest_distances(spark: SparkSession, sf: str) -> DataFrame:
-    return N.shortest_distances(roads.edges(spark, sf), START, CUTOFF, keeper(spark)).select("node_id", F.round("dist", 3).alias("dist"))
+    return N.shortest_distances(roads.edges(spark, sf), START, CUTOFF, keeper(spark), roads.nodes(spark, sf)).select("node_id", F.round("dist", 3).alias("dist"))
 
 
 @add("distance_band", _SSSP + " SELECT node_id, round(dist, 3) AS dist FROM sd WHERE dist BETWEEN 700 AND 1300 ORDER BY abs(dist - 1000), node_id LIMIT 20")
 def distance_band(spark: SparkSession, sf: str) -> DataFrame:
-    found = N.shortest_distances(roads.edges(spark, sf), START, CUTOFF, keeper(spark))
+    found = N.shortest_distances(roads.edges(spark, sf), START, CUTOFF, keeper(spark), roads.nodes(spark, sf))
     return N.distance_band(found, 1000.0).select("node_id", F.round("dist", 3).alias("dist"))
 
 
@@ -231,10 +236,11 @@ def node_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return own.groupBy(F.col("u").alias("node_id")).agg(F.count(F.lit(1)).alias("neighbor_count"), F.array_join(F.slice(F.array_sort(F.collect_list("v")), 1, 10).cast("array<string>"), ",").alias("neighbors"), F.round(F.max(F.abs("elevation_gain")), 6).alias("max_step"))
 
 
-@add("param_grid", "SELECT CAST(p AS INT) AS population, g / 10 AS crossover, m / 100 AS mutation FROM range(50, 201, 50) a(p), range(6, 10) b(g), range(5, 21, 5) c(m) WHERE p * (m / 100) >= 5")
+@add("param_grid", "SELECT DISTINCT CAST(l_quantity AS BIGINT) * 5 AS population, l_tax * 2.5::DOUBLE AS mutation FROM lineitem WHERE CAST(l_quantity AS BIGINT) * 5 * (l_tax * 2.5::DOUBLE) >= 5 AND l_discount <= 0.08")
 def param_grid(spark: SparkSession, sf: str) -> DataFrame:
-    grid = spark.range(1).select(F.explode(F.sequence(F.lit(50), F.lit(200), F.lit(50))).alias("population")).withColumn("crossover", F.explode(F.transform(F.sequence(F.lit(6), F.lit(9)), lambda i: i / 10))).withColumn("mutation", F.explode(F.transform(F.sequence(F.lit(5), F.lit(20), F.lit(5)), lambda i: i / 100)))
-    return grid.filter(F.col("population") * F.col("mutation") >= 5)
+    """Settings of two parameters that occur and meet the constraints; line items stand for settings."""
+    population, mutation = F.col("l_quantity").cast("long") * 5, F.col("l_tax") * 2.5
+    return spark.read.parquet(f"{sf}/lineitem.parquet").filter((population * mutation >= 5) & (F.col("l_discount") <= 0.08)).select(population.alias("population"), mutation.alias("mutation")).distinct()
 
 
 @add("route_gpx")

@@ -11,6 +11,7 @@ from tarnline.operators import paths as P
 from tarnline.operators import search as S
 from tarnline.operators import tuning as T
 from tarnline.operators.fitness import WEIGHTS
+from tarnline.plans.control import _H, full_history
 from tarnline.plans.queries import _SSSP, CUTOFF, LAT, LON, NET, NODE, PT, ROUTE, START, add, keeper
 from tarnline.sources import roads
 from tarnline.streaming import activity
@@ -20,7 +21,7 @@ TARGET_M, BEST = 5000.0, 30
 
 @add("shortest_paths", _SSSP + ", p AS (SELECT * FROM sd) SELECT node_id, round(dist, 3) AS dist, 110::BIGINT AS first_node, node_id AS last_node FROM p")
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.shortest_paths(roads.edges(spark, sf), START, CUTOFF, keeper(spark))
+    found = S.shortest_paths(roads.edges(spark, sf), START, CUTOFF, keeper(spark), roads.nodes(spark, sf))
     return found.select("node_id", F.round("dist", 3).alias("dist"), F.col("path")[0].alias("first_node"), F.element_at("path", -1).alias("last_node"))
 
 
@@ -28,14 +29,14 @@ def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
 def k_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The thirty shortest paths from the start to each of five destinations drawn from those within 1.5 km; tested against brute force."""
     keep, edges = keeper(spark), roads.edges(spark, sf)
-    drawn = N.shortest_distances(edges, START, 1500.0, keep).filter(F.col("node_id") != START).orderBy((F.col("node_id") * 7919) % 10007).limit(5)
+    drawn = N.shortest_distances(edges, START, 1500.0, keep, roads.nodes(spark, sf)).filter(F.col("node_id") != START).orderBy((F.col("node_id") * 7919) % 10007).limit(5)
     found = P.k_shortest_pairs(edges, drawn.select(F.lit(START).alias("src"), F.col("node_id").alias("dst")), BEST, keep)
     return found.select("src", "dst", "rank", F.round("length", 3).alias("length"), F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
 
 
 @add("out_and_back", _SSSP + ", near AS (SELECT * FROM sd WHERE dist BETWEEN 1575 AND 2925 ORDER BY abs(dist - 2250), node_id LIMIT 5) SELECT node_id, round(2 * dist, 3) AS total_m FROM near WHERE 2 * dist BETWEEN 4250 AND 5750 ORDER BY abs(dist - 2250), node_id LIMIT 1")
 def out_and_back(spark: SparkSession, sf: str) -> DataFrame:
-    paths = S.shortest_paths(roads.edges(spark, sf), START, CUTOFF, keeper(spark))
+    paths = S.shortest_paths(roads.edges(spark, sf), START, CUTOFF, keeper(spark), roads.nodes(spark, sf))
     return S.out_and_back(paths, TARGET_M).select("node_id", F.round("total_m", 3).alias("total_m"))
 
 
@@ -78,10 +79,34 @@ def loop_removal(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("route_id", F.size("nodes").cast("long").alias("n"), F.md5(F.array_join(F.col("nodes").cast("array<string>"), ",").cast("binary")).alias("digest"))
 
 
-@add("adaptive_rates", "SELECT d / 20 AS diversity, s AS stale, g AS generation, round(greatest(0.05, least(0.5, 0.15::DOUBLE * CASE WHEN s >= 10 THEN least(1.5::DOUBLE, 1 + (s - 10) * 0.1::DOUBLE) ELSE 1 END * CASE WHEN d / 20 < 0.3::DOUBLE THEN 1 + (0.3::DOUBLE - d / 20) * 1.8::DOUBLE ELSE 1 END * CASE WHEN s >= 10 AND d / 20 < 0.3::DOUBLE THEN 2 ELSE 1 END * pow(0.95::DOUBLE, g))), 6) AS rate FROM range(0, 20, 3) a(d), range(0, 31, 5) b(s), range(0, 50, 10) c(g)")
+@add("adaptive_rates", _H + ", ar AS (SELECT run, generation, 0.15::DOUBLE * CASE WHEN stale >= 10 THEN least(1.5::DOUBLE, 1 + (stale - 10) * 0.1::DOUBLE) ELSE 1 END * CASE WHEN diversity < 0.3::DOUBLE THEN 1 + (0.3::DOUBLE - diversity) * 1.8::DOUBLE ELSE 1 END * CASE WHEN stale >= 10 AND diversity < 0.3::DOUBLE THEN 2 ELSE 1 END * pow(0.95::DOUBLE, generation) AS rate FROM hh) SELECT run, generation, round(greatest(0.05, least(0.5, rate)), 6) AS rate FROM ar")
 def adaptive_rates(spark: SparkSession, sf: str) -> DataFrame:
-    grid = spark.sql("SELECT d / 20 AS diversity, s AS stale, g AS generation FROM (SELECT explode(sequence(0L, 18L, 3L)) AS d), LATERAL (SELECT explode(sequence(0L, 30L, 5L)) AS s), LATERAL (SELECT explode(sequence(0L, 40L, 10L)) AS g)")
-    return grid.withColumn("rate", F.round(T.adaptive_rate(F.col("diversity"), F.col("stale"), F.pow(F.lit(0.95), F.col("generation"))), 6))
+    """The mutation rate after every generation of every history."""
+    own = full_history(spark, sf)
+    return own.select("run", "generation", F.round(T.adaptive_rate(F.col("diversity"), F.col("stale"), F.pow(F.lit(0.95), F.col("generation"))), 6).alias("rate"))
+
+
+_SIZES = "CASE WHEN km < 3 THEN 50 WHEN km > 20 THEN 33 WHEN km > 8 THEN 150 ELSE 100 END"
+
+
+@add("adapted_sizes", PT + f", az AS (SELECT route_id, max(cum_m) / 1000 AS km FROM pt GROUP BY route_id), ap AS (SELECT route_id, {_SIZES} AS population, CASE WHEN km < 3 THEN 100 WHEN km > 20 THEN 100 WHEN km > 8 THEN 300 ELSE 200 END AS generations FROM az) SELECT *, greatest(5, population // 10) AS elite, greatest(3, population // 20) AS tournament FROM ap")
+def adapted_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of a search for the length of every route."""
+    km = roads.points(spark, sf).groupBy("route_id").agg((F.max("cum_m") / 1000).alias("km"))
+    return km.select("route_id", *T.sizes_for(F.col("km")))
+
+
+@add("random_trials", "WITH rg AS (SELECT CAST(min(l_quantity) AS BIGINT) AS pl, CAST(max(l_quantity) AS BIGINT) AS ph, min(l_discount) AS cl, max(l_discount) AS ch FROM lineitem), kd AS (SELECT list(event_type ORDER BY event_type) AS kinds FROM (SELECT DISTINCT event_type FROM events)), dr AS (SELECT s_suppkey AS id, (s_suppkey * 7919 + 104729 * 0) % 10007 / 10007.0::DOUBLE AS a, (s_suppkey * 7919 + 104729 * 1) % 10007 / 10007.0::DOUBLE AS b, (s_suppkey * 7919 + 104729 * 2) % 10007 / 10007.0::DOUBLE AS c FROM supplier), tl AS (SELECT id, pl + CAST(floor(a * (ph - pl + 1)) AS BIGINT) AS population, round(cl + b * (ch - cl), 9) AS crossover, kinds[1 + CAST(floor(c * len(kinds)) AS INT)] AS kind FROM dr, rg, kd) SELECT *, population * (1 - crossover) >= 10 AS meets FROM tl")
+def random_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """A trial drawn for every supplier: a whole number, a number and a value from a list, from the ranges that occur; and whether it meets the constraint."""
+    items, events = spark.read.parquet(f"{sf}/lineitem.parquet"), spark.read.parquet(f"{sf}/events.parquet")
+    ranges = items.agg(F.struct(F.min("l_quantity").cast("long").alias("low"), F.max("l_quantity").cast("long").alias("high")).alias("population"), F.struct(F.min("l_discount").alias("low"), F.max("l_discount").alias("high")).alias("crossover"))
+    kinds = events.agg(F.array_sort(F.collect_set("event_type")).alias("kind"))
+    share = lambda k: (F.col("id") * 7919 + 104729 * k) % 10007 / 10007.0
+    ids = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("id"))
+    met = ids.crossJoin(F.broadcast(ranges)).crossJoin(F.broadcast(kinds))  # one row each
+    out = met.select("id", T.sampled(F.col("population"), share(0), "whole").alias("population"), F.round(T.sampled(F.col("crossover"), share(1), "number"), 9).alias("crossover"), T.sampled(F.col("kind"), share(2), "list").alias("kind"))
+    return out.withColumn("meets", F.expr("population * (1 - crossover) >= 10"))
 
 
 @add("population_stats", PT + ", k AS (SELECT route_id % 5 AS gen, route_id, max(cum_m) / 1000 AS km FROM pt GROUP BY route_id) SELECT gen, count(*) AS n, round(max(km), 6) AS best, round(avg(km), 6) AS mean, round(min(km), 6) AS worst, round(stddev_pop(km) / greatest(avg(km), 1), 6) AS diversity FROM k GROUP BY gen")

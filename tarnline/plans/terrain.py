@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnline.functions import projection
+from tarnline.functions.geo import haversine
+from tarnline.operators import blocks as B
+from tarnline.operators import contraction as T
+from tarnline.operators import distance_index as D
 from tarnline.operators import elevation as E
+from tarnline.operators import heights as H
+from tarnline.operators import nearest as Q
 from tarnline.operators import network as N
 from tarnline.operators import paths as P
-from tarnline.plans.evolution import NEAR, RNET, near
+from tarnline.plans.evolution import HOP, NEAR, RNET, near
 from tarnline.plans.population import WALK, r, rounded
-from tarnline.plans.queries import _DEG, _ELEV, ALL, LAT, LON, NET, NODE, ROUTE, START, add, hav, keeper
+from tarnline.plans.queries import _DEG, _ELEV, ALL, LAT, LON, NET, NODE, ROUTE, START, add, hav, keeper, shared_folder
 from tarnline.sources import catalog as K
-from tarnline.sources import osm, roads
+from tarnline.sources import clustered, osm, rasters, roads
 
 NOW = "2024-03-01 00:00:00"
 
@@ -47,6 +54,59 @@ def raster_samples(spark: SparkSession, sf: str) -> DataFrame:
     return sampled(spark, sf)
 
 
+def _files(spark: SparkSession, sf: str) -> str:
+    """The tiles as files, packed in turns by LZW with a floating-point predictor, by deflate with a horizontal one, and not at all."""
+    folder = shared_folder(spark, "rasters")
+    rasters.write_tiles(tiles(spark, sf), pixels(spark, sf), folder).count()
+    return folder
+
+
+@add("block_samples", RASTER + " SELECT node_id, tile_id, value FROM (SELECT node_id, tile.tile_id, floor((north - y) / res)::BIGINT AS row, floor((x - west) / res)::BIGINT AS col, node.x, node.y FROM node JOIN tile ON x BETWEEN west AND east AND y BETWEEN south AND north) p JOIN sm USING (node_id, tile_id) WHERE row BETWEEN 0 AND 19 AND col BETWEEN 0 AND 19")
+def block_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Heights of nodes from files, of which only the blocks under a node are decoded."""
+    index = keeper(spark)(rasters.block_index(spark, _files(spark, sf)))
+    box = index.select("tile_id", "west", "south", "east", "north", "res").distinct()
+    met = E.covering(roads.nodes(spark, sf).select("node_id", "x", "y"), tiles(spark, sf).select("tile_id", "west", "south", "east", "north", "res").join(box.select("tile_id"), "tile_id"))
+    places = met.select("node_id", "tile_id", F.floor((F.col("north") - F.col("y")) / F.col("res")).alias("row"), F.floor((F.col("x") - F.col("west")) / F.col("res")).alias("col"))
+    return rasters.sample_blocks(places, index).select("node_id", "tile_id", "value")
+
+
+@add("raster_box", RASTER + ", pb AS (SELECT tile_id, west + (col + 0.5::DOUBLE) * res AS px, north - (row + 0.5::DOUBLE) * res AS py, value FROM pixel JOIN tile USING (tile_id) WHERE value <> nodata) SELECT tile_id, count(*) AS n, sum(value) AS total FROM pb WHERE px BETWEEN 7.3951 AND 7.4036 AND py BETWEEN 46.2311 AND 46.2361 GROUP BY tile_id")
+def raster_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of files in a box, by tile, through the data source."""
+    rasters.register(spark)
+    found = spark.read.format("raster_pixels").load(_files(spark, sf)).filter("x between 7.3951 and 7.4036 and y between 46.2311 and 46.2361")
+    return found.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def projected_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of a kilometre in zone 32 of the north over the nodes, with gaps."""
+    x, y = projection.forward(F.col("x"), F.col("y"), F.lit(32632))
+    cell = roads.nodes(spark, sf).select(F.floor(x / 1000).alias("i"), F.floor(y / 1000).alias("j")).distinct().filter("(i + j) % 4 <> 3")
+    side = lambda c, k: ((F.col(c) + k) * 1000).cast("double")
+    return cell.select(F.format_string("u_%d_%d", "i", "j").alias("tile_id"), F.lit(50.0).alias("res"), side("i", 0).alias("west"), side("j", 0).alias("south"), side("i", 1).alias("east"), side("j", 1).alias("north"), F.lit(-9999.0).alias("nodata"), F.lit(32632).alias("epsg"), "i", "j")
+
+
+def projected_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))
+    rows = projected_tiles(spark, sf).select("tile_id", "i", "j", F.explode(n).alias("row")).withColumn("col", F.explode(n))
+    value = F.when((F.col("row") * 20 + F.col("col") + F.col("i")) % 11 == 0, -9999.0).otherwise(580.0 + (F.col("i") * 7 + F.col("j") * 13 + F.col("row") * 3 + F.col("col") * 5) % 97)
+    return rows.select("tile_id", "row", "col", value.alias("value"))
+
+
+_TERMS = lambda wave, hyper: " + ".join(f"{a!r}::DOUBLE * {wave}({2 * j} * xi) * {hyper}({2 * j} * eta)" for j, a in enumerate(projection.TO_PLANE, 1))
+_UTM = f"""t1 AS (SELECT node_id, radians(x - 9.0::DOUBLE) AS l, tan(radians(y)) AS t FROM node),
+t2 AS (SELECT *, sqrt(1 + t * t) AS q, sinh({projection.ECC!r}::DOUBLE * atanh({projection.ECC!r}::DOUBLE * t / sqrt(1 + t * t))) AS s FROM t1),
+t3 AS (SELECT *, t * sqrt(1 + s * s) - s * q AS c FROM t2), t4 AS (SELECT node_id, atan2(c, cos(l)) AS xi, asinh(sin(l) / sqrt(c * c + cos(l) * cos(l))) AS eta FROM t3),
+utm AS MATERIALIZED (SELECT node_id, 500000.0::DOUBLE + {projection.K0 * projection.RADIUS!r}::DOUBLE * (eta + {_TERMS("cos", "sinh")}) AS px, {projection.K0 * projection.RADIUS!r}::DOUBLE * (xi + {_TERMS("sin", "cosh")}) AS py FROM t4)"""
+
+
+@add("projected_samples", f"WITH {NODE}, {_UTM}, pt AS (SELECT DISTINCT floor(px / 1000)::BIGINT AS i, floor(py / 1000)::BIGINT AS j FROM utm), ps AS (SELECT node_id, px, py, i, j, floor(((j + 1) * 1000 - py) / 50)::BIGINT AS row, floor((px - i * 1000) / 50)::BIGINT AS col FROM utm JOIN pt ON px BETWEEN i * 1000 AND (i + 1) * 1000 AND py BETWEEN j * 1000 AND (j + 1) * 1000 WHERE (i + j) % 4 <> 3) SELECT node_id, printf('u_%d_%d', i, j) AS tile_id, CASE WHEN (row * 20 + col + i) % 11 <> 0 AND row < 20 AND col < 20 THEN 580.0::DOUBLE + (i * 7 + j * 13 + row * 3 + col * 5) % 97 END AS value, round(px, 3) AS px, round(py, 3) AS py FROM ps")
+def projected_samples(spark: SparkSession, sf: str) -> DataFrame:
+    found = E.samples_projected(roads.nodes(spark, sf), projected_tiles(spark, sf), projected_pixels(spark, sf))
+    return rounded(found.select("node_id", "tile_id", "value", "px", "py"), 3)
+
+
 @add("elevation_first_tile", RASTER + " SELECT node_id, min_by(coalesce(value::VARCHAR, 'none'), tile_id) AS elevation, min(tile_id) AS tile_id FROM sm GROUP BY node_id")
 def elevation_first_tile(spark: SparkSession, sf: str) -> DataFrame:
     found = E.first_tile(sampled(spark, sf))
@@ -209,9 +269,12 @@ def hit_rates(spark: SparkSession, sf: str) -> DataFrame:
 _PRESET = "(VALUES ('standard', 100, 200, 0.8::DOUBLE, 0.1::DOUBLE, 2, 'elevation'), ('fast', 50, 100, 0.9, 0.15, 1, 'elevation'), ('thorough', 200, 500, 0.7, 0.05, 5, 'elevation'), ('distance_focused', 100, 150, 0.85, 0.08, 3, 'distance'), ('balanced', 150, 300, 0.75, 0.12, 4, 'balanced')) p(name, population, generations, crossover, mutation, elite, objective)"
 
 
-@add("search_presets", f"SELECT *, true AS valid FROM {_PRESET}")
+@add("search_presets", f"SELECT event_id AS id, p.*, true AS valid FROM events JOIN {_PRESET} ON p.name = coalesce(['standard', 'fast', 'thorough', 'distance_focused', 'balanced'][1 + event_id % 7], 'standard')")
 def search_presets(spark: SparkSession, sf: str) -> DataFrame:
-    return K.valid_config(K.presets(spark))
+    """The configuration that every request names, or the standard one; events stand for requests."""
+    asked = F.get(F.array(*map(F.lit, K.PRESETS)), (F.col("event_id") % 7).cast("int"))
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), F.coalesce(asked, F.lit("standard")).alias("name"))
+    return K.valid_config(rows.join(F.broadcast(K.presets(spark)), "name"))  # five rows
 
 
 @add("configs_with_defaults", "SELECT 'c' || event_id AS name, CAST(CASE WHEN event_id % 2 = 0 THEN event_id % 300 ELSE 100 END AS INT) AS population, 200 AS generations, CASE WHEN event_id % 3 = 0 THEN value ELSE 0.8::DOUBLE END AS crossover, 0.1::DOUBLE AS mutation, 2 AS elite, CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'elevation' END AS objective, (event_id % 2 = 1 OR event_id % 300 > 2) AND (event_id % 3 > 0 OR value BETWEEN 0 AND 1) AS valid FROM events WHERE event_id % 7 <> 6")
@@ -306,6 +369,49 @@ def simplified_edges(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(N.simplified(ladder, keeper(spark)), 3)
 
 
+_LADDER = "le AS (SELECT u, v, length, {air} AS air FROM edge JOIN node a ON a.node_id = u JOIN node b ON b.node_id = v WHERE abs(u - v) = 1 OR u % 20 = 0 OR u % 20 = 19)".format(air=hav("a.y", "a.x", "b.y", "b.x"))
+
+
+@add("contracted_edges", NET.replace("WITH ", "WITH RECURSIVE ", 1) + f', {_LADDER}, md AS (SELECT u AS node_id FROM le GROUP BY u HAVING count(*) = 2), ch AS (SELECT u, v, u AS before, length, air, 0 AS "inner", [u, v] AS way FROM le WHERE u NOT IN (FROM md) UNION ALL SELECT ch.u, le.v, ch.v, ch.length + le.length, ch.air + le.air, ch."inner" + 1, list_append(way, le.v) FROM ch JOIN md ON md.node_id = ch.v JOIN le ON le.u = ch.v AND le.v <> ch.before) SELECT u, v, round(min(ch.length), 3) AS length, arg_min("inner", ch.length) AS "inner", CAST(len(arg_min(way, ch.length)) AS BIGINT) AS points, round(arg_min(air, ch.length), 3) AS air FROM ch WHERE v NOT IN (FROM md) GROUP BY u, v')
+def contracted_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains made one edge, with their points: how many, and the metres along them."""
+    ladder = roads.edges(spark, sf).filter("abs(u - v) = 1 or u % 20 = 0 or u % 20 = 19")
+    found = T.simplified(roads.nodes(spark, sf), ladder, keeper(spark))
+    g = F.col("geometry")
+    steps = F.zip_with(F.slice(g, F.lit(1), F.size(g) - 1), F.slice(g, F.lit(2), F.size(g) - 1), lambda a, b: haversine(a["y"], a["x"], b["y"], b["x"]))
+    return rounded(found.select("u", "v", "length", "inner", F.size(g).cast("long").alias("points"), F.aggregate(steps, F.lit(0.0), lambda a, x: a + x).alias("air")), 3)
+
+
+_REBUILT = f"""WITH {NODE}, {EDGE}, {_CLOSE}, cl AS (SELECT node_id, x, y, min(node_id) OVER w AS cluster, avg(x) OVER w AS cx, avg(y) OVER w AS cy, count(*) OVER w AS n FROM cn WINDOW w AS (PARTITION BY node_id // 2)),
+cm AS (SELECT *, CASE WHEN n > 1 THEN {hav("y", "x", "cy", "cx")} ELSE 0 END AS m FROM cl),
+tg AS (SELECT u, v, length, highway, CASE (u + v) % 5 WHEN 0 THEN 50 WHEN 1 THEN 30 * 1.609344::DOUBLE WHEN 2 THEN 50 END AS kph FROM edge),
+sp AS (SELECT *, coalesce(kph, avg(kph) OVER (PARTITION BY highway), avg(kph) OVER (), 50) AS speed FROM tg),
+mv AS (SELECT a.cluster AS u, b.cluster AS v, length + a.m + b.m AS length, speed, highway, a.cx, a.cy, b.cx AS bx, b.cy AS by_, 2 + (a.m > 0)::INT + (b.m > 0)::INT AS points FROM sp JOIN cm a ON a.node_id = sp.u JOIN cm b ON b.node_id = sp.v WHERE a.cluster <> b.cluster)"""
+
+
+def _rebuilt(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    u, v = F.col("u"), F.col("v")
+    kind = (u + v) % 5
+    tagged = roads.edges(spark, sf).select("u", "v", "length", "highway", F.when(kind == 0, "50").when(kind == 1, "30 mph").when(kind == 2, "40|60").when(kind == 3, "signals").alias("maxspeed"))
+    # each street is one row, as in a map; for_routing makes both ways of it
+    return T.for_routing(_drawn_together(spark, sf).drop("highway"), tagged.filter("u < v"), keeper(spark))
+
+
+@add("rebuilt_nodes", f"WITH {NODE}, {_CLOSE}, el AS (SELECT cn.*, elevation FROM cn JOIN node USING (node_id)) SELECT min(node_id) AS node_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(elevation), 6) AS elevation, string_agg(node_id, ',' ORDER BY node_id) AS members, count(*) AS n FROM el GROUP BY node_id // 2")
+def rebuilt_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    found = _rebuilt(spark, sf)[0]
+    return rounded(found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ",")))
+
+
+_BEARING = "(degrees(atan2(sin(radians(bx - cx)) * cos(radians(by_)), cos(radians(cy)) * sin(radians(by_)) - sin(radians(cy)) * cos(radians(by_)) * cos(radians(bx - cx)))) + 360) % 360"
+
+
+@add("rebuilt_edges", _REBUILT + f" SELECT u, v, round(min(length), 3) AS length, round(arg_min(speed, length), 3) AS speed_kph, round(min(length) / (arg_min(speed, length) / 3.6), 3) AS travel_time, round(any_value({_BEARING}), 3) AS bearing, CAST(arg_min(points, length) AS BIGINT) AS points, count(*) AS merged FROM mv GROUP BY u, v")
+def rebuilt_edges(spark: SparkSession, sf: str) -> DataFrame:
+    found = _rebuilt(spark, sf)[1]
+    return rounded(found.select("u", "v", "length", "speed_kph", "travel_time", "bearing", F.size("geometry").cast("long").alias("points"), "merged"), 3)
+
+
 @add("valid_network", NET + " SELECT (SELECT count(*) FROM node) AS n_nodes, (SELECT count(*) FROM node WHERE node_id % 50 = 0) AS bad_nodes, (SELECT count(*) FROM edge) AS n_edges, 0 AS bad_edges, false AS valid")
 def valid_network(spark: SparkSession, sf: str) -> DataFrame:
     own = roads.nodes(spark, sf).withColumn("elevation", F.when(F.col("node_id") % 50 != 0, F.col("elevation")))
@@ -351,6 +457,39 @@ def pair_distances(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.pair_distances(pairs, near(spark, sf), own, edges))
 
 
+_STARTS = NET.replace("WITH ", "WITH RECURSIVE ", 1) + f", {HOP}, {ROUTE}, st AS MATERIALIZED (SELECT DISTINCT node_id FROM route WHERE ord = 1)"
+
+
+def _starts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of routes with the first node of their route (src, dst, ord), and the distinct first nodes."""
+    from pyspark.sql import Window
+
+    way = roads.routes(spark, sf)
+    own = way.select(F.first("node_id").over(Window.partitionBy("route_id").orderBy("ord")).alias("src"), F.col("node_id").alias("dst"), "route_id", "ord")
+    return own, way.filter("ord = 1").select("node_id").distinct()
+
+
+@add("any_pair_distances", _STARTS + ", ap(src, node_id, dist) USING KEY (src, node_id) AS (SELECT node_id, node_id, 0.0::DOUBLE FROM st UNION (SELECT p.src, e.v, min(p.dist + e.length) FROM ap p JOIN hop e ON e.u = p.node_id LEFT JOIN recurring.ap k ON k.src = p.src AND k.node_id = e.v WHERE p.dist + e.length < coalesce(k.dist, 1e18) GROUP BY p.src, e.v)), fs AS (SELECT route_id, node_id AS src FROM route WHERE ord = 1), pq AS (SELECT DISTINCT src, node_id AS dst FROM route JOIN fs USING (route_id)) SELECT pq.src, dst, round(dist, 6) AS dist FROM pq LEFT JOIN ap ON ap.src = pq.src AND ap.node_id = dst")
+def any_pair_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """The network distance from the first node of every route to each of its nodes, however far, from the distance index."""
+    keep = keeper(spark)
+    index = D.build(roads.nodes(spark, sf), roads.edges(spark, sf), keep)
+    return rounded(D.distances(index, _starts(spark, sf)[0], keep))
+
+
+@add("traced_paths", _STARTS + f", tp(src, node_id, dist, path) USING KEY (src, node_id) AS (SELECT node_id, node_id, 0.0::DOUBLE, [node_id] FROM st UNION (SELECT p.src, e.v, min(p.dist + e.length), arg_min(list_append(p.path, e.v), p.dist + e.length) FROM tp p JOIN hop e ON e.u = p.node_id LEFT JOIN recurring.tp k ON k.src = p.src AND k.node_id = e.v WHERE p.dist + e.length <= {CUTOFF} AND p.dist + e.length < coalesce(k.dist, 1e18) GROUP BY p.src, e.v)), en AS (SELECT DISTINCT arg_min(node_id, ord) AS src, arg_max(node_id, ord) AS dst FROM route GROUP BY route_id) SELECT en.src, dst, round(dist, 6) AS dist, len(path) AS n, md5(array_to_string(path, ',')) AS digest FROM en JOIN tp ON tp.src = en.src AND tp.node_id = dst")
+def traced_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The shortest way from the first to the last node of every route, if it is within the cutoff: parents of all nodes reached from the first nodes, then pointers."""
+    keep = keeper(spark)
+    own, first = _starts(spark, sf)
+    found = keep(B.reached(roads.edges(spark, sf), CUTOFF, keep, roads.nodes(spark, sf), first))
+    ends = own.groupBy("route_id").agg(F.first("src").alias("src"), F.max_by("dst", "ord").alias("dst")).select("src", "dst").distinct()
+    path = B.traced(found, ends, keep).groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("i", "node_id"))).alias("p"))
+    ids = F.transform("p", lambda x: x["node_id"].cast("string"))
+    out = path.join(found.select("src", F.col("node_id").alias("dst"), "dist"), ["src", "dst"])
+    return rounded(out.select("src", "dst", "dist", F.size("p").cast("long").alias("n"), F.md5(F.array_join(ids, ",").cast("binary")).alias("digest")))
+
+
 _DETAIL = f"{_WAYS}, wy AS (SELECT route_id, ord, node_id AS src, coalesce(lead(node_id) OVER (PARTITION BY route_id ORDER BY ord), first_value(node_id) OVER (PARTITION BY route_id ORDER BY ord)) AS dst FROM route WHERE ord % 4 = 1), lg AS MATERIALIZED (SELECT route_id, ord, np.path IS NULL AS straight, coalesce(np.path[2:], [wy.dst]) AS walked FROM wy LEFT JOIN np ON np.src = wy.src AND np.node_id = wy.dst WHERE wy.src <> wy.dst), lr AS MATERIALIZED (SELECT route_id, ord, straight, unnest(walked) AS node_id, generate_subscripts(walked, 1) AS i FROM lg UNION ALL SELECT route_id, min(ord) - 1, true, arg_min(src, ord), 0 FROM wy GROUP BY route_id), dgx AS (SELECT u AS node_id, count(*) AS degree FROM edge GROUP BY u), lx AS (SELECT lr.*, x, y, coalesce(degree, 0) AS degree, lag(x) OVER w AS bx, lag(y) OVER w AS byy, row_number() OVER w AS k FROM lr JOIN node USING (node_id) LEFT JOIN dgx USING (node_id) WINDOW w AS (PARTITION BY route_id ORDER BY ord, i)), lm AS (SELECT route_id, k, node_id, CASE WHEN straight OR degree <> 2 THEN 'intersection' ELSE 'geometry' END AS kind, sum(coalesce({hav('byy', 'bx', 'y', 'x')}, 0)) OVER (PARTITION BY route_id ORDER BY k) AS m FROM lx)"
 
 
@@ -399,3 +538,85 @@ def prepared_edges(spark: SparkSession, sf: str) -> DataFrame:
 @add("prepared_metadata", _PREPARED + ", pn AS (SELECT DISTINCT node_id FROM (SELECT u AS node_id FROM pe UNION ALL SELECT v FROM pe)) SELECT (SELECT count(*) FROM pn) AS n_nodes, 100.0::DOUBLE AS coverage, count(*) AS n_edges, round(sum(length), 3) AS length FROM pe")
 def prepared_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(osm.metadata(*osm.prepared(roads.nodes(spark, sf), _tagged(spark, sf))), 3)
+
+
+# Stored networks and files
+
+
+@add("extract_network", NET + f" SELECT u, v, round({hav('a.y', 'a.x', 'b.y', 'b.x')}, 3) AS length, highway FROM edge JOIN node a ON a.node_id = u JOIN node b ON b.node_id = v")
+def extract_network(spark: SparkSession, sf: str) -> DataFrame:
+    """The network written as map extracts and read back."""
+    folder = shared_folder(spark, "extract")
+    osm.write_extract(roads.nodes(spark, sf), roads.edges(spark, sf), folder, 500)
+    return osm.read_extract(spark, folder)[1].select("u", "v", F.round("length", 3).alias("length"), "highway")
+
+
+@add("stored_network", NET + " SELECT u, v, round(length * 2, 3) AS length, highway, true AS older FROM edge")
+def stored_network(spark: SparkSession, sf: str) -> DataFrame:
+    """A network that was built, stored, stored anew with edges twice as long, and loaded; with whether its older version is as it was."""
+    times = []
+
+    def build(lat: float, lon: float, radius: int, kind: str) -> tuple[DataFrame, DataFrame]:
+        times.append(1)
+        return roads.nodes(spark, sf), roads.edges(spark, sf).withColumn("length", F.col("length") * len(times))
+
+    base = shared_folder(spark, "networks")
+    K.Networks(spark, base, build).load(LAT, LON, 1200)
+    edges = K.Networks(spark, base, build).load(LAT, LON, 1200, anew=True)[1]
+    older = roads.load_graph(spark, roads.graph_path(base, LAT, LON, 1200), 1)[1].select("u", "v", F.col("length").alias("was"))
+    return edges.join(older, ["u", "v"]).select("u", "v", F.round("length", 3).alias("length"), "highway", (F.round("was", 3) == F.round(F.col("length") / 2, 3)).alias("older"))
+
+
+@add("common_networks", NET + " SELECT r AS radius, (SELECT count(*) FROM node) AS n_nodes, count(*) AS n_edges, round(sum(length) * r, 1) AS length FROM edge, (VALUES (800), (1200), (2000), (5000)) t(r) GROUP BY r")
+def common_networks(spark: SparkSession, sf: str) -> DataFrame:
+    """The networks that are prepared ahead, as listed: their sizes."""
+    base = shared_folder(spark, "networks")
+    K.prepare_common(spark, base, LAT, LON, lambda radius, kind: (roads.nodes(spark, sf), roads.edges(spark, sf).withColumn("length", F.col("length") * radius)))
+    out = None
+    for path in K.listed(spark, base):  # four
+        nodes, edges = roads.load_graph(spark, path)
+        radius = int(path.split("radius_m=")[1].split("/")[0])
+        one = osm.metadata(nodes, edges).select(F.lit(radius).alias("radius"), "n_nodes", "n_edges", F.round("length", 1).alias("length"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@add("raster_index", RASTER + " SELECT tile_id, round(west, 6) AS west, round(north - 20 * res, 6) AS south, round(west + 20 * res, 6) AS east, round(north, 6) AS north, round(res, 6) AS res, 20 AS width, 20 AS height, nodata, 3 AS blocks FROM tile")
+def raster_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of raster files, from their headers, and from the blocks they name."""
+    folder = _files(spark, sf)
+    blocks = rasters.block_index(spark, folder).groupBy("tile_id").agg(F.count(F.lit(1)).alias("blocks"))
+    return rounded(rasters.tile_index(spark, folder).join(blocks, "tile_id"))
+
+
+@add("chosen_source", RASTER + ", fa AS (SELECT node_id, min_by(value, (res, tile_id)) AS v FROM sm WHERE value IS NOT NULL AND tile_id LIKE 'a%' GROUP BY node_id), fb AS (SELECT node_id, min_by(value, (res, tile_id)) AS v FROM sm WHERE value IS NOT NULL AND tile_id LIKE 'b%' GROUP BY node_id) SELECT node.node_id, coalesce(fa.v, fb.v, 0) AS elevation, CASE WHEN fa.v IS NOT NULL THEN 'fine' WHEN fb.v IS NOT NULL THEN 'coarse' ELSE 'none' END AS source, coalesce(fb.v, 0) AS coarse FROM node LEFT JOIN fa USING (node_id) LEFT JOIN fb USING (node_id)")
+def chosen_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Heights of all nodes from the source that a preference chooses of two, and from the coarse one alone."""
+    own, cells, points = tiles(spark, sf), pixels(spark, sf), roads.nodes(spark, sf)
+    fine, coarse = (H.Rasters(own.filter(F.col("tile_id").startswith(k)), cells, n, m) for k, n, m in (("a", "fine", 55.0), ("b", "coarse", 110.0)))
+    both = H.chosen("hybrid", fine, coarse).labelled(points)
+    alone = H.chosen("coarse", fine, coarse).profile(points).withColumnRenamed("elevation", "coarse")
+    return both.join(alone, "node_id").select("node_id", "elevation", "source", "coarse")
+
+
+_PLACED = "cp AS (SELECT c_custkey AS id, 7.3906::DOUBLE + (c_custkey * 7919 % 10007) / 10007.0::DOUBLE * 0.019::DOUBLE AS px, 46.2299::DOUBLE + (c_custkey * 104729 % 10007) / 10007.0::DOUBLE * 0.1::DOUBLE AS py FROM customer)"
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    share = lambda m: (k * m) % 10007 / F.lit(10007.0)
+    return spark.read.parquet(f"{sf}/customer.parquet").select(k.alias("id"), (F.lit(7.3906) + share(7919) * F.lit(0.019)).alias("x"), (F.lit(46.2299) + share(104729) * F.lit(0.1)).alias("y"))
+
+
+@add("customer_nearest", f"WITH {NODE}, {_PLACED}, cd AS (SELECT id, node_id, {hav('py', 'px', 'y', 'x')} AS d FROM cp, node), cr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, node_id) AS rank FROM cd) SELECT id, node_id, round(d, 6) AS dist_m, rank FROM cr WHERE rank <= 10")
+def customer_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest nodes of every customer's place."""
+    return rounded(Q.nearest_join(_customers(spark, sf), roads.nodes(spark, sf), 10, keeper(spark)))
+
+
+@add("clustered_box", f"WITH {NODE} SELECT node_id, x, y, elevation FROM node WHERE x BETWEEN 7.3951 AND 7.4036 AND y BETWEEN 46.2311 AND 46.2461")
+def clustered_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes in a box, from nodes stored along a curve."""
+    folder = shared_folder(spark, "clustered")
+    clustered.write(roads.nodes(spark, sf), folder, files=16)
+    return clustered.read_box(spark, folder, 7.3951, 46.2311, 7.4036, 46.2461)

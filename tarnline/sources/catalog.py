@@ -11,6 +11,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import versions
+
 #: Named search configurations: population, generations, crossover, mutation, elite, objective (fixed values).
 PRESETS = {"standard": (100, 200, 0.8, 0.1, 2, "elevation"), "fast": (50, 100, 0.9, 0.15, 1, "elevation"), "thorough": (200, 500, 0.7, 0.05, 5, "elevation"), "distance_focused": (100, 150, 0.85, 0.08, 3, "distance"), "balanced": (150, 300, 0.75, 0.12, 4, "balanced")}
 CONFIG = "name string, population int, generations int, crossover double, mutation double, elite int, objective string"
@@ -130,7 +132,7 @@ def prepare_common(spark: SparkSession, base: str, lat: float, lon: float, build
     made = []
     for radius, kind in COMMON:
         path = graph_path(base, lat, lon, radius, kind)
-        if not exists(spark, f"{path}/edges"):
+        if not stored(spark, path):
             save_graph(*build(radius, kind), path)
             made.append(path)
     return made
@@ -141,12 +143,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a whole network: a version of one, or two finished tables."""
+    return versions.folder(spark, path) is not None or all(exists(spark, f"{path}/{t}/_SUCCESS") for t in ("nodes", "edges"))
+
+
 def listed(spark: SparkSession, base: str) -> list[str]:
-    """Stored networks under a folder, sorted: those with both tables."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/network_type=*/radius_m=*/*/edges/_SUCCESS")
+    """Stored networks under a folder, sorted: whole ones only."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/network_type=*/radius_m=*/*")
     found = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(root) or []
-    paths = [str(PurePosixPath(s.getPath().getParent().getParent().toUri().getPath())) for s in found]
-    return sorted(p for p in paths if exists(spark, f"{p}/nodes/_SUCCESS"))
+    paths = [str(PurePosixPath(s.getPath().toUri().getPath())) for s in found]
+    return sorted(p for p in paths if stored(spark, p))
 
 
 class Networks:
@@ -161,7 +168,7 @@ class Networks:
         key = (lat, lon, radius, kind)
         if anew or key not in self.known:
             path = graph_path(self.base, lat, lon, radius, kind)
-            if anew or not exists(self.spark, f"{path}/edges/_SUCCESS"):
+            if anew or not stored(self.spark, path):
                 save_graph(*self.build(lat, lon, radius, kind), path)
             self.known[key] = load_graph(self.spark, path)
         return self.known[key]

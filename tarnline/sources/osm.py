@@ -31,6 +31,16 @@ def read_extract(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return places.join(used, "node_id", "left_semi").withColumn("elevation", F.lit(None).cast("double")), edges
 
 
+def write_extract(nodes: DataFrame, edges: DataFrame, path: str, per_file: int = 50_000) -> None:
+    """Writes a network as map extracts that read_extract reads: a file for every so many ids, with its nodes and one way for each edge that begins there; both ways of a street are two one-way ones."""
+    tags = lambda *pairs: F.map_filter(F.map_from_arrays(F.array(*(F.lit(k) for k, _ in pairs)), F.array(*(v for _, v in pairs))), lambda _, v: v.isNotNull())
+    kind = F.col("highway").cast("string") if "highway" in nodes.columns else F.lit(None).cast("string")
+    places = nodes.select(F.floor(F.col("node_id") / per_file).alias("part"), F.struct(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.col("y").alias("lat"), F.col("x").alias("lon"), F.lit(None).cast("array<bigint>").alias("nodes"), tags(("highway", kind)).alias("tags")).alias("e"))
+    ways = edges.select(F.floor(F.col("u") / per_file).alias("part"), F.struct(F.lit("way").alias("type"), F.xxhash64("u", "v").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array("u", "v").alias("nodes"), tags(("highway", F.col("highway")), ("oneway", F.lit("yes"))).alias("tags")).alias("e"))
+    files = places.unionByName(ways).groupBy("part").agg(F.to_json(F.struct(F.collect_list("e").alias("elements"))).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def prepared(nodes: DataFrame, edges: DataFrame, with_footways: bool = False) -> tuple[DataFrame, DataFrame]:
     """A network for running: allowed edges with both ends, rise, grade and running weight; nodes that edges use, with degree. Nodes need an elevation, edges highway, surface and access."""
     own = N.subgraph(nodes, N.runnable(edges, with_footways))

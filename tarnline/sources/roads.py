@@ -12,20 +12,22 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 
 from tarnline.functions.geo import grade_percent, haversine
 
+from . import versions
+
 NODE = StructType([StructField("node_id", LongType()), StructField("x", DoubleType()), StructField("y", DoubleType()), StructField("elevation", DoubleType())])
 EDGE = StructType([StructField("u", LongType()), StructField("v", LongType()), StructField("key", IntegerType()), StructField("length", DoubleType()), StructField("highway", StringType())])
 WIDTH = 20
 
 
-def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Writes a network as two Parquet tables."""
-    nodes.select(NODE.names).write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.select(EDGE.names).write.mode("overwrite").parquet(f"{path}/edges")
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> int:
+    """Writes a network as a new version of a folder and makes it current; its number. Readers of older versions keep them (see versions)."""
+    return versions.write(nodes.sparkSession, path, {"nodes": nodes.select(NODE.names), "edges": edges.select(EDGE.names)})
 
 
-def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A stored network; a missing table or column raises."""
-    return spark.read.schema(NODE).parquet(f"{path}/nodes"), spark.read.schema(EDGE).parquet(f"{path}/edges")
+def load_graph(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A stored network, the current version or one by number; a missing table or column raises. Two tables without versions are read as they are."""
+    where = versions.folder(spark, path, version) or path
+    return spark.read.schema(NODE).parquet(f"{where}/nodes"), spark.read.schema(EDGE).parquet(f"{where}/edges")
 
 
 def graph_path(base: str, lat: float, lon: float, radius_m: int, kind: str = "all") -> str:

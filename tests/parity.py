@@ -10,14 +10,14 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def rows(table, names):
     def value(x):
         if isinstance(x, float):
-            return "nan" if math.isnan(x) else f"{x:.4f}"
+            return "nan" if math.isnan(x) else f"{x + 0.0:.9g}"
         return str(x)
 
     return sorted(tuple(value(v) for v in r) for r in zip(*(table.column(n).to_pylist() for n in names), strict=True))
 
 
 def differences(spark, query, sql, sf_dir):
-    """None if the results are equal (doubles to four places), else what differs."""
+    """None if the results are equal (doubles to nine digits), else what differs."""
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")

@@ -52,18 +52,19 @@ def test_k_shortest_is_exact(spark, graph):
         P.k_shortest_pairs(graph[1], graph[1].select(F.col("u").alias("src"), F.col("v").alias("dst")), 2, keeper(spark), most_local=3)
 
 
-@pytest.mark.parametrize("most_local", [500_000, 3])
-def test_near_paths_are_least(spark, graph, most_local):
+@pytest.mark.parametrize("placed", [True, False])
+def test_near_paths_are_least(spark, graph, placed):
+    nodes = graph[0] if placed else None
     odd = graph[1].unionByName(spark.createDataFrame([(1, 2, 500.0), (1, 5, None), (5, 1, -1.0)], "u long, v long, length double"))
-    got = {(r["src"], r["node_id"]): (r["dist"], r["path"]) for r in P.near_paths(odd, 600.0, keeper(spark), most_local=most_local).collect()}
+    got = {(r["src"], r["node_id"]): (r["dist"], r["path"]) for r in P.near_paths(odd, 600.0, keeper(spark), nodes=nodes).collect()}
     want = {(s, s): (0.0, [s]) for s in HEIGHTS}
     for s, t in itertools.permutations(HEIGHTS, 2):
         if (best := min(brute(s, t)))[0] <= 600:
             want[s, t] = best
     assert got == want
-    assert P.near_paths(odd.limit(0), 600.0, keeper(spark), most_local=most_local).count() == 0
+    assert P.near_paths(odd.limit(0), 600.0, keeper(spark), nodes=nodes).count() == 0
     one = spark.createDataFrame([(77,), (None,)], "node_id long")
-    assert [r["path"] for r in P.near_paths(odd, 600.0, keeper(spark), one, most_local).collect()] == [[77]]
+    assert [r["path"] for r in P.near_paths(odd, 600.0, keeper(spark), one, nodes).collect()] == [[77]]
 
 
 def test_bounded_paths_and_hops(spark, graph):
