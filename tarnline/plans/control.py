@@ -140,10 +140,10 @@ def evaluated_parameters(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.evaluated(_grid(spark, sf), score, ["population * mutation >= 5", "crossover <= 0.9"]))
 
 
-@add("parameter_sweep", f"WITH t AS (SELECT *, {_SIM} AS score FROM ({_GRID})), s AS (SELECT population, avg(score) AS mean, stddev_pop(score) AS spread, count(*) AS trials FROM t GROUP BY population) SELECT population, round(mean, 6) AS mean, round(spread, 6) AS spread, trials, population = (SELECT arg_max(population, (round(mean, 9), -population)) FROM s) AS best FROM s")
+@add("parameter_sweep", f"WITH t AS (SELECT *, {_SIM} AS score FROM ({_GRID})), s AS (SELECT population, avg(score) AS mean, stddev_pop(score) AS spread, count(*) AS trials FROM t GROUP BY population) SELECT population, round(mean, 9) AS mean, round(spread, 9) AS spread, trials, population = (SELECT arg_max(population, (round(mean, 9), -population)) FROM s) AS best FROM s")
 def parameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
     trials = _grid(spark, sf).withColumn("score", C.simulated_score(F.col("population"), F.col("mutation"), F.col("crossover")))
-    return rounded(C.swept(trials.withColumn("score", F.round("score", 9)), "population"))
+    return rounded(C.swept(trials.withColumn("score", F.round("score", 9)), "population"), 9)
 
 
 @add("sensitivity_ranking", "WITH s AS (SELECT event_type AS parameter, round(coalesce(abs(corr(value, user_id)), 0), 6) AS sensitivity FROM events GROUP BY event_type) SELECT parameter, sensitivity, row_number() OVER (ORDER BY sensitivity DESC, parameter) AS rank, CASE WHEN sensitivity > 0.7 THEN 'high: tune with care' WHEN sensitivity > 0.3 THEN 'medium: tune' ELSE 'low: leave' END AS advice FROM s")

@@ -17,7 +17,7 @@ from tarnline.operators import network as N
 from tarnline.operators import paths as P
 from tarnline.plans.evolution import HOP, NEAR, RNET, near
 from tarnline.plans.population import WALK, r, rounded
-from tarnline.plans.queries import _DEG, _ELEV, ALL, LAT, LON, NET, NODE, ROUTE, START, add, hav, keeper, shared_folder
+from tarnline.plans.queries import _DEG, _ELEV, ALL, CUTOFF, EDGE, LAT, LON, NET, NODE, ROUTE, START, add, hav, keeper, shared_folder
 from tarnline.sources import catalog as K
 from tarnline.sources import clustered, osm, rasters, roads
 

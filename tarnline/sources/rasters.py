@@ -460,7 +460,7 @@ def encoded(values: np.ndarray, west: float, north: float, res: float, nodata: f
     form = {"u": 1, "i": 2, "f": 3}[dtype.kind]
     keys = (1, 1, 0, 1, 3072 if epsg and epsg > 20000 else 2048, 0, 1, epsg) if epsg else ()
     tags = [(256, "I", (width,)), (257, "I", (height,)), (258, "H", (dtype.itemsize * 8,)), (259, "H", (packed,)), (273, "I", tuple(starts)), (277, "H", (1,)), (278, "I", (high,)), (279, "I", tuple(map(len, parts))), (317, "H", (predictor,)), (339, "H", (form,)), (33550, "d", (res, res, 0.0)), (33922, "d", (0.0, 0.0, 0.0, west, north, 0.0))]
-    tags += [(34735, "H", keys)] * bool(keys) + [(42113, "s", repr(nodata).encode() + b"\0")]
+    tags += [(34735, "H", keys)] * bool(keys) + [(42113, "s", repr(float(nodata)).encode() + b"\0")]
     directory, extra, beyond = b"", b"", 8 + len(body) + 2 + 12 * len(tags) + 4
     for tag, code, vals in tags:
         raw = vals if code == "s" else struct.pack(f"<{len(vals)}{code}", *vals)

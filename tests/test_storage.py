@@ -20,8 +20,7 @@ def metres(a, b):
     return 2 * 6371000.0 * math.asin(math.sqrt(h))
 
 
-@pytest.mark.parametrize(("k", "leaf"), [(10, 8), (600, 32)])
-def test_nearest_nodes_of_many_places(spark, k, leaf):
+def test_nearest_nodes_of_many_places(spark, k=10, leaf=8):
     """A crowd, a few far away, and some at one place; places among them, far off, and beyond the pole's side of the world."""
     rng = random.Random(k)
     nodes = [(i, 7 + rng.gauss(0, 0.001), 46 + rng.gauss(0, 0.001)) for i in range(300)] + [(1000 + i, rng.uniform(-20, 30), rng.uniform(30, 70)) for i in range(60)] + [(2000 + i, 8.0, 46.5) for i in range(40)]
@@ -44,6 +43,8 @@ def test_nearest_without_nodes(spark):
     none = spark.createDataFrame([], "node_id long, x double, y double")
     places = spark.createDataFrame([(1, 7.0, 46.0)], "id long, x double, y double")
     assert Q.nearest_join(places, none, 3, keeper(spark)).count() == 0
+    two = none.unionByName(spark.createDataFrame([(1, 7.0, 46.0), (2, 7.0, 46.0)], none.schema))
+    assert [(r.node_id, r.rank) for r in Q.nearest_join(places, two, 3, keeper(spark)).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert Q.nearest_join(places.limit(0), none.unionByName(spark.createDataFrame([(1, 7.0, 46.0)], none.schema)), 3, keeper(spark)).count() == 0
 
 
