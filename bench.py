@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ["route_profile_stats", "route_zones", "route_peaks", "route_climbs", "steep_sections", "difficulty_rating", "segment_metrics", "edge_usage", "running_weight", "routing_weight", "connectivity", "nearest_nodes", "tile_lookup", "jaccard_pairs", "fitness_terms", "survivors", "shortest_distances", "near_paths", "k_shortest_paths", "raster_samples", "segment_properties", "fitness", "micro_scores", "novelty", "neutral_mutation", "detailed_path", "initial_routes", "route_search"]
+HEADLINE = ["route_profile_stats", "route_zones", "route_peaks", "route_climbs", "steep_sections", "difficulty_rating", "segment_metrics", "edge_usage", "running_weight", "routing_weight", "connectivity", "nearest_nodes", "tile_lookup", "jaccard_pairs", "fitness_terms", "survivors", "shortest_distances", "near_paths", "k_shortest_paths", "raster_samples", "segment_properties", "fitness", "micro_scores", "novelty", "neutral_mutation", "detailed_path", "initial_routes", "route_search", "any_pair_distances", "traced_paths", "customer_nearest", "rebuilt_edges", "projected_samples", "block_samples", "clustered_box"]
 
 
 def main() -> None:
