@@ -7,6 +7,8 @@ array of fixed size, so scoring is a fold over the token's pairs. All of it is S
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{32,}"  # runs are matched whole, so that the least length can stand in the pattern
 LEAST = {"assign": 8, "access": 16, "hex": 32}
+#: Values that are folded at a time, and code points of a chunk of a text; both keep the work in proportion to the text.
+BLOCK, CHUNK = 128, 2048
 #: Tokens that the models look at.
 CANDIDATE = "[A-Za-z0-9_+/=-]{20,}"
 #: Characters that the models tell apart; all others are one more.
@@ -74,6 +78,27 @@ def likelihood_ratio(token: Column, table: Column) -> Column:
     return F.when(F.length(token) > 1, total / (F.length(token) - 1)).otherwise(0.0)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _before(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """What merge makes, from 0, of all values (whole numbers) before each one. A block of values is folded at a time, since an array that grows is copied with every value."""
+    none = F.array().cast("array<int>")
+
+    def folded(own: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(own, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def over(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda own: F.aggregate(own, F.lit(0), merge))
+        return F.flatten(F.zip_with(blocks, folded(totals, F.lit(0)), folded))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(values) > 0, _let(blocks, over)).otherwise(none)
+
+
 def _spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """Spans of all leftmost non-overlapping matches, in code points: what lies between the matches gives their places."""
     none = F.array().cast("array<struct<start:int,end:int,rank:int,value:string>>")
@@ -81,18 +106,33 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     zipped = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("g"), F.length(m).alias("m"))), values, lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    rank = KINDS.index(kind)
-    step = lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end"), F.lit(rank).alias("rank"), x["v"].alias("value")))).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
+    rank = F.lit(KINDS.index(kind))
+    place = lambda x, at: F.struct((at + x["g"]).alias("start"), (at + x["g"] + x["m"]).alias("end"), rank.alias("rank"), x["v"].alias("value"))
+    found = _let(zipped, lambda z: F.zip_with(z, _before(F.transform(z, lambda x: x["g"] + x["m"]), lambda p, q: p + q), place))
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def _rewritten(text: Column, spans: Column, instead: Callable[[Column, Column], Column]) -> Column:
+    """text with instead(span, end of those before it) in place of what sorted spans cover. Pieces are cut from chunks of the text, so that no cut counts from its beginning."""
+
+    def cut(chunks: Column, start: Column, end: Column) -> Column:
+        i, j = (F.floor(x / CHUNK).cast("int") for x in (start, end))
+        own = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+        inside = F.substring(own(i), start % CHUNK + 1, end - start)
+        across = F.concat(F.substring(own(i), start % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(own(j), F.lit(1), end % CHUNK))
+        return F.when(end <= start, F.lit("")).when(i == j, inside).otherwise(across)
+
+    def made(chunks: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        pieces = F.zip_with(spans, _before(ends, lambda p, q: F.greatest(p, q)), lambda s, at: F.concat(cut(chunks, at, F.greatest(at, s["start"])), instead(s, at)))
+        return F.concat(F.array_join(pieces, ""), cut(chunks, F.array_max(ends), F.length(text)))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), made)
 
 
 def _blanked(text: Column, spans: Column) -> Column:
-    """text of the same length, with spaces for what sorted spans cover."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    upto = lambda acc, s: F.greatest(acc["at"], s["start"])
-    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, upto(acc, s) - acc["at"]), F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - upto(acc, s)))).alias("out"))
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """text of the same length, with spaces for what sorted spans (one at least) cover."""
+    return _rewritten(text, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(at, s["start"]))))
 
 
 def joined(spans: Column) -> Column:
@@ -130,9 +170,7 @@ def redact(docs: DataFrame, table: list[float], text: str = "text", mask: str =
     name = free_name(docs, "secrets")
     out = scan_secrets(docs, name, table, text)
     body = F.col(text)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"))
-    folded = F.aggregate(F.col(name)["spans"], zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    folded = _rewritten(body, F.col(name)["spans"], lambda s, at: F.when(s["start"] >= at, F.lit(mask)).otherwise(F.lit("")))
     out = out.withColumn(text, F.when(F.size(F.col(name)["spans"]) > 0, folded).otherwise(body))
     if n_chars and n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(F.size(F.col(name)["spans"]) > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
