@@ -164,7 +164,8 @@ def fitness(spark: SparkSession, sf: str) -> DataFrame:
 _FAR = "(PARTITION BY route_id ORDER BY ord"
 
 
-@add("fitness_history", PT + f", h AS (SELECT route_id, ord, CAST(round(greatest(0, least(1, (elevation - 500) / 1000)) * 100000) AS BIGINT) AS v FROM pt), s AS (SELECT *, count(*) OVER {_FAR}) AS n, sum(v) OVER {_FAR}) AS t, min(v) OVER {_FAR}) AS lo, sum(v * v) OVER {_FAR}) AS q, sum(v) OVER {_FAR} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l, sum(v) OVER {_FAR} ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b FROM h), i AS (SELECT route_id, ord, n, t::DOUBLE / (n * 100000) AS mean, lo / 100000 AS least, sqrt((n * q - t * t)::DOUBLE) / (n * 100000) AS spread, CASE WHEN n < 10 THEN 0 WHEN n < 20 THEN l::DOUBLE / 1000000 ELSE (l - b)::DOUBLE / 1000000 END AS improvement FROM s) SELECT route_id, ord, {r('mean least spread improvement')}, n >= 10 AND abs(improvement) < 0.001 AS plateau FROM i")
+@add("fitness_history", PT + f", h AS (SELECT route_id, ord, CAST(round(greatest(0, least(1, (elevation - 500) / 1000)) * 100000) AS BIGINT) AS v FROM pt), s AS (SELECT *, count(*) OVER {_FAR}) AS n, sum(v) OVER {_FAR}) AS t, min(v) OVER {_FAR}) AS lo, sum(v * v) OVER {_FAR}) AS q, sum(v) OVER {_FAR} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l, sum(v) OVER {_FAR} ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b FROM h), i AS (SELECT route_id, ord, n, t::DOUBLE / (n * 100000) AS mean, lo / 100000 AS least, sqrt((n * q - t * t)::DOUBLE) / (n * 100000) AS spread, CASE WHEN n < 10 THEN 0 WHEN n < 20 THEN l::DOUBLE / 1000000 ELSE (l - b)::DOUBLE / 1000000 END AS improvement FROM s) SELECT route_id, ord, mean, least, spread, improvement, n >= 10 AND abs(improvement) < 0.001 AS plateau FROM i")
 def fitness_history(spark: SparkSession, sf: str) -> DataFrame:
     series = roads.points(spark, sf).select("route_id", "ord", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("elevation") - 500) / 1000)).alias("fitness"))
-    return rounded(FT.history_stats(series))
+    # whole units divided once: the same in every digit on both sides
+    return FT.history_stats(series)
