@@ -242,9 +242,9 @@ def cache_stats(spark: SparkSession, sf: str) -> DataFrame:
     return K.stats(stored(spark, sf)).select("entries", "mb", text("oldest"), text("newest"))
 
 
-@add("cache_listing", f"WITH {_CAT} SELECT key, round((epoch(TIMESTAMP '{NOW}') - floor(epoch(created))) / 86400, 6) AS age_days FROM cat")
+@add("cache_listing", f"WITH {_CAT} SELECT key, round((epoch(TIMESTAMP '{NOW}') - floor(epoch(created))) / 86400, 9) AS age_days FROM cat")
 def cache_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(K.listing(stored(spark, sf), _now()).select("key", "age_days"))
+    return rounded(K.listing(stored(spark, sf), _now()).select("key", "age_days"), 9)
 
 
 @add("tile_upserts", "SELECT user_id AS tile, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
